@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import bpe, chat, html_text, quality, ring
+from .store import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), bpe.load_ranks(public_tokenizers.path(vocabulary)), public_tokenizers.PATTERN)
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.sql("SELECT -1L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role), '</s>[INST] ok [/INST]' AS text")
+    messages = written(chat.linear_messages(table.unionByName(planted)), "turns")
+    out = written(chat.formatted(chat.chosen_paths(messages), messages), "formatted")
+    read = out.withColumn("_turns", chat.read_turns(F.col("formatted"))).withColumn("_loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
+    line = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("_turns").cast("long").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.assign(_table(spark, sf_dir, "documents")).drop("home").withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op9_ring_shards": op9_ring_shards,
+    "op10_html_text": op10_html_text,
 }
