@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, quality, ring
+from . import bpe, chat, decontaminate, html_text, quality, ring
 from .store import written
 
 
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), with_matches=False)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +53,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_chat_formatting": op6_chat_formatting,
     "op9_ring_shards": op9_ring_shards,
