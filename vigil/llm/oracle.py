@@ -62,6 +62,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP3 = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS of FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest, CASE WHEN of IS NULL OR of = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN of <> page_id THEN of END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h AND n >= 1000
+"""
+
 OP6 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -76,4 +84,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op6_chat_formatting": OP6}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op3_warc": OP3, "op6_chat_formatting": OP6}
