@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, quality, ring, warc
+from . import bpe, chat, decontaminate, html_text, quality, ring, toxicity, warc
 from .store import written
 
 
@@ -47,6 +47,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), only=toxicity.fold() != 1)
+    return toxicity.score(docs, model).select("doc_id", (toxicity.fold() == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(_table(spark, sf_dir, "documents")).drop("home").withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_toxicity": op7_toxicity,
     "op9_ring_shards": op9_ring_shards,
     "op10_html_text": op10_html_text,
 }

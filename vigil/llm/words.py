@@ -88,6 +88,14 @@ class Words:
     end: np.ndarray
     begin: np.ndarray
     hashes: np.ndarray
+    total: np.ndarray  # the running sum that hashes are taken from
+
+    def prefixes(self, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of each word, of the whole of a shorter one."""
+        if not len(self.start):
+            return self.hashes
+        _, down = _Powers.to(len(self.buf))
+        return mix((self.total[np.minimum(self.end, self.start + k)] - self.total[self.start]) * down[self.start])
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), np.diff(self.begin))
@@ -113,7 +121,7 @@ def words_of(column: pa.Array, kind: WordClass) -> Iterator[Words]:
     for first, buf, offsets in text_slices(column):
         n = len(offsets) - 1
         if not len(buf):
-            yield Words(first, n, buf, *(np.zeros(0, np.int64),) * 2, np.zeros(n + 1, np.int64), np.zeros(0, np.uint64))
+            yield Words(first, n, buf, *(np.zeros(0, np.int64),) * 2, np.zeros(n + 1, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.uint64))
             continue
         word = kind.is_word[buf]
         at, to = word.copy(), word.copy()
@@ -127,7 +135,7 @@ def words_of(column: pa.Array, kind: WordClass) -> Iterator[Words]:
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(kind.values[buf] * up[: len(buf)], out=total[1:])
         hashes = mix((total[end] - total[start]) * down[start])
-        yield Words(first, n, buf, start, end, np.searchsorted(start, offsets), hashes)
+        yield Words(first, n, buf, start, end, np.searchsorted(start, offsets), hashes, total)
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
