@@ -84,4 +84,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op3_warc": OP3, "op6_chat_formatting": OP6}
+OP8 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), later AS (
+  SELECT doc_id, i FROM win QUALIFY doc_id > min(doc_id) OVER (PARTITION BY k)
+), gone AS (
+  SELECT DISTINCT doc_id, i + o AS i FROM later, (SELECT unnest(generate_series(0, 49)) AS o)
+), kept AS (
+  SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d) x ANTI JOIN gone USING (doc_id, i) GROUP BY x.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op3_warc": OP3, "op6_chat_formatting": OP6, "op8_substring_dedup": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, quality, ring, toxicity, warc
+from . import bpe, chat, decontaminate, html_text, quality, ring, substrings, toxicity, warc
 from .store import written
 
 
@@ -53,6 +53,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (toxicity.fold() == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedupe(_table(spark, sf_dir, "documents"))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(_table(spark, sf_dir, "documents")).drop("home").withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_toxicity": op7_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_ring_shards": op9_ring_shards,
     "op10_html_text": op10_html_text,
 }
