@@ -70,6 +70,23 @@ SELECT page_id, n AS payload_bytes, p.h AS payload_digest, CASE WHEN of IS NULL
 FROM p LEFT JOIN g ON p.h = g.h AND n >= 1000
 """
 
+OP4 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (SELECT a AS i, a AS j FROM e UNION SELECT r.i, e.b FROM r JOIN e ON r.j = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.j, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT i, min(j) AS j FROM r GROUP BY i) m ON m.i = d.doc_id
+"""
+
 OP6 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -100,4 +117,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op3_warc": OP3, "op6_chat_formatting": OP6, "op8_substring_dedup": OP8}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op3_warc": OP3, "op4_ngram_jaccard": OP4, "op6_chat_formatting": OP6, "op8_substring_dedup": OP8}
