@@ -1 +1,7 @@
+"""Registered queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
+from .alerts import ORACLE as _ALERT_SQL
+from .alerts import QUERIES as _ALERTS
+
+QUERIES = {**_ALERTS}
+ORACLE = {**_ALERT_SQL}
