@@ -48,21 +48,22 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     rounds = math.ceil(math.log2(most)) if most > 1 else 0
     known = base.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
     jump = base.join(known, "parent", "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("to"), "score", F.lit(1).cast("long").alias("n"))
-    jumps = []
+    jumps, done = [], None
     for _ in range(rounds):
-        jumps.append(jump := written(jump, "jump"))
-        up = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("score").alias("_score"), F.col("n").alias("_n"))
-        jump = jump.join(up, "to", "left").select(
-            "tree", "node", F.col("_to").alias("to"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")
-        )
-    whole = written(jump, "jump").where(F.col("to").isNull())  # what still points on goes round in a cycle
+        jump = written(jump, "jump")
+        ended = jump.where(F.col("to").isNull())  # has reached its root, so takes no part in further rounds
+        done = ended if done is None else done.unionByName(ended)
+        jumps.append(going := jump.where(F.col("to").isNotNull()))
+        up = done.unionByName(going).select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("score").alias("_score"), F.col("n").alias("_n"))
+        jump = going.join(up, "to").select("tree", "node", F.col("_to").alias("to"), (F.col("score") + F.col("_score")).alias("score"), (F.col("n") + F.col("_n")).alias("n"))
+    last = written(jump, "jump").where(F.col("to").isNull())  # what still points on goes round in a cycle
+    whole = last if done is None else done.unionByName(last)
     leaves = whole.join(base.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("n")), "node"))
     paths = leaves.withColumn("_r", rank).where(F.col("_r") <= top).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(rounds)):
         paths = written(paths, "paths")
-        step = jumps[k].select("node", F.col("to"))
-        more = paths.join(step.where("to is not null"), "node").select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        more = paths.join(jumps[k].select("node", "to"), "node").select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = paths.unionByName(more)
     return paths
 

@@ -1,7 +1,6 @@
 """Registered queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
-from .alerts import ORACLE as _ALERT_SQL
-from .alerts import QUERIES as _ALERTS
+from . import alerts, domain
 
-QUERIES = {**_ALERTS}
-ORACLE = {**_ALERT_SQL}
+QUERIES = {**alerts.QUERIES, **domain.QUERIES}
+ORACLE = {**alerts.ORACLE, **domain.ORACLE}
