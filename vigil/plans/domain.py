@@ -155,11 +155,13 @@ def llm_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", F.from_json(body, "k long").alias("j")).where("j.k IS NOT NULL").selectExpr("event_id", "j.k AS k")
 
 
-def _latest(table: str, key: str, order: list, columns: list[str]):
-    return lambda s, d: tables.first_per_key(_t(s, d, table).selectExpr(*columns), [key], order)
+def _latest(table: str, key: str, order: list[str], columns: list[str]):
+    """The first row of each key; an order that starts with "-" is descending."""
+    by = lambda: [F.desc(o[1:]) if o[0] == "-" else F.asc(o) for o in order]
+    return lambda s, d: tables.first_per_key(_t(s, d, table).selectExpr(*columns), [key], by())
 
 
-_TOP = lambda q, by, n: lambda s, d: q(s, d).orderBy(*by).limit(n)
+_TOP = lambda q, by, n: lambda s, d: q(s, d).orderBy(*(F.desc(o[1:]) if o[0] == "-" else F.asc(o) for o in by)).limit(n)
 _ORDERS = ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"]
 
 QUERIES = {
@@ -188,8 +190,8 @@ QUERIES = {
     "telemetry_events": telemetry,
     "ingest_events": lambda s, d: _t(s, d, "events").selectExpr("event_id", "CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'RawMessageIngested' ELSE 'RawMessageDuplicate' END AS type"),
     "dedupe_first": _latest("events", "user_id", ["ts", "event_id"], ["user_id", "ts", "event_id", "event_type"]),
-    "cache_latest": _latest("events", "user_id", [F.desc("ts"), F.desc("event_id")], ["user_id", "ts", "event_id", "event_type"]),
-    "cursor_latest": _latest("orders", "o_custkey", [F.desc("o_orderkey")], ["o_custkey", "o_orderkey", "o_orderstatus"]),
+    "cache_latest": _latest("events", "user_id", ["-ts", "-event_id"], ["user_id", "ts", "event_id", "event_type"]),
+    "cursor_latest": _latest("orders", "o_custkey", ["-o_orderkey"], ["o_custkey", "o_orderkey", "o_orderstatus"]),
     "evidence_last_n": lambda s, d: tables.top_per_key(_t(s, d, "orders").select(*_ORDERS[:2]), ["o_custkey"], [F.desc("o_orderkey")], 3),
     "upsert_latest": lambda s, d: tables.upsert(
         _t(s, d, "customer").selectExpr("c_custkey AS id", "c_name AS name", "CAST(c_acctbal AS BIGINT) AS v", "CAST(0 AS BIGINT) AS seq"),
@@ -202,13 +204,13 @@ QUERIES = {
     "fk_orphans": lambda s, d: tables.orphans(_t(s, d, "orders").selectExpr("o_orderkey", "o_custkey + 1 AS o_custkey"), "o_custkey", _t(s, d, "customer"), "c_custkey").select("o_orderkey", "o_custkey"),
     "status_current": lambda s, d: status.as_of(history(s, d)),
     "status_as_of": lambda s, d: status.as_of(history(s, d), F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")),
-    "place_status": _TOP(lambda s, d: tables.where_given(status.as_of(history(s, d)), place_id=None, status_code="click"), [F.desc("since"), "place_id"], 500),
-    "place_status_history": _TOP(lambda s, d: tables.where_given(history(s, d), place_id=1, status_code=None), [F.desc("event_at"), F.desc("event_id")], 1000),
-    "events_feed": _TOP(lambda s, d: P.posts(s, d).select("post_id", "posted_at"), [F.desc("posted_at"), F.desc("post_id")], 100),
+    "place_status": _TOP(lambda s, d: tables.where_given(status.as_of(history(s, d)), place_id=None, status_code="click"), ["-since", "place_id"], 500),
+    "place_status_history": _TOP(lambda s, d: tables.where_given(history(s, d), place_id=1, status_code=None), ["-event_at", "-event_id"], 1000),
+    "events_feed": _TOP(lambda s, d: P.posts(s, d).select("post_id", "posted_at"), ["-posted_at", "-post_id"], 100),
     "outbox_batch": _TOP(lambda s, d: _t(s, d, "events").where("event_type <> 'view'").select("event_id", "ts"), ["ts", "event_id"], 100),
     "regions_list": _TOP(lambda s, d: _t(s, d, "nation").select("n_name", "n_nationkey"), ["n_name"], 500),
     "dictionary": _TOP(lambda s, d: _t(s, d, "part").select("p_size", "p_partkey", "p_brand"), ["p_size", "p_partkey"], 500),
-    "sync_history": _TOP(lambda s, d: _t(s, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 100),
+    "sync_history": _TOP(lambda s, d: _t(s, d, "orders").select("o_orderkey", "o_orderdate"), ["-o_orderdate", "-o_orderkey"], 100),
     "events_in_range": lambda s, d: P.posts(s, d).where("posted_at >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND posted_at < TIMESTAMP_NTZ '2024-01-12 00:00:00'").select("post_id", "channel_key"),
     "events_by_region": lambda s, d: region_match(s, d).where("code = '40'").select("post_id", "rank"),
     "channel_plan": lambda s, d: _t(s, d, "supplier").selectExpr("s_suppkey AS channel", "coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 500 END, 100) AS batch_limit", "coalesce(CASE WHEN s_suppkey % 4 = 0 THEN true END, false) AS mark_read").where("channel % 5 <> 0"),
