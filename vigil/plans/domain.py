@@ -127,7 +127,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NODES_SQL = " UNION ALL ".join(f"SELECT post_id, ord, name, kind, region_code, fias_id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, '{p}' AS provider, {merge.PROVIDERS.index(p)} AS po FROM (SELECT {e} FROM part)" for p, e in _NODES.items())
 _MERGED_SQL = f"""n AS ({_NODES_SQL}), k AS (SELECT *, trim(regexp_replace(replace(lower(name), 'ё', 'е'), '\\s+', ' ', 'g')) AS norm_name FROM n WHERE kind <> 'region'),
 g AS (SELECT post_id, norm_name, arg_min(kind, po) AS kind, arg_min(region_code, po) FILTER (coalesce(region_code, '') <> '') AS region_code, arg_min(fias_id, po) FILTER (coalesce(fias_id, '') <> '') AS fias_id,
- coalesce(arg_max(lat, po) FILTER (lat IS NOT NULL AND lon IS NOT NULL), arg_min(lat, po)) AS lat, coalesce(arg_max(lon, po) FILTER (lat IS NOT NULL AND lon IS NOT NULL), arg_min(lon, po)) AS lon,
+ coalesce(arg_max(lat, po) FILTER (lat IS NOT NULL AND lon IS NOT NULL), arg_min_null(lat, po)) AS lat, coalesce(arg_max(lon, po) FILTER (lat IS NOT NULL AND lon IS NOT NULL), arg_min_null(lon, po)) AS lon,
  string_agg(provider, ',' ORDER BY po) AS sources, list(name ORDER BY po) AS names FROM k GROUP BY post_id, norm_name),
 pl AS (SELECT * EXCLUDE (names), list_reduce(names, lambda a, x: CASE WHEN a[1] = lower(a[1]) AND x[1] = upper(x[1]) THEN x ELSE a END) AS name FROM g)"""
 
