@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ from .store import written
 from .words import SPACED_LOWER, Words, mix, windows, words_of
 
 BITS = 512
-#: Rows of a list, and documents of a part, that one task compares; more are split into blocks of this many.
-LIST_ROWS, PART_ROWS = 8000, 4000
+#: Rows of a list, and tokens of a part, that make a block; a task compares two blocks at most, in memory in proportion.
+LIST_ROWS, PART_TOKENS = 8000, 400_000
+#: Cells of a list's table of pairs that are worked on at once.
+CELLS = 1 << 18
 GROUP = 32
 #: A token counts as common from COMMON documents of a batch on; at most HOT of the most common are told to all tasks.
 COMMON, HOT = 3, 150_000
@@ -99,28 +102,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-class Joined:
-    """Union-find over 0..n-1; the root is the smallest."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
 def possible_links(n: np.ndarray, odd: np.ndarray, block: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a list whose sizes and parities allow a link. n ascending; cross: only pairs of different blocks."""
-    found, root, rows = [], np.arange(len(n)), max(1, (1 << 21) // max(1, len(n)))
+    found, root, rows = [], np.arange(len(n)), max(1, CELLS // max(1, len(n)))
     for a in range(0, len(n), rows):
         b = min(a + rows, len(n))
         if (root == root[0]).all():
@@ -143,51 +127,58 @@ def possible_links(n: np.ndarray, odd: np.ndarray, block: np.ndarray, cross: boo
     return found
 
 
-def linked(sets: list[np.ndarray], block: np.ndarray, cross: bool, percent: int) -> Joined:
-    """Components of the documents of a part (ascending by size) by their exact links, through a token-group matrix."""
-    n = np.array([len(s) for s in sets], np.int64)
-    joined = Joined(len(sets))
-    if len(sets) == 2:
+def linked(flat: np.ndarray, n: np.ndarray, block: np.ndarray, cross: bool, percent: int) -> np.ndarray:
+    """The component (its first document) of each document of a part by their exact links, through a token-group matrix.
+
+    flat: the documents' sets one after the other, ascending by size; n: their sizes.
+    """
+    docs = len(n)
+    root = np.arange(docs)
+    start = np.concatenate([[0], np.cumsum(n)])
+    if docs == 2:
         if not cross or block[0] != block[1]:
-            both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+            both = len(np.intersect1d(flat[: n[0]], flat[n[0] :], assume_unique=True))
             if both * (100 + percent) >= percent * (n[0] + n[1]):
-                joined.join(0, 1)
-        return joined
-    tokens, which = np.unique(np.concatenate(sets), return_inverse=True)
-    doc = np.repeat(np.arange(len(sets)), n)
+                root[1] = 0
+        return root
     # similar documents side by side: by block, size class, then their first token
-    first = np.array([int(s[0] >> np.uint64(1)) for s in sets])
-    order = np.lexsort((first, (np.log(n) * 8).astype(np.int64), block))
-    group = np.empty(len(sets), np.int64)
-    group[order] = np.arange(len(sets)) // GROUP
+    order = np.lexsort((flat[start[:-1]], (np.log(n) * 8).astype(np.int64), block))
+    group = np.empty(docs, np.int64)
+    group[order] = np.arange(docs) // GROUP
     groups = int(group.max()) + 1
-    matrix = np.unique(which * groups + group[doc])  # token x group, the unions
-    of_token = np.searchsorted(matrix, np.arange(len(tokens) + 1) * groups)
-    by = np.argsort(which, kind="stable")
-    post, of_post = doc[by], np.searchsorted(which[by], np.arange(len(tokens) + 1))
-    start = np.concatenate([[0], np.cumsum(n)])
-    root = np.arange(len(sets))  # kept as find() would say
+    del order
+    by = np.argsort(flat, kind="stable")  # the postings: tokens in order, documents ascending within each
+    post = np.repeat(np.arange(docs, dtype=np.int32), n)[by]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[by[1:]] != flat[by[:-1]]
+    of_post = np.append(np.flatnonzero(new), len(flat))
+    which = np.empty(len(flat), np.int32)
+    which[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del by
+    matrix = (np.cumsum(new, dtype=np.int64) - 1) * groups + group[post]  # token x group, the unions
+    matrix = np.unique(matrix)
+    of_token = np.searchsorted(matrix, np.arange(len(of_post)) * groups)
+    matrix = (matrix % groups).astype(np.int32)
 
     def spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
 
-    for q in range(len(sets)):
+    for q in range(docs):
         t = which[start[q] : start[q + 1]]
         need = -(-percent * n[q] // 100)
-        bound = np.bincount(matrix[spread(of_token[t], of_token[t + 1] - of_token[t])] % groups, minlength=groups)
+        bound = np.bincount(matrix[spread(of_token[t], of_token[t + 1] - of_token[t])], minlength=groups)
         may = (bound >= need)[group] & (n * percent <= 100 * n[q]) & (n * 100 >= percent * n[q]) & (root != root[q])
         if cross:
             may &= block != block[q]
         if not may.any():
             continue
         hits = post[spread(of_post[t], of_post[t + 1] - of_post[t])]
-        overlap = np.bincount(hits[may[hits]], minlength=len(sets))
+        overlap = np.bincount(hits[may[hits]], minlength=docs)
         for m in np.flatnonzero(may & (overlap * (100 + percent) >= percent * (n + n[q]))):
             if root[m] != root[q]:
                 a, b = min(root[m], root[q]), max(root[m], root[q])
                 root[root == b] = a
-                joined.join(int(m), q)
-    return joined
+    return root
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -289,7 +280,8 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
     sorted_lists = lists.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     maybe = written(sorted_lists.mapInArrow(meet, "a long, b long").distinct(), "maybe")
     parts = components(maybe, "parts")
-    sized = parts.join(parts.groupBy("root").agg(F.count(F.lit(1)).alias("c")), "root")
+    weighed = parts.join(classes.select("id", "n"), "id")
+    sized = weighed.join(weighed.groupBy("root").agg(F.sum("n").alias("c")), "root")
     sized = written(sized.select("id", F.col("root").alias("part"), "c"), "sized")
     small = sized.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     members = base.join(F.broadcast(sized) if small else sized, "id")
@@ -301,21 +293,24 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
                 cols = [batch.column(c).slice(w.first, w.n) for c in ("id", "part", "c")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "part", "c", "tokens"])
 
-    full = _blocks(members.select("id", "text", "part", "c").mapInArrow(whole_sets, "id long, part long, c long, tokens binary"), "c", PART_ROWS, "id")
+    full = _blocks(members.select("id", "text", "part", "c").mapInArrow(whole_sets, "id long, part long, c long, tokens binary"), "c", PART_TOKENS, "id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["part", "i", "j"]):
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+            tokens = t.column("tokens").combine_chunks()
+            tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+            n = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64) // 8
             ids = t.column("id").to_numpy()
-            order = np.lexsort((ids, [len(s) for s in sets]))
-            cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            joined = linked([sets[i] for i in order], t.column("block").to_numpy()[order], cross, percent)
-            ids = ids[order]
-            root = np.array([joined.find(i) for i in range(len(ids))])
+            order = np.lexsort((ids, n))
+            flat = np.concatenate([np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in order])
+            ids, n, block = ids[order], n[order], t.column("block").to_numpy()[order]
+            cross, split = t.column("i")[0].as_py() != t.column("j")[0].as_py(), t.column("c")[0].as_py() > PART_TOKENS
+            del t, tokens
+            root = linked(flat, n, block, cross, percent)
             least = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(least, root, ids)
             a, b = least[root], ids
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64()), pa.array(np.full((a != b).sum(), t.column("c")[0].as_py() > PART_ROWS))], ["a", "b", "split"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64()), pa.array(np.full((a != b).sum(), split))], ["a", "b", "split"])
 
     sorted_parts = full.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
     links = written(sorted_parts.mapInArrow(verify, "a long, b long, split boolean"), "links")
