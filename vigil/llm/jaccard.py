@@ -7,9 +7,9 @@ A document's set: its distinct k-word shingles (fewer words: all of them as one;
 2. Only documents that share one of their rarest tokens can link: any two sets this similar agree on one of the first
    n - ceil(percent * n / 100) + 1 tokens of each, whatever common order sorts them. The order puts tokens that many
    documents hold last (counts are summed over all documents; a token missed there costs time, never a link). In the
-   list of a token, pairs of fitting size are bounded from 512-bit parities of their sets, which differ in at most as
-   many bits as the sets differ in tokens; of the pairs left, a spanning forest goes on. It ties together all documents
-   among which links can exist.
+   list of a token, pairs of fitting size are bounded from parities of their sets (512 bits, more for larger sets), which
+   differ in at most as many bits as the sets differ in tokens; of the pairs left, a spanning forest goes on. It ties
+   together all documents among which links can exist.
 3. Each such part is one task's token-group matrix: its documents, ordered by size, are cut into groups of similar ones,
    each with the union of its tokens. A query document meets a group only if the group's union holds ceil(percent * n /
    100) of its tokens; only such groups are opened, and their members' exact overlaps counted. Links found join
@@ -60,13 +60,35 @@ def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
     return out
 
 
-def parity(sets: list[np.ndarray]) -> list[bytes]:
-    """BITS bits per set: whether an odd number of its tokens falls on each."""
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    bit = (mix(every) & np.uint64(BITS - 1)).astype(np.int64)
-    odd = np.packbits((np.bincount(doc * BITS + bit, minlength=len(sets) * BITS) & 1).astype(np.uint8).reshape(len(sets), BITS), axis=1)
-    return [x.tobytes() for x in odd]
+def parity_bits(n: int, percent: int) -> int:
+    """Bits of the parity of a set: a power of two from BITS on, more than thrice the difference that a link allows."""
+    most, bits = 2 * n * (100 - percent) // (100 + percent), BITS
+    while 10 * bits < 34 * most:
+        bits *= 2
+    return bits
+
+
+def parity(sets: list[np.ndarray], percent: int) -> list[bytes]:
+    """Of each set parity_bits bits: whether an odd number of its tokens falls on each."""
+    out = [b""] * len(sets)
+    bits = np.array([parity_bits(len(s), percent) for s in sets], np.int64)
+    for size in np.unique(bits):
+        of = np.flatnonzero(bits == size)
+        doc = np.repeat(np.arange(len(of)), [len(sets[i]) for i in of])
+        bit = (mix(np.concatenate([sets[i] for i in of])) & np.uint64(size - 1)).astype(np.int64)
+        odd = np.packbits((np.bincount(doc * size + bit, minlength=len(of) * size) & 1).astype(np.uint8).reshape(len(of), size), axis=1, bitorder="little")
+        for i, x in zip(of, odd, strict=True):
+            out[i] = x.tobytes()
+    return out
+
+
+def folded(odd: list[bytes], size: int) -> np.ndarray:
+    """Parities of `size` bytes or more as rows of that size: bits that agree in their low positions are summed up."""
+    out = np.empty((len(odd), size // 8), np.uint64)
+    for i, x in enumerate(odd):
+        row = np.frombuffer(x, np.uint64).reshape(-1, size // 8)
+        out[i] = row[0] if len(row) == 1 else np.bitwise_xor.reduce(row, axis=0)
+    return out
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -102,28 +124,32 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def possible_links(n: np.ndarray, odd: np.ndarray, block: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
+def possible_links(n: np.ndarray, odd: list[bytes], block: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a list whose sizes and parities allow a link. n ascending; cross: only pairs of different blocks."""
-    found, root, rows = [], np.arange(len(n)), max(1, CELLS // max(1, len(n)))
-    for a in range(0, len(n), rows):
-        b = min(a + rows, len(n))
-        if (root == root[0]).all():
-            break
-        stop = int(np.searchsorted(n, n[b - 1] * 100 // percent, "right"))
-        if stop <= a + 1:
-            continue
-        differ = np.bitwise_count(odd[a:b, None, :] ^ odd[None, a:stop, :]).sum(axis=2, dtype=np.int32)
-        both = n[a:b, None] + n[None, a:stop]
-        ok = differ.astype(np.int64) * (100 + percent) <= both * (100 - percent)
-        ok &= np.arange(a, stop)[None, :] > np.arange(a, b)[:, None]
-        if cross:
-            ok &= block[a:b, None] != block[None, a:stop]
-        for i in np.flatnonzero(ok.any(axis=1)):
-            to = np.flatnonzero(ok[i])
-            for r, at in zip(*np.unique(root[to], return_index=True), strict=True):
-                if r != root[a + i]:
-                    found.append((a + int(i), int(to[at])))
-                    root[root == max(r, root[a + i])] = min(r, root[a + i])
+    found, root = [], np.arange(len(n))
+    size = np.array([len(x) for x in odd])
+    for level in np.unique(size):  # a set against the larger ones, in the bits of the smaller
+        first, last = np.searchsorted(size, level), np.searchsorted(size, level, "right")
+        end = int(np.searchsorted(n, n[last - 1] * 100 // percent, "right"))
+        bits = folded(odd[first:end], int(level))
+        rows = max(1, CELLS * 8 // (bits.shape[1] * max(1, end - first)))
+        for a in range(first, last, rows):
+            b = min(a + rows, last)
+            stop = int(np.searchsorted(n, n[b - 1] * 100 // percent, "right"))
+            if stop <= a + 1 or (root[a:stop] == root[a]).all():
+                continue
+            differ = np.bitwise_count(bits[a - first : b - first, None, :] ^ bits[None, a - first : stop - first, :]).sum(axis=2, dtype=np.int32)
+            both = n[a:b, None] + n[None, a:stop]
+            ok = differ.astype(np.int64) * (100 + percent) <= both * (100 - percent)
+            ok &= np.arange(a, stop)[None, :] > np.arange(a, b)[:, None]
+            if cross:
+                ok &= block[a:b, None] != block[None, a:stop]
+            for i in np.flatnonzero(ok.any(axis=1)):
+                to = a + np.flatnonzero(ok[i])
+                for r, at in zip(*np.unique(root[to], return_index=True), strict=True):
+                    if r != root[a + i]:
+                        found.append((a + int(i), int(to[at])))
+                        root[root == max(r, root[a + i])] = min(r, root[a + i])
     return found
 
 
@@ -248,7 +274,7 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(w.first, w.n), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()),
-                        pa.array([x for _, x in prints], pa.int64()), pa.array(parity(sets), pa.binary()), pa.array(first, pa.list_(pa.int64())),
+                        pa.array([x for _, x in prints], pa.int64()), pa.array(parity(sets, percent), pa.binary()), pa.array(first, pa.list_(pa.int64())),
                     ],
                     ["id", "n", "f1", "f2", "odd", "first"],
                 )
@@ -267,9 +293,9 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
             n = t.column("n").to_numpy()
             order = np.argsort(n, kind="stable")
             ids = t.column("id").to_numpy()[order]
-            odd = np.frombuffer(b"".join(t.column("odd").to_pylist()), np.uint64).reshape(len(n), BITS // 64)[order]
+            odd = t.column("odd").to_pylist()
             cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            for x, y in possible_links(n[order], odd, t.column("block").to_numpy()[order], cross, percent):
+            for x, y in possible_links(n[order], [odd[i] for i in order], t.column("block").to_numpy()[order], cross, percent):
                 out_a.append(min(ids[x], ids[y]))
                 out_b.append(max(ids[x], ids[y]))
             if len(out_a) > 50_000:
