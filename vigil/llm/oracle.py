@@ -92,7 +92,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), t AS (
-  SELECT *, 2 + length(role) + 3 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 8 AS chars FROM c
+  SELECT *, 2 + length(role) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(role, '\|\\*>')) + 3 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 8 AS chars FROM c
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
