@@ -43,6 +43,14 @@ def merge_places(candidates: DataFrame, key: str) -> DataFrame:
     return merged.withColumn("name", best).drop("_names")
 
 
+def merge_regions(candidates: DataFrame, key: str) -> DataFrame:
+    """Regions of a post, each code once: the first provider's row, codes compared in lower case without outer space."""
+    code = F.lower(F.trim("region_code"))
+    named = candidates.where((F.col("kind") == "region") & (F.coalesce(code, F.lit("")) != ""))
+    first = lambda c: F.min_by(c, F.struct("provider_ord", "ord")).alias(c)
+    return named.groupBy(key, code.alias("code")).agg(first("name"), first("provider"))
+
+
 def precision(places: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     """(key, precision, completeness) of posts with any place or region."""
     city = F.col("kind").isin(*CITY_KINDS)

@@ -182,6 +182,7 @@ QUERIES = {
     "validation_tally": lambda s, d: resolve.decide(match_cascade(s, d)).groupBy("decision").agg(F.count(F.lit(1)).alias("n")),
     "union_candidates": lambda s, d: _nodes(s, d).select("post_id", "name", "kind", "provider", "provider_ord"),
     "finalizer_places": lambda s, d: merge.merge_places(_nodes(s, d), "post_id"),
+    "finalizer_regions": lambda s, d: merge.merge_regions(_nodes(s, d).withColumn("kind", F.when(F.col("provider") != "dadata", "region").otherwise(F.col("kind"))).withColumn("region_code", F.coalesce("region_code", F.concat(F.lit(" BRAND#"), (F.col("post_id") % 20).cast("string")))), "post_id"),
     "geo_precision": geo_precision,
     "source_label": lambda s, d: contributions(s, d).groupBy("place_id").agg(F.collect_set("provider").alias("p")).select("place_id", merge.source_label(F.col("p")).alias("label")),
     "composite_enrich": lambda s, d: _t(s, d, "part").select("p_partkey", merge.first_answer(None, [F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.when(F.col("p_size") % 3 == 0, F.col("p_type")), F.lit("none")]).alias("answer")),
@@ -255,6 +256,8 @@ SELECT e.key, CASE WHEN o.key IS NULL THEN 'added' WHEN e.d = o.d THEN 'noop' EL
     "validation_tally": f"{_DECIDE_SQL} SELECT decision, count(*) AS n FROM d GROUP BY decision",
     "union_candidates": f"SELECT post_id, name, kind, provider, po AS provider_ord FROM ({_NODES_SQL})",
     "finalizer_places": f"WITH {_MERGED_SQL} SELECT * FROM pl",
+    "finalizer_regions": f"""WITH n AS ({_NODES_SQL}), r AS (SELECT post_id, name, provider, po, lower(trim(coalesce(region_code, ' BRAND#' || (post_id % 20)))) AS code FROM n WHERE provider <> 'dadata')
+SELECT post_id, code, arg_min(name, po) AS name, arg_min(provider, po) AS provider FROM r GROUP BY post_id, code""",
     "geo_precision": f"""WITH {_MERGED_SQL}, a AS (SELECT post_id, bool_or(kind IN ('city', 'locality')) AS c, bool_or(lat IS NOT NULL AND lon IS NOT NULL) AS x, bool_or(kind = 'district') AS d FROM pl GROUP BY post_id),
 r AS (SELECT DISTINCT post_id FROM n WHERE kind = 'region')
 SELECT post_id, CASE WHEN c AND x THEN 'locality_with_coords' WHEN c THEN 'locality' WHEN d THEN 'district' ELSE 'region' END AS precision, CASE WHEN c AND x THEN 1.0::DOUBLE WHEN c THEN 0.75::DOUBLE WHEN d THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS completeness FROM a FULL JOIN r USING (post_id)""",
