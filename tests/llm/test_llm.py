@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from vigil.llm import bpe, chat, html_text, jaccard, ring, toxicity
+from vigil.llm import bpe, chat, html_text, jaccard, ring, substrings, toxicity
 from vigil.llm.oracle import OP1, OP2, OP4, OP8, ORACLE_SQL
 from vigil.llm.queries import QUERIES
 
@@ -103,6 +103,37 @@ def test_null_ids_and_repeated_rows(spark, tmp_path, name):
         assert got.count() == 5  # -1, 1, 2, 3 and the null conversation
 
 
+def without_repeats(rows, window):
+    """Of each (id, text) its words without the windows that a smaller id has."""
+    rows = [(2**63 - 1 if i is None else i, (t or "").split()) for i, t in rows]
+    owner = {}
+    for i, w in rows:
+        for at in range(len(w) - window + 1):
+            k = tuple(w[at : at + window])
+            owner[k] = min(i, owner.get(k, i))
+    out = []
+    for i, w in rows:
+        gone = {x for at in range(len(w) - window + 1) if owner[tuple(w[at : at + window])] < i for x in range(at, at + window)}
+        out.append((len(w), len(gone), hashlib.sha256(" ".join(x for at, x in enumerate(w) if at not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_lists_of_a_row_are_bounded_by_its_own_text(spark, monkeypatch, limit):
+    monkeypatch.setattr(substrings, "BROADCAST_IDS", limit, raising=False)
+    rng = np.random.default_rng(3)
+    phrases = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 12)) for _ in range(40)]
+    text = lambda: " ".join([*(phrases[x] for x in rng.integers(0, 40, 2)), *(f"u{x}" for x in rng.integers(0, 10**6, 12))])
+    rows = [(None, text()) for _ in range(100)] + [(7, text()) for _ in range(60)] + [(-i, text()) for i in range(40)] + [(i, text()) for i in range(100, 160)] + [(7, phrases[0]), (7, phrases[0]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen, kind = [], type(docs)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, f=kind.mapInArrow, **b: seen.append(self) or f(self, *a, **b))
+    got = substrings.dedupe(docs, window=8, prefix=4)
+    assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == without_repeats(rows, 8)
+    most = seen[-1].selectExpr("max(size(_alone))", "max(size(_own))").first()
+    assert max(most) <= 36 - 8 + 1  # no text has more windows
+
+
 @pytest.fixture(scope="module")
 def codec():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

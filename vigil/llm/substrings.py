@@ -6,15 +6,16 @@ shuffled: a passage that a third of all documents hold costs a row per task, not
 
 1. Prefixes. The suffixes are split by prefixes of PREFIX words. A window of `window` words holds many such prefixes;
    the one with the smallest hash stands for it, so equal windows are filed under the same prefix, and only one prefix in
-   about twenty is filed at all. A prefix whose leaves are of one document has no internal node below it and goes no
-   further: each document is told which of its prefixes these are.
+   about twenty is filed at all. A prefix whose leaves are of one row has no internal node below it and goes no
+   further: each row is told which of its prefixes these are.
 2. Extension. Suffixes below the other prefixes are extended to `window` words. Their nodes are the deep internal nodes:
-   each keeps the smallest document it leads to, its owner, and each document is told the nodes it owns.
+   each keeps the smallest document it leads to, its owner, and each row is told the nodes its document owns.
 3. Reading off. Windows of a document below shared prefixes that it does not own are repeats of an earlier document;
    overlapping ones join into the maximal repeats, whose words go.
 
 A node is the 64-bit hash of its words (a chance of about 1e-5 that any two differ and agree in 1e7 distinct windows of
-one prefix-sharing corpus of 1 GB; equal words always agree). Joins are on the document id only, so copies are not hot.
+one prefix-sharing corpus of 1 GB; equal words always agree). Lists are gathered and joined by row, never by document id:
+a row's lists are as long as its own text, and neither copies nor ids that many rows share (null is one) are hot there.
 
 Words are runs of [^\\x20\\x09-\\x0D], unchanged; a null text has none; texts shorter than the window lose nothing. A null
 id counts as the largest. Rows with equal ids count as one document: neither loses words to the other.
@@ -30,9 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .words import SPACED, Words, pair, windows, words_of
 
 WINDOW, PREFIX = 50, 16
+#: Ids of several rows that are sent to every task at most; with more, Spark joins them by shuffling.
+BROADCAST_IDS = 400_000
 _LAST = (1 << 63) - 1
 
 
@@ -97,34 +101,59 @@ def kept_bytes(w: Words, keep: np.ndarray) -> list[bytes]:
     return [out[cut[i] : cut[i + 1]] for i in range(w.n)]
 
 
+def _rows(base: DataFrame) -> tuple[DataFrame, bool]:
+    """base with a key _r of each row, and whether any id stands in several rows.
+
+    An id of one row is its own key. Otherwise the rows are written with numbers, those of repeated ids below zero.
+    """
+    repeated = written(base.groupBy("_k").count().where("count > 1").select("_k", F.lit(True).alias("_several")), "repeated")
+    n = repeated.limit(BROADCAST_IDS + 1).count()
+    if not n:
+        return base.withColumn("_r", F.col("_k")), False
+    flagged = base.join(F.broadcast(repeated) if n <= BROADCAST_IDS else repeated, "_k", "left")
+    number = F.monotonically_increasing_id()
+    return written(flagged.withColumn("_r", number).withColumn("_r", F.when(F.col("_several"), -1 - F.col("_r")).otherwise(F.col("_r"))).drop("_several"), "rows"), True
+
+
+def _owned(deep: DataFrame, several: bool) -> DataFrame:
+    """(_r, _own): of each row the nodes that its document owns."""
+    if not several:
+        return deep.groupBy("h").agg(F.min("_r").alias("_r")).groupBy("_r").agg(F.collect_list("h").alias("_own"))
+    owner = deep.groupBy("h").agg(F.min("_k").alias("_k"), F.min_by("_r", "_k").alias("_r"))
+    # a repeated id owns a node in all of its rows that have it
+    shared = deep.where("_r < 0").join(owner.where("_r < 0").select("h", "_k"), ["h", "_k"], "left_semi")
+    return owner.where("_r >= 0").select("_r", "h").unionByName(shared.select("_r", "h")).groupBy("_r").agg(F.collect_list("h").alias("_own"))
+
+
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """key, carry columns, n_words, n_removed, kept_sha256, and with with_text also kept_text (text as it was where no word went)
     and repeats array<struct<start,end>> (maximal repeats, in words), one row per row of docs."""
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("_k"), *dict.fromkeys([key, *carry, text]))
+    base, several = _rows(base)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_k").to_numpy()
+            rows = batch.column("_r").to_numpy()
             for w in words_of(batch.column(text), SPACED):
                 _, p, whole = window_prefixes(w, window, prefix)
                 at = np.flatnonzero(whole)
                 doc = w.doc_of()[at]
                 new = np.ones(len(at), bool)
                 new[1:] = (p[at[1:]] != p[at[:-1]]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(p[at[new]].view(np.int64)), pa.array(ids[w.first + doc[new]])], ["p", "_k"])
+                yield pa.RecordBatch.from_arrays([pa.array(p[at[new]].view(np.int64)), pa.array(rows[w.first + doc[new]])], ["p", "_r"])
 
-    filed = base.select("_k", text).mapInArrow(prefixes, "p long, _k long")
-    alone = filed.groupBy("p").agg(F.min("_k").alias("_k"), F.max("_k").alias("_m")).where("_k = _m").groupBy("_k").agg(F.collect_list("p").alias("_alone"))
+    filed = base.select("_r", text).mapInArrow(prefixes, "p long, _r long")
+    alone = filed.groupBy("p").agg(F.min("_r").alias("_r"), F.max("_r").alias("_m")).where("_r = _m").groupBy("_r").agg(F.collect_list("p").alias("_alone"))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_k").to_numpy()
+            keys = [batch.column(k).to_numpy() for k in (["_k", "_r"] if several else ["_r"])]
             for w, _, h, doc in _candidates(batch, text, window, prefix):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[w.first + doc])], ["h", "_k"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(k[w.first + doc]) for k in keys)], ["h", "_k", "_r"] if several else ["h", "_r"])
 
-    told = base.join(alone, "_k", "left")
-    deep = told.mapInArrow(nodes, "h long, _k long")
-    owned = deep.groupBy("h").agg(F.min("_k").alias("_k")).groupBy("_k").agg(F.collect_list("h").alias("_own"))
+    told = base.join(alone, "_r", "left")
+    deep = told.mapInArrow(nodes, "h long, _k long, _r long" if several else "h long, _r long")
+    owned = _owned(deep, several)
     names = list(dict.fromkeys([key, *carry]))
     schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names] + ["n_words long, n_removed long, kept_sha256 string"] + ["kept_text string, repeats array<struct<start:int,end:int>>"] * with_text)
     spans_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -155,4 +184,4 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 cols += [pa.array(kept, pa.string()), pa.array(repeats, spans_of)]
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_removed", "kept_sha256", *["kept_text", "repeats"] * with_text])
 
-    return told.join(owned, "_k", "left").mapInArrow(read_off, schema)
+    return told.join(owned, "_r", "left").mapInArrow(read_off, schema)
