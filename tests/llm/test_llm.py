@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from vigil.llm import bpe, chat, html_text, jaccard, ring, substrings, toxicity
+from vigil.llm import bpe, chat, decontaminate, html_text, jaccard, ring, substrings, toxicity
 from vigil.llm.oracle import OP1, OP2, OP4, OP8, ORACLE_SQL
 from vigil.llm.queries import QUERIES
 
@@ -118,6 +118,25 @@ def without_repeats(rows, window):
     return sorted(out)
 
 
+def test_matches_are_the_longest_on_their_diagonal(spark):
+    rng = np.random.default_rng(5)
+    items = [[f"b{x}" for x in rng.integers(0, 10**6, 40)] for _ in range(3)]
+    items[2][5:25] = items[0][10:30]
+    rows = [["out"] * 4 + items[0][3:33] + ["x"] + items[1][:13] + ["out"], items[2][20:] + items[2][:20], items[1][:12], items[0] + items[0]]
+    want = set()
+    for d, w in enumerate(rows):
+        for n, b in enumerate(items):
+            for i in range(len(w)):
+                for j in range(len(b)):
+                    if w[i] == b[j] and not (i and j and w[i - 1] == b[j - 1]):
+                        size = next((k for k in range(min(len(w) - i, len(b) - j)) if w[i + k] != b[j + k]), min(len(w) - i, len(b) - j))
+                        want |= {(d, f"i{n}", i, j, size)} if size >= 13 else set()
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{n}", " ".join(b)) for n, b in enumerate(items)], "item_id string, text string")
+    got = decontaminate.search_documents(docs, bench, with_matches=True).collect()
+    assert sorted((r["doc_id"], *m) for r in got for m in r["matches"]) == sorted(want)
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_lists_of_a_row_are_bounded_by_its_own_text(spark, monkeypatch, limit):
     monkeypatch.setattr(substrings, "BROADCAST_IDS", limit, raising=False)
