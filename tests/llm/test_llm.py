@@ -149,8 +149,46 @@ def test_lists_of_a_row_are_bounded_by_its_own_text(spark, monkeypatch, limit):
     monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, f=kind.mapInArrow, **b: seen.append(self) or f(self, *a, **b))
     got = substrings.dedupe(docs, window=8, prefix=4)
     assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == without_repeats(rows, 8)
-    most = seen[-1].selectExpr("max(size(_alone))", "max(size(_own))").first()
-    assert max(most) <= 36 - 8 + 1  # no text has more windows
+    lists = [f.selectExpr(f"max(size({c}))").first()[0] for f in seen for c in f.columns if c in ("_alone", "_hot", "_gone", "_own")]
+    assert lists and max(x or 0 for x in lists) <= 36 - 8 + 1  # no text has more windows
+
+
+@pytest.mark.parametrize("group_bytes", [1, 2500, 1 << 20])
+def test_prefixes_are_lengthened_until_groups_fit(spark, monkeypatch, group_bytes):
+    """Passages held by 3, 12 and 40 documents, and documents beyond a slice, against brute force; small groups force all three lengths."""
+    rng = np.random.default_rng(11)
+    passages = [[f"p{j}-{i}" for i in range(90)] for j in range(3)]
+    rows = []
+    for i in range(60):
+        body = [f"u{i}-{x}" for x in range(30)]
+        for j, holders in enumerate((3, 12, 40)):
+            if i % 60 < holders:
+                at = int(rng.integers(0, 20))
+                body += passages[j][at : at + 60 + int(rng.integers(0, 11))] + [f"v{i}"]
+        rows.append((i * 7 % 61, " ".join(body)))
+    long = " ".join(f"long{x % 150_000}" for x in range(170_000))  # over 1 MiB, repeats itself
+    rows += [(200, long), (100, "x " + long[: len(long) // 2]), (300, "same " * 3000), (301, "same " * 2000), (302, None), (None, rows[0][1])]
+    seen, real = [], substrings._gathered
+    monkeypatch.setattr(substrings, "_gathered", lambda parts, name: seen.append((name, len(parts))) or real(parts, name))
+    got = substrings.dedupe(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), group_bytes=group_bytes)
+    assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == without_repeats(rows, 50)
+    lengthened = max([n for name, n in seen if name == "_hot"], default=0)
+    assert lengthened == {1: 2, 2500: 2, 1 << 20: 0}[group_bytes]
+
+
+def test_subtree_nodes_equal_brute_force():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 3, int(n)).astype(np.uint64) for n in rng.integers(4, 30, 12)]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    leaves = np.concatenate([np.arange(begin[i], begin[i + 1] - 3) for i in range(len(parts))])
+    order, common = substrings.subtree(np.concatenate(parts), begin, leaves)
+    suffix = {int(at): tuple(parts[i][at - begin[i] :]) for i in range(len(parts)) for at in range(begin[i], begin[i + 1])}
+    assert [suffix[int(x)] for x in order] == sorted(suffix[int(x)] for x in leaves)
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert common[1:].tolist() == [shared(suffix[int(a)], suffix[int(b)]) for a, b in zip(order, order[1:])]
+    first, last, depth = substrings.deep_nodes(common, 4)
+    assert all(depth[i] == shared(suffix[int(order[a])], suffix[int(order[b - 1])]) >= 4 for i, (a, b) in enumerate(zip(first, last)))
+    assert (last - first).sum() == sum(1 for i in range(len(order)) if max(common[i], common[i + 1] if i + 1 < len(order) else 0) >= 4)
 
 
 @pytest.fixture(scope="module")
