@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 
 import duckdb
 import numpy as np
@@ -262,6 +263,68 @@ def test_html_blocks():
     assert html_text.main_text("") == "" and html_text.main_text("plain <b>text</b>") == "plain text"
 
 
+SAID = "The first paragraph of the article is long enough to hold several of the usual words that are in it."
+MORE = f"{SAID} {SAID} {SAID}"
+RUSSIAN = "Это длинный русский текст о том, как жили люди в старом городе. " * 6
+PAGES = {
+    f'<article class="post has-comments"><p>{SAID}</article>': [SAID],
+    f'<div class="post comments-open"><p>{MORE}</div>': [MORE],
+    f'<div class="no-sidebar with-ads-off"><p>{MORE}</div><div class="site-footer">c</div>': [MORE],
+    f"<article><p>{SAID}<p><a href=x>{SAID}</a></article>": [SAID, SAID],
+    f"<article><p>x <math><mi>a</mi><mo>+</mo></math> y {SAID}</article>": [f"x a+ y {SAID}"],
+    f"<html><body><div><p>{RUSSIAN}</p><p>Коротко.</p></div></body></html>": [RUSSIAN.strip(), "Коротко."],
+    f"<nav>a <a>b</a></nav><article><h1>T</h1><p>by me</p><p>{SAID}</p></article>": ["T", "by me", SAID],
+    f"<article><h1>T</h1><div class=ad>buy</div><p>by me</p><p>{SAID}</p></article>": ["T", "by me", SAID],
+    f"<form><div class='content sidebar-right'><article><p>{SAID}</article></div></form>": [SAID],
+    f'<div class="content sidebar-right"><article><p>{MORE}</article></div><div class="comments"><article><p>{SAID} So I think.</article></div>': [MORE],
+    f'<article><p>{SAID}</article><div class="comments"><article class="comment"><p>{SAID} So I think.</article></div>': [SAID],
+    f"<article>teaser</article><div><p>{MORE}<p>{MORE} Second.</div>": ["teaser", MORE, MORE + " Second."],
+    f"<p>{MORE}<p>short<p>brief<ul><li><a>one link here</a><li><a>other link here</a></ul>": [MORE, "short"],
+    f"<article><p>{SAID}<svg><text>no</text></svg> and <button>no</button>on<select><option>no</select></article>": [f"{SAID} and on"],
+    f"<article><p>{SAID} <span class=ad>no</span>yes<template><p>no</template></article>": [f"{SAID} yes"],
+    f"<article><ul><li>a<li>b</ul><p>{SAID}<table><tr><td>c<td>d</table></article>": ["a", "b", SAID, "c", "d"],
+    f"<article><header><h1>T</h1></header><p>{SAID}</article><header>site</header>": ["T", SAID],
+    "a < b &lt; c &amp;amp; <b>d</b><!-- e --><!-->f": ["a < b < c &amp; df"],
+    f"<head><title>t</title><div><article><p title='a>b'>{SAID}</article></div>": [SAID],
+    f"<article><p class='x>y {SAID}": [f"y {SAID}"],
+    "": [],
+    "<nav>a</nav><aside>b</aside>": [],
+    f"<aside><article><p>{SAID}</article></aside>": [],
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_hand_labelled_pages(page):
+    assert html_text.main_text(page) == "\n\n".join(PAGES[page])
+
+
+def test_second_pass_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 14))
+        found = [("x", 0.0, bool(a), bool(b)) for a, b in rng.integers(0, 2, (n, 2))]
+        labels = [0 if b[3] else int(x) for b, x in zip(found, rng.integers(-1, 2, n), strict=True)]
+        want = []
+        for i, (_, _, inside, _) in enumerate(found):
+            votes = sorted((abs(i - j), labels[j]) for j in range(n) if labels[j] >= 0 and found[j][2] == inside and not (inside and found[j][3]))
+            near = {x for d, x in votes if d == votes[0][0]}
+            want.append(labels[i] if labels[i] >= 0 else near.pop() if len(near) == 1 else int(inside))
+        assert html_text.inherit(found, labels) == want
+
+
+HOSTILE = {
+    "quotes": '<a "' * 250_000, "quotes, then a bracket": "<a x='" * 200_001 + ">", "open": "<div>" * 100_000 + "</section></span>" * 30_000, "names": "<a" * 500_000, "raw": "<script>" + "</script " * 100_000,
+    "marks": "<div class=ad>x" * 60_000, "inline": "<b class=ad>" * 50_000 + "</i>" * 50_000, "comments": "<!--" * 250_000, "run": "<span class=ad><div>" + "<a>" * 50_000 + "</span>" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    began = time.process_time()
+    html_text.main_text(HOSTILE[name])
+    assert time.process_time() - began < 4  # about a megabyte each; two seconds at most on an idle machine
+
+
 def test_pipeline_equals_plain_version(spark, codec):
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{SF}/documents.parquet")

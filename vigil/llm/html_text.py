@@ -1,28 +1,41 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one cuts a page into blocks at block-level tags and judges each by itself: blocks inside menus, page headers and
-footers, sidebars, notices, adverts, forms or reader comments are out; of the rest, link density, length and the share
-of stop words decide good or bad where they can. Pass two gives the undecided (mostly short) blocks the label of their
-nearest decided neighbours; inside an article or main element an undecided block with neighbours that disagree is good.
+A page is cut into blocks at block-level tags. Parts that are marked as something else are out: menus, page headers and
+footers, sidebars, notices, adverts, forms, reader comments; by element name, or by a class, id or role token of known
+meaning (a whole token such as "comments" or "site-footer", never a word inside another, as in "has-comments"). If every
+article or main element of a page stood in a part that is out by such a token or by a form or header, the marks around the
+largest are void: layouts name their columns so.
 
-Pages are independent: no shuffle, one page's memory at a time. Null html is an empty page with empty text; equal rows
-give equal rows; a page without tags is one block.
+Pass one judges each block by itself. Outside an article, link density decides bad; length and the share of stop words
+decide good or bad. Inside, enough length and stop words decide good, and nothing but its mark decides bad. On pages whose
+words are of none of the stop-word languages, length and links decide alone. Pass two gives each undecided (mostly short)
+block the label of its nearest decided neighbour: inside an article of those decided there, outside of those outside, marked
+parts included; neighbours at one distance that disagree make it good inside an article, bad outside. Blocks outside an
+article stay only where they hold more good text than all articles do (an article may be but a teaser card).
+
+Time and memory are linear in a page's length, whatever it holds: tags are scanned once from left to right, an unclosed
+quote ends at the next ">", and closing tags without an open element cost nothing. Pages are independent: no shuffle, one
+page's memory at a time. Null html is an empty page with empty text; equal rows give equal rows; a page without tags is one
+block; if nothing on a page can be decided, what no mark speaks against stays.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Share of a block's characters inside links from which it is navigation, outside and inside an article.
-LINKS_OUT, LINKS_IN = 0.33, 0.6
-#: Blocks of fewer characters can't be decided by their words; of more, by the share of stop words.
+#: Share of a block's characters inside links from which it is navigation, outside an article.
+LINKS = 0.33
+#: Blocks of fewer characters can't be decided by their words; outside articles only blocks of LONG characters are good.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.12, 0.25
+#: A page with a smaller share of stop words than this is in another language.
+KNOWN = 0.05
 
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his in is it its not of on or she that the their they this to was were what when which who will with you "
@@ -31,154 +44,274 @@ STOP_WORDS = frozenset(
     "al como con cuando del el ella en entre era es esa ese esta este fue ha hay la las lo los más me no o para pero por que se si sin sobre su sus también un una y".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|!--|[!?])")
+_PLAIN = re.compile(r"[^>\"']*+")
+_NAMES = re.compile(r"""(?:\A|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
-_RAW = {x: re.compile(rf"</{x}\b[^>]*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "object", "select", "button", "math", "canvas", "audio", "video")}
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+_RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+>", re.I) for x in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
+_VOID = frozenset("area base br col embed img input link meta param source track wbr".split())
+_BLOCK = frozenset(
+    "address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "legend li listing main menu nav ol p plaintext pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 hr".split())
-#: Elements, and words of class, id or role, whose content is never main text.
+_IN_HEAD = frozenset("meta link title style script base noscript template".split())
+#: Elements whose content is never main text; elements that are no text at all, with blocks inside or not.
 _OUT = frozenset("nav footer aside form dialog menu head fieldset".split())
+_HELD = frozenset("noscript template svg object canvas audio video".split())
+_DROPPED = frozenset("button select datalist".split())
+#: Parts that are out by name but may hold a whole page.
+_SOFT = frozenset("form fieldset header".split())
+#: Tokens of class, id or role that mark a part as out, alone or joined to words of the second list.
 _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe "
-    "popup modal overlay sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist reply replies respond disqus share sharing social "
+    "popup modal overlay sidebar aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist reply replies respond disqus share sharing social "
     "related recommended login signup search pagination pager skip toolbar copyright legal complementary contentinfo".split()
 )
-_HEADER_WORDS = frozenset(["header", "banner", "topbar"])
+_PLACES = frozenset(
+    "site page global main top bottom left right primary secondary upper lower inner outer box boxes wrap wrapper container section area region block blocks list lists item items group row col column "
+    "bar panel slot unit text body content title heading link links button buttons icon icons form post posts article articles story stories thread header head template part widget field id".split()
+)
+_HEADER_WORDS = frozenset(["header", "topbar"])
+_MAIN_WORDS = frozenset("article main main-content post-content entry-content article-body article-content post-body story-body".split())
+
+
+def _tokens(attrs: str) -> set[str]:
+    return {t for m in _NAMES.findall(attrs) for t in "".join(m).lower().split()} if "=" in attrs else set()
+
 
+def _marked(tokens: set[str]) -> bool:
+    """Whether a token says that the part is not main text: of its words one says so, the others only where it stands."""
+    for t in tokens:
+        words = _PART.findall(t)
+        if any(w in _OUT_WORDS for w in words) and all(w in _OUT_WORDS or w in _PLACES for w in words):
+            return True
+    return False
 
-def _named(attrs: str) -> set[str]:
-    return {w for m in _NAMES.findall(attrs) for w in _PART.findall("".join(m).lower())} if "=" in attrs else set()
+
+class _Mark:
+    """A part that is out, inside another such part or not; soft marks can be void."""
+
+    __slots__ = ("out", "parent", "set", "soft")
+
+    def __init__(self, parent: _Mark | None, soft: bool):
+        self.parent, self.soft, self.set, self.out = parent, soft, True, True
+
+
+def _void_around(mains: list[_Mark | None], size: list[int], marks: list[_Mark]) -> None:
+    """Where every article stands in a part that is out, soft marks around the largest are void. Marks are in order of opening."""
+    if not mains or any(m is None for m in mains):
+        return
+    m = mains[size.index(max(size))]
+    while m is not None:
+        m.set = m.set and not m.soft
+        m = m.parent
+    for m in marks:
+        m.out = m.set or (m.parent is not None and m.parent.out)
 
 
 def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
     """(text, share of it in links, whether it is inside a main element, whether it is in a part that is out), in page order."""
-    found: list[tuple[str, float, bool, bool]] = []
+    found: list[tuple[str, float, int, _Mark | None]] = []
     text: list[str] = []
     linked = total = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, out, main; both hold for what is inside
-    out = main = leaf_out = False
-    links = 0
+    stack: list[tuple[str, _Mark | None, int, bool, bool]] = []  # open elements: name, mark, number of the article, no text, inline; these hold for what is inside
+    opened: Counter[str] = Counter()
+    marks: list[_Mark] = []
+    mains: list[_Mark | None] = []
+    mark: _Mark | None = None
+    leaf: _Mark | None = None
+    main, dropped = 0, False
 
     def close() -> None:
-        nonlocal linked, total, leaf_out
+        nonlocal linked, total, leaf
         if text:
             whole = " ".join(unescape("".join(text)).split())
             if whole:
-                found.append((whole, linked / max(total, 1), main, out or leaf_out))
+                found.append((whole, linked / max(total, 1), main, leaf or mark))
             text.clear()
         linked = total = 0
-        leaf_out = False
+        leaf = None
 
     def add(piece: str) -> None:
         nonlocal linked, total
-        if piece:
+        if piece and not dropped:
             text.append(piece)
             n = len(piece.strip())
             total += n
-            linked += n if links else 0
-
-    def pop(name: str) -> None:
-        nonlocal out, main, links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                links = max(0, links - sum(x[0] == "a" for x in stack[i:]))
-                del stack[i:]
-                break
-        _, out, main = stack[-1] if stack else ("", False, False)
+            linked += n if opened["a"] else 0
 
-    at, size = 0, len(html)
-    while at < size:
-        m = _TOKEN.search(html, at)
+    def push(name: str, new: bool, soft: bool, is_main: bool = False, drop: bool = False, inline: bool = False) -> None:
+        nonlocal mark, main, dropped
+        if new:
+            mark = _Mark(mark, soft)
+            marks.append(mark)
+        if is_main:
+            mains.append(mark)
+            main = main or len(mains)
+        dropped = dropped or drop
+        stack.append((name, mark, main, dropped, inline))
+        opened[name] += 1
+
+    def pop(to: int) -> None:
+        nonlocal mark, main, dropped
+        for x in stack[to:]:
+            opened[x[0]] -= 1
+        del stack[to:]
+        _, mark, main, dropped, _ = stack[-1] if stack else ("", None, 0, False, False)
+
+    def pop_name(name: str) -> None:
+        if opened[name]:
+            i = len(stack) - 1
+            while stack[i][0] != name:
+                i -= 1
+            pop(i)
+
+    at, last = 0, html.rfind(">")
+    while at <= last:  # no tag ends beyond the last ">"
+        m = _TAG.search(html, at, last)
         if m is None:
-            add(html[at:])
             break
         add(html[at : m.start()])
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        name = m[2]
+        if name is None:
+            if m[0] == "<!--":
+                end = html.find("-->", at - 2)  # "<!-->" is a whole comment
+                at = end + 3 if end >= 0 else len(html)
+            else:
+                at = html.find(">", at) + 1
             continue
-        ending, attrs = bool(m[1] or m[4]), m[3] if m[2] else m[6]
+        begin = at
+        while html[at := _PLAIN.match(html, at).end()] != ">":  # the next quote counts if it is closed before the last ">"
+            end = html.find(html[at], at + 1, last)
+            if end < 0:
+                at = html.find(">", at)
+                break
+            at = end + 1
+        attrs, name, ending = html[begin:at], name.lower(), bool(m[1])
+        at += 1
+        if opened["head"] and not ending and name not in _IN_HEAD:
+            close()
+            pop_name("head")
         if name in _RAW:
-            if not ending and not attrs.endswith("/"):
-                e = _RAW[name].search(html, at)
-                at = e.end() if e else size
+            if not ending:
+                e = _RAW[name].search(html, at, last + 1)
+                at = e.end() if e else len(html)
+            continue
+        if name in _VOID:
+            if name == "br":
+                add(" ")
             continue
-        if name in _INLINE:
+        if name in _HELD:
             if ending:
-                if any(x[0] == name for x in reversed(stack[-8:])):
-                    pop(name)
-            elif name == "a" or (attrs and _named(attrs) & _OUT_WORDS):
-                if name != "a":
-                    close()
-                stack.append((name, out or bool(name != "a" and _named(attrs) & _OUT_WORDS), main))
-                out = stack[-1][1]
-                links += name == "a"
+                pop_name(name)
+            elif not attrs.endswith("/"):
+                push(name, False, False, drop=True)
             continue
-        if name in _VOID and name != "hr":
-            if name == "br":
-                text.append(" ")
+        if name not in _BLOCK:
+            if ending:
+                for i in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
+                    if not stack[i][4] or stack[i][0] == name:
+                        if stack[i][4]:
+                            pop(i)
+                        break
+            elif name == "a":
+                if stack and stack[-1][0] == "a":
+                    pop(len(stack) - 1)
+                push("a", False, False, inline=True)
+            elif name in _DROPPED or (attrs and _marked(_tokens(attrs))):
+                push(name, False, False, drop=True, inline=True)
             continue
         close()
-        while stack and stack[-1][0] in _INLINE:  # an inline element doesn't outlive its block
-            pop(stack[-1][0])
+        i = len(stack)
+        while i and stack[i - 1][4]:  # an inline element doesn't outlive its block
+            i -= 1
+        if i < len(stack):
+            pop(i)
         if name in _LEAF:
-            leaf_out = bool(attrs) and not ending and bool(_named(attrs) & _OUT_WORDS)
+            if attrs and not ending and _marked(_tokens(attrs)):
+                leaf = _Mark(mark, False)
+                marks.append(leaf)
             continue
         if ending:
-            pop(name)
+            pop_name(name)
             continue
-        if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            pop(name)
-        if name == "body" and any(x[0] == "head" for x in stack):
-            pop("head")
-        named = _named(attrs)
-        is_main = name in ("article", "main") or bool(named & {"article", "main"} and name == "div")
-        hidden = name in _OUT or (name == "header" and not main) or bool(named & _OUT_WORDS and name not in ("html", "body", "main")) or bool(not main and named & _HEADER_WORDS)
-        stack.append((name, out or hidden, main or (is_main and not hidden)))
-        _, out, main = stack[-1]
+        if name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
+            pop(len(stack) - 1)
+        tokens = _tokens(attrs)
+        by_word = name not in ("html", "body") and bool(tokens) and (_marked(tokens) or (not main and bool(tokens & _HEADER_WORDS)))
+        out = name in _OUT or (name == "header" and not main) or by_word
+        push(name, out, name not in _OUT or name in _SOFT, name in ("article", "main") or bool(tokens & _MAIN_WORDS and name in ("div", "section")))
+    if at < len(html):
+        add(html[max(at, 0) :])
     close()
-    return found
+    size = [0] * len(mains)
+    for t, _, number, _ in found:
+        if number:
+            size[number - 1] += len(t)
+    _void_around(mains, size, marks)
+    return [(t, share, number > 0, m is not None and m.out) for t, share, number, m in found]
+
+
+def stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_labels(found: list[tuple[str, float, bool, bool]]) -> list[int]:
+    """1 good, 0 bad, -1 undecided, of each block by itself; only the language is told from all of them."""
+    share = [0.0 if out or len(text) < SHORT else stop_share(text) for text, _, _, out in found]
+    weight = [0 if out or len(text) < SHORT else len(text) for text, _, _, out in found]
+    known = sum(s * w for s, w in zip(share, weight, strict=True)) >= KNOWN * sum(weight)
+    labels = []
+    for (text, links, main, out), s in zip(found, share, strict=True):
+        if out or (not main and links > LINKS):
+            labels.append(0)
+        elif len(text) < SHORT or links > LINKS:
+            labels.append(-1)
+        elif main:
+            labels.append(1 if s >= STOP_LOW or not known else -1)
+        elif len(text) >= LONG and (s >= STOP_HIGH or not known):
+            labels.append(1)
+        else:
+            labels.append(0 if known and s < STOP_LOW else -1)
+    return labels
 
 
-def first_label(text: str, links: float, main: bool, out: bool) -> int:
-    """1 good, 0 bad, -1 undecided, from the block alone."""
-    if out or links > (LINKS_IN if main else LINKS_OUT):
-        return 0
-    if len(text) < SHORT:
-        return -1
-    ws = text.lower().split()
-    share = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in ws) / len(ws)
-    if share >= STOP_HIGH and len(text) >= LONG or main and share >= STOP_LOW:
-        return 1
-    return 0 if share < STOP_LOW and not main else -1
+def inherit(found: list[tuple[str, float, bool, bool]], labels: list[int]) -> list[int]:
+    """Labels in which undecided blocks follow their nearest decided neighbour of the same region, inside main elements or outside."""
+    out, n = list(labels), len(found)
+    for inside in (True, False):
+        region = [i for i in range(n) if found[i][2] == inside]
+        votes = [i for i in region if labels[i] >= 0 and not (inside and found[i][3])]
+        at = 0
+        for i in region:
+            if labels[i] >= 0:
+                continue
+            while at < len(votes) and votes[at] < i:
+                at += 1
+            before, after = (votes[at - 1] if at else None), (votes[at] if at < len(votes) else None)
+            if before is None and after is None:
+                out[i] = int(inside)
+            elif before is None or after is None:
+                out[i] = labels[after if before is None else before]
+            elif labels[before] == labels[after] or i - before < after - i:
+                out[i] = labels[before]
+            else:
+                out[i] = labels[after] if after - i < i - before else int(inside)
+    return out
 
 
 def main_text(html: str) -> str:
     found = blocks(html)
-    labels = [first_label(*b) for b in found]
-    if all(x < 0 for x in labels):  # nothing to inherit from: what no rule speaks against stays
-        return "\n\n".join(b[0] for b in found)
-    n = len(found)
-    before, after, last = [-1] * n, [-1] * n, -1
-    for i in range(n):
-        before[i] = last
-        last = labels[i] if labels[i] >= 0 else last
-    last = -1
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = labels[i] if labels[i] >= 0 else last
-    has_main = any(b[2] and not b[3] for b in found)
-    keep = []
-    for b, x, p, q in zip(found, labels, before, after, strict=True):
-        if x < 0:
-            x = b[2] if has_main else (p if p == q or q < 0 else q if p < 0 else 0)
-        elif x and has_main and not b[2]:
-            x = 0
-        if x:
-            keep.append(b[0])
-    return "\n\n".join(keep)
+    labels = first_labels(found)
+    if not any(x == 1 for x in labels) and not any(b[2] and not b[3] for b in found) and any(x < 0 for x in labels) and all(x < 0 or b[3] for x, b in zip(labels, found, strict=True)):
+        labels = [int(x < 0) for x in labels]  # nothing to inherit from but marked parts: what no mark speaks against stays
+    else:
+        labels = inherit(found, labels)
+    size = [sum(len(b[0]) for b, x in zip(found, labels, strict=True) if x and b[2] == inside) for inside in (False, True)]
+    return "\n\n".join(b[0] for b, x in zip(found, labels, strict=True) if x and (b[2] or size[0] > size[1]))
 
 
 def extract(pages: DataFrame, html: str = "html", key: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
