@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from vigil.llm import bpe, chat, decontaminate, html_text, jaccard, ring, substrings, toxicity
+from vigil.llm import bpe, chat, decontaminate, html_text, jaccard, quality, ring, substrings, toxicity
 from vigil.llm.oracle import OP1, OP2, OP4, OP8, ORACLE_SQL
 from vigil.llm.queries import QUERIES
 
@@ -324,6 +324,17 @@ def test_hostile_pages_take_linear_time(name):
     html_text.main_text(HOSTILE[name])
     assert time.process_time() - began < 4  # about a megabyte each; two seconds at most on an idle machine
 
+def test_fences_come_from_the_group(spark):
+    """Equal texts in a plain and a symbol-rich source; a group of one junk row; a source of which 40 % is junk."""
+    plain_text, rich, junk = SAY, SAY + " # " * 40, SAY + " #" * 400
+    rows = [(plain_text, "en", "plain")] * 150 + [(rich, "en", "rich")] * 130 + [(SAY + " # " * (35 + i), "en", "rich") for i in range(10)]
+    rows += [(rich, "en", "plain"), (junk, "en", "lone"), (plain_text, "en", "lone2")] + [(plain_text, "en", "bad")] * 120 + [(junk, "en", "bad")] * 80
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {(r["source"], r["text"]): r["kept"] for r in quality.judge(docs, carry=("doc_id", "text")).collect()}
+    assert got["rich", rich] and not got["plain", rich]
+    assert got["plain", plain_text] and got["lone2", plain_text] and got["bad", plain_text]
+    assert not got["lone", junk] and not got["bad", junk]
+
 
 def test_pipeline_equals_plain_version(spark, codec):
     stages = dict(corpus_pipeline.STAGES)

@@ -29,13 +29,20 @@ WITH d AS (
          n_repeat_words / greatest(n_words, 1)::DOUBLE AS c
   FROM s
 ), q AS (
-  SELECT lang, source, quantile_disc(a, [0.25, 0.75]) AS qa, quantile_disc(b, [0.25, 0.75]) AS qb, quantile_disc(c, [0.25, 0.75]) AS qc
-  FROM r GROUP BY lang, source
+  SELECT lang, source, GROUPING(lang, source) AS lvl, count(*) AS n, quantile_disc(a, [0.25, 0.5]) AS qa, quantile_disc(b, [0.25, 0.5]) AS qb,
+         quantile_disc(c, [0.25, 0.5]) AS qc, quantile_disc(n_words, 0.5) AS mw, quantile_disc(n_lines, 0.5) AS ml
+  FROM r WHERE NOT base_failed GROUP BY ROLLUP (lang, source)
+), e AS (
+  SELECT lang, source, lvl, n, qa[2] + 7.0::DOUBLE * greatest(qa[2] - qa[1], 1.0::DOUBLE / mw) AS fa, qb[2] + 7.0::DOUBLE * greatest(qb[2] - qb[1], 1.0::DOUBLE / ml) AS fb,
+         qc[2] + 7.0::DOUBLE * greatest(qc[2] - qc[1], 2.0::DOUBLE / ml) AS fc
+  FROM q
+), f AS (
+  SELECT g.lang, g.source, CASE WHEN g.n >= 100 THEN g.fa WHEN l.n >= 100 THEN l.fa ELSE t.fa END AS fa,
+         CASE WHEN g.n >= 100 THEN g.fb WHEN l.n >= 100 THEN l.fb ELSE t.fb END AS fb, CASE WHEN g.n >= 100 THEN g.fc WHEN l.n >= 100 THEN l.fc ELSE t.fc END AS fc
+  FROM (SELECT * FROM e WHERE lvl = 0) g JOIN (SELECT * FROM e WHERE lvl = 1) l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT * FROM e WHERE lvl = 3) t
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND a <= qa[2] + greatest(0.25, 3.0 * (qa[2] - qa[1])) AND b <= qb[2] + greatest(0.35, 3.0 * (qb[2] - qb[1]))
-         AND c <= qc[2] + greatest(0.30, 3.0 * (qc[2] - qc[1])) AS kept
-FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(a <= fa AND b <= fb AND c <= fc, TRUE) AS kept
+FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """
 
 OP2 = r"""

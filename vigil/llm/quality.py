@@ -3,6 +3,12 @@
 Everything is a DataFrame expression. Words are runs of [^\\x20\\x09-\\x0D]; a null text has none. Each document's
 signals are computed inside its own row (no row per word is made), so the only shuffle carries one small quantile
 summary per language, source and task; no group is gathered anywhere, however many documents a source holds.
+
+A fence is the group's median plus FENCE times its spread. The spread is measured below the median, where junk does not
+reach unless it is half of a group, and is at least one event in the group's median document (a symbol, a repeated line),
+as a group of texts without any has no spread. For a bell curve the fence is Tukey's outer one. No signal has a cut-off of
+its own: what is rejected follows from the documents of the group, or, where these are fewer than MIN_ROWS, of the
+language, or of the whole corpus. Documents that the base rule fails take no part in the summaries.
 """
 
 from __future__ import annotations
@@ -16,10 +22,10 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Documents of fewer words fail, as do those of which more than half the words stand in repeated three-word windows.
 MIN_WORDS = 50
-#: Fences: a signal is rejected beyond upper quartile + FENCE * (upper - lower quartile), measured as its group measures it.
-FENCE = 3.0
-#: Below this distance from the group's upper quartile nothing is an outlier: it keeps fences of groups without spread off clean text.
-SLACK = {"symbol_rate": 0.25, "dup_line_rate": 0.35, "repeat_rate": 0.30}
+#: A signal is rejected beyond median + FENCE * spread: for a bell curve the upper quartile plus three times the quartiles' distance.
+FENCE = 7.0
+#: Documents from which on a group has fences of its own.
+MIN_ROWS = 100
 #: GK summary: rank error of at most 1 / ACCURACY of a group's rows.
 ACCURACY = 2000
 
@@ -86,17 +92,32 @@ def rates() -> dict[str, Column]:
     }
 
 
+def events() -> dict[str, Column]:
+    """What one event adds to each rate in the group's median document: a symbol, a line said again, its words said twice."""
+    return {"symbol_rate": F.lit(1.0) / F.col("_words"), "dup_line_rate": F.lit(1.0) / F.col("_lines"), "repeat_rate": F.lit(2.0) / F.col("_lines")}
+
+
 def thresholds(scored: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """One row per group with the upper fence of each rate, from quantile summaries that merge across tasks."""
-    r = rates()
-    quartiles = scored.groupBy(*by).agg(*(F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(k) for k, c in r.items()))
-    return quartiles.select(
-        *by,
-        *(
-            (F.get(F.col(k), F.lit(1)) + F.greatest(F.lit(SLACK[k]), FENCE * (F.get(F.col(k), F.lit(1)) - F.get(F.col(k), F.lit(0))))).alias(f"max_{k}")
-            for k in r
-        ),
-    )
+    """One row per group with the upper fence of each rate: its own, or below MIN_ROWS rows that of the next wider group.
+
+    by goes from wide to narrow; the summaries of all prefixes of by are merged from the tasks' in one pass.
+    """
+    r, one = rates(), events()
+    q = scored.where("not base_failed").rollup(*by).agg(
+        F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("_rows"), *(F.percentile_approx(c, [0.25, 0.5], ACCURACY).alias(k) for k, c in r.items()),
+        F.percentile_approx("n_words", 0.5, ACCURACY).alias("_words"), F.percentile_approx("n_lines", 0.5, ACCURACY).alias("_lines"),
+    )
+    low, mid = (lambda k, i=i: F.get(F.col(k), F.lit(i)) for i in (0, 1))
+    fence = F.struct(*((mid(k) + F.lit(FENCE) * F.greatest(mid(k) - low(k), one[k])).alias(f"max_{k}") for k in r))
+    fences = written(q.select(*by, "_level", F.when(F.col("_rows") >= MIN_ROWS, fence).alias("_own"), fence.alias("_any")), "levels")
+    out = fences.where("_level = 0").select(*by, F.col("_own").alias("_f0"))
+    for i in range(1, len(by) + 1):
+        level, keys = (1 << i) - 1, by[: len(by) - i]
+        wider = fences.where(F.col("_level") == level).select(*(F.col(k).alias(f"_w_{k}") for k in keys), F.col("_any" if not keys else "_own").alias(f"_f{i}"), F.lit(0).alias("_same"))
+        on = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
+        out = out.withColumn("_zero", F.lit(0)).join(wider, [F.col("_zero") == F.col("_same"), *on], "left").drop("_zero", "_same", *(f"_w_{k}" for k in keys))
+    found = F.coalesce(*(F.col(f"_f{i}") for i in range(len(by) + 1)))
+    return out.select(*by, *(found[f"max_{k}"].alias(f"max_{k}") for k in r))
 
 
 #: Groups whose fences are sent to every task at most; with more, Spark joins them by shuffling.
@@ -107,7 +128,8 @@ def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "s
     """carry + by columns, signals, the group's fences, base_failed and kept, one row per row of docs.
 
     kept is false where the base rule fails, else whether every rate is within its group's fence. Groups with a null
-    language or source are groups like others (the join is null-safe). An empty table gives an empty table.
+    language or source are groups like others (joins are null-safe, the wider groups are told apart by their level). An
+    empty table gives an empty table.
     The signals are written once, so the texts are read once for thresholds and verdicts alike.
     """
     keys = [k for k in dict.fromkeys([*carry, *by])]
