@@ -72,8 +72,9 @@ def test_awkward_rows_equal_sql(spark, odd, name):
     assert plain(QUERIES[name](spark, odd).toPandas()) == plain(duck(odd, ORACLE_SQL[name]))
 
 
-def test_small_blocks_lose_no_link(spark, odd, monkeypatch):
-    monkeypatch.setattr(jaccard, "LIST_ROWS", 3)
+@pytest.mark.parametrize("hits", [1, 3, 50])
+def test_small_blocks_lose_no_link(spark, odd, monkeypatch, hits):
+    monkeypatch.setattr(jaccard, "HITS", hits)
     monkeypatch.setattr(jaccard, "PART_TOKENS", 300)
     monkeypatch.setattr(jaccard, "COMMON", 1)
     assert plain(QUERIES["op4_ngram_jaccard"](spark, odd).toPandas()) == plain(duck(odd, OP4))
@@ -83,10 +84,32 @@ def test_large_sets_are_bounded_by_longer_parities():
     rng = np.random.default_rng(7)
     base = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
     near, far = np.unique(np.append(base[200:], rng.integers(0, 2**63, 200, dtype=np.uint64))), np.unique(np.append(base[:800], rng.integers(0, 2**63, 4200, dtype=np.uint64)))
-    sets = sorted([base, near, far], key=len)
+    sets = [base, near, far]
     n = np.array([len(s) for s in sets])
-    pairs = jaccard.possible_links(n, jaccard.parity(sets, 80), np.zeros(3, int), False, 80)
-    assert {frozenset(id(sets[i]) for i in p) for p in pairs} == {frozenset([id(base), id(near)])}
+    odd = jaccard.folded(jaccard.parity(sets, 80), jaccard.parity_bits(int(n.min()), 80) // 8)
+    assert jaccard.may_link(n, odd, 0, 80).tolist() == [True, True, False]
+    assert jaccard.linked(sets, np.zeros(3, int), False, 80).tolist() == [0, 0, 2]
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_matrix_opens_few_groups_and_every_needed_one(spark, monkeypatch, k, percent):
+    """Of the (query, group) pairs of a whole table that share a token most stay closed, and no linked pair is in a closed one."""
+    held, real = [], jaccard.bounds
+    monkeypatch.setattr(jaccard, "bounds", lambda classes, percent: held.append((classes, real(classes, percent))) or held[0][1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    jaccard.link_documents(docs, k=k, percent=percent).count()
+    bound = held[0][1].toPandas()
+    opened = {(r.id, r.g) for r in bound[bound.hits >= bound.k].itertuples()}
+    assert 0 < len(opened) < len(bound) / 2
+    texts = {r["doc_id"]: (r["text"] or "").lower().split() for r in docs.collect()}
+    sets = {r["id"]: (r["g"], {tuple(texts[r["id"]][i : i + k]) for i in range(max(1, len(texts[r["id"]]) - k + 1))}) for r in held[0][0].select("id", "g").collect()}
+    by_token = {}
+    for i, (_, s) in sets.items():
+        for x in s:
+            by_token.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in by_token.values() if len(ids) > 1 for a in ids for b in ids if sets[a][0] > sets[b][0]}
+    linked = {(a, b) for a, b in pairs if 100 * len(sets[a][1] & sets[b][1]) >= percent * len(sets[a][1] | sets[b][1])}
+    assert {(a, sets[b][0]) for a, b in linked} <= opened
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -4,20 +4,23 @@ A document's set: its distinct k-word shingles (fewer words: all of them as one;
 64-bit hashes. Two documents link when percent * |union| <= 100 * |intersection|.
 
 1. Equal sets become one class, counted from then on as its smallest document: copies cost an aggregate, not pairs.
-2. Only documents that share one of their rarest tokens can link: any two sets this similar agree on one of the first
-   n - ceil(percent * n / 100) + 1 tokens of each, whatever common order sorts them. The order puts tokens that many
-   documents hold last (counts are summed over all documents; a token missed there costs time, never a link). In the
-   list of a token, pairs of fitting size are bounded from parities of their sets (512 bits, more for larger sets), which
-   differ in at most as many bits as the sets differ in tokens; of the pairs left, a spanning forest goes on. It ties
-   together all documents among which links can exist.
-3. Each such part is one task's token-group matrix: its documents, ordered by size, are cut into groups of similar ones,
-   each with the union of its tokens. A query document meets a group only if the group's union holds ceil(percent * n /
-   100) of its tokens; only such groups are opened, and their members' exact overlaps counted. Links found join
-   components at once, so members already joined are not opened again.
-
-Lists and parts beyond a size are split into blocks, and each pair of blocks is a task of its own, so neither a common
-passage nor a large family of near copies gathers in one task, and no pair is lost. Links, parts and components stay
-tables in the shared folder; the driver sees counts only.
+2. Classes are partitioned into groups of similar ones: one size class and one smallest token hash, on which sets agree
+   as often as they are similar. The token-group matrix has a row for each (token, group): the union of the tokens of the
+   group's members, with the range of their sizes. Every document is a query against all groups at once: an equi-join of
+   its tokens with the matrix, whose count bounds its overlap with the group. Of each set only the rarest tokens are looked
+   at, in one order for all: of n tokens, n - ceil(percent * n / 100) + k; sets that link agree on k of these, so a group
+   of which fewer are hit (or whose sizes do not fit) can hold no link and stays closed. The order puts tokens that many
+   documents hold last (counts are summed over all documents; a token missed there costs time, never a link).
+3. Qualifying groups are opened: a task gets the whole sets of a group's members and of the queries that opened it, bounds
+   these once more by parities (512 bits, more for larger sets, that differ in at most as many bits as the sets differ in
+   tokens) and counts exact overlaps through the group's postings. Links found join components at once, so documents
+   already joined are not compared again.
+4. Links of all groups meet in connected components.
+
+A token's documents are counted and joined as rows, never gathered in one task. Of two groups that one token joins, only
+the documents of one are queries. A group beyond PART_TOKENS is split into blocks, and each pair of blocks is a task of its
+own, so a large family of near copies does not gather in one task, and no pair is lost. Links and components stay tables
+in the shared folder; the driver sees counts only. Tokens are 64-bit hashes: different shingles may share one by chance.
 A null id is left out of joins but keeps its row (component null); rows with equal ids are one document if texts agree.
 """
 
@@ -27,19 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
 from .words import SPACED_LOWER, Words, mix, windows, words_of
 
 BITS = 512
-#: Rows of a list, and tokens of a part, that make a block; a task compares two blocks at most, in memory in proportion.
-LIST_ROWS, PART_TOKENS = 8000, 400_000
-#: Cells of a list's table of pairs that are worked on at once.
-CELLS = 1 << 18
-GROUP = 32
+#: Tokens of a group that make a block; a task compares two blocks at most, in memory in proportion.
+PART_TOKENS = 64_000
+#: Tokens of a group's union that a query has to hit among its rarest ones, and size classes to a doubling of the size.
+HITS, SIZES = 3, 4
 #: A token counts as common from COMMON documents of a batch on; at most HOT of the most common are told to all tasks.
 COMMON, HOT = 3, 150_000
 BROADCAST_ROWS = 400_000
@@ -91,6 +92,13 @@ def folded(odd: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def group_of(s: np.ndarray) -> int:
+    """The group of a set: a 32-bit hash of its smallest token and size class. Groups that share a number are one group."""
+    if not len(s):
+        return 0
+    return int(mix(s[:1] + np.uint64(int(SIZES * np.log2(len(s))) << 48)).view(np.int64)[0] >> 32)
+
+
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     """Two sums over the tokens, each mixed another way: 128 bits that stand for the set."""
     a = np.add.reduce(mix(s ^ np.uint64(0x2545F4914F6CDD1D)))
@@ -124,55 +132,30 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def possible_links(n: np.ndarray, odd: list[bytes], block: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a list whose sizes and parities allow a link. n ascending; cross: only pairs of different blocks."""
-    found, root = [], np.arange(len(n))
-    size = np.array([len(x) for x in odd])
-    for level in np.unique(size):  # a set against the larger ones, in the bits of the smaller
-        first, last = np.searchsorted(size, level), np.searchsorted(size, level, "right")
-        end = int(np.searchsorted(n, n[last - 1] * 100 // percent, "right"))
-        bits = folded(odd[first:end], int(level))
-        rows = max(1, CELLS * 8 // (bits.shape[1] * max(1, end - first)))
-        for a in range(first, last, rows):
-            b = min(a + rows, last)
-            stop = int(np.searchsorted(n, n[b - 1] * 100 // percent, "right"))
-            if stop <= a + 1 or (root[a:stop] == root[a]).all():
-                continue
-            differ = np.bitwise_count(bits[a - first : b - first, None, :] ^ bits[None, a - first : stop - first, :]).sum(axis=2, dtype=np.int32)
-            both = n[a:b, None] + n[None, a:stop]
-            ok = differ.astype(np.int64) * (100 + percent) <= both * (100 - percent)
-            ok &= np.arange(a, stop)[None, :] > np.arange(a, b)[:, None]
-            if cross:
-                ok &= block[a:b, None] != block[None, a:stop]
-            for i in np.flatnonzero(ok.any(axis=1)):
-                to = a + np.flatnonzero(ok[i])
-                for r, at in zip(*np.unique(root[to], return_index=True), strict=True):
-                    if r != root[a + i]:
-                        found.append((a + int(i), int(to[at])))
-                        root[root == max(r, root[a + i])] = min(r, root[a + i])
-    return found
-
-
-def linked(flat: np.ndarray, n: np.ndarray, block: np.ndarray, cross: bool, percent: int) -> np.ndarray:
-    """The component (its first document) of each document of a part by their exact links, through a token-group matrix.
-
-    flat: the documents' sets one after the other, ascending by size; n: their sizes.
-    """
-    docs = len(n)
+def may_link(n: np.ndarray, odd: np.ndarray, q: int, percent: int) -> np.ndarray:
+    """Whether sizes and parities (rows of 64-bit words) allow a link of document q with each document."""
+    both = n + n[q]
+    ok = (n * percent <= 100 * n[q]) & (n[q] * percent <= 100 * n)
+    at = np.flatnonzero(ok)
+    differ = np.bitwise_count(odd[at] ^ odd[q]).sum(axis=1, dtype=np.int64)
+    ok[at] = differ * (100 + percent) <= both[at] * (100 - percent)
+    return ok
+
+
+def linked(sets: list[np.ndarray], block: np.ndarray, cross: bool, percent: int) -> np.ndarray:
+    """The component (its first document) of each document of an opened group by their exact links; cross: of different blocks only."""
+    docs = len(sets)
     root = np.arange(docs)
-    start = np.concatenate([[0], np.cumsum(n)])
+    n = np.array([len(x) for x in sets], np.int64)
     if docs == 2:
         if not cross or block[0] != block[1]:
-            both = len(np.intersect1d(flat[: n[0]], flat[n[0] :], assume_unique=True))
+            both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
             if both * (100 + percent) >= percent * (n[0] + n[1]):
                 root[1] = 0
         return root
-    # similar documents side by side: by block, size class, then their first token
-    order = np.lexsort((flat[start[:-1]], (np.log(n) * 8).astype(np.int64), block))
-    group = np.empty(docs, np.int64)
-    group[order] = np.arange(docs) // GROUP
-    groups = int(group.max()) + 1
-    del order
+    bits = parity_bits(int(n.min()), percent) // 8  # the larger sets' parities, folded to the length of the smallest's
+    odd = folded(parity(sets, percent), bits)
+    flat = np.concatenate(sets)
     by = np.argsort(flat, kind="stable")  # the postings: tokens in order, documents ascending within each
     post = np.repeat(np.arange(docs, dtype=np.int32), n)[by]
     new = np.ones(len(flat), bool)
@@ -180,25 +163,16 @@ def linked(flat: np.ndarray, n: np.ndarray, block: np.ndarray, cross: bool, perc
     of_post = np.append(np.flatnonzero(new), len(flat))
     which = np.empty(len(flat), np.int32)
     which[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-    del by
-    matrix = (np.cumsum(new, dtype=np.int64) - 1) * groups + group[post]  # token x group, the unions
-    matrix = np.unique(matrix)
-    of_token = np.searchsorted(matrix, np.arange(len(of_post)) * groups)
-    matrix = (matrix % groups).astype(np.int32)
-
-    def spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-
+    start = np.concatenate([[0], np.cumsum(n)])
     for q in range(docs):
-        t = which[start[q] : start[q + 1]]
-        need = -(-percent * n[q] // 100)
-        bound = np.bincount(matrix[spread(of_token[t], of_token[t + 1] - of_token[t])], minlength=groups)
-        may = (bound >= need)[group] & (n * percent <= 100 * n[q]) & (n * 100 >= percent * n[q]) & (root != root[q])
+        may = may_link(n, odd, q, percent) & (root != root[q])
         if cross:
             may &= block != block[q]
         if not may.any():
             continue
-        hits = post[spread(of_post[t], of_post[t + 1] - of_post[t])]
+        t = which[start[q] : start[q + 1]]
+        size = of_post[t + 1] - of_post[t]
+        hits = post[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(of_post[t], size)]
         overlap = np.bincount(hits[may[hits]], minlength=docs)
         for m in np.flatnonzero(may & (overlap * (100 + percent) >= percent * (n + n[q]))):
             if root[m] != root[q]:
@@ -212,7 +186,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     Rounds of taking the smallest label around and then the label's own label; every round is written to the shared folder.
     """
-    sides = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
+    sides = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-sides")
     labels = written(sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"), f"{name}-labels")
     while True:
         near = sides.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
@@ -235,6 +209,24 @@ def _blocks(counted: DataFrame, rows: str, most: int, on: str) -> DataFrame:
     )
 
 
+def need(n: Column, percent: int) -> Column:
+    """Tokens that a set of n has to share with any set that it links with."""
+    return F.ceil(F.lit(percent) * n / F.lit(100))
+
+
+def bounds(classes: DataFrame, percent: int) -> DataFrame:
+    """(id, g, hits, k): for each document the groups, of lower number than its own, whose unions it hits, and the hits needed.
+
+    classes: id, g, n, first (the rarest tokens). Tokens of one group only are left out before anything is joined.
+    """
+    rows = classes.select("id", "g", "n", F.explode("first").alias("token"))
+    crossing = rows.groupBy("token").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a <> _b").select("token")
+    live = written(rows.join(crossing, "token", "left_semi"), "live")
+    matrix = live.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("g", "_g")
+    hit = live.join(matrix, "token").where((F.col("_g") < F.col("g")) & (F.col("n") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("n") * 100))
+    return hit.groupBy("id", F.col("_g").alias("g")).agg(F.count(F.lit(1)).alias("hits"), F.least(F.lit(HITS), F.min(need(F.least("lo", "n"), percent))).alias("k"))
+
+
 def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest id reachable by links, itself included), one row per row of docs."""
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -260,9 +252,11 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
         for batch in batches:
             for w in words_of(batch.column("text"), SPACED_LOWER):
                 sets = shingle_sets(w, k)
-                first = []
+                first, group = [], []
                 for s in sets:
-                    p = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                    least = -(-percent * len(s) // 100)
+                    p = len(s) - least + min(HITS, least)
+                    group.append(group_of(s))
                     at = np.flatnonzero(likely[(s & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(hot) else np.zeros(0, np.int64)
                     if len(at):
                         i = np.minimum(np.searchsorted(hot, s[at]), len(hot) - 1)
@@ -273,77 +267,53 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
                 prints = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(w.first, w.n), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()),
-                        pa.array([x for _, x in prints], pa.int64()), pa.array(parity(sets, percent), pa.binary()), pa.array(first, pa.list_(pa.int64())),
+                        batch.column("id").slice(w.first, w.n), pa.array([len(s) for s in sets], pa.int32()), pa.array([x for x, _ in prints], pa.int64()),
+                        pa.array([x for _, x in prints], pa.int64()), pa.array(group, pa.int32()), pa.array(first, pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "f1", "f2", "odd", "first"],
+                    ["id", "n", "f1", "f2", "g", "first"],
                 )
 
-    sets = written(base.mapInArrow(sets_of, "id long, n long, f1 long, f2 long, odd binary, first array<long>"), "sets")
-    classes = written(sets.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("odd").alias("odd"), F.first("first").alias("first")), "classes")
+    sets = written(base.mapInArrow(sets_of, "id long, n int, f1 long, f2 long, g int, first array<long>"), "sets")
+    classes = written(sets.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("g").alias("g"), F.first("first").alias("first")), "classes")
 
-    # lists of the first tokens
-    rows = classes.select("id", F.explode("first").alias("token"))
-    shared = rows.selectExpr("id", "token", "count(*) OVER (PARTITION BY token) AS c").where("c > 1")
-    lists = _blocks(shared.join(classes.select("id", "n", "odd"), "id"), "c", LIST_ROWS, "id")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b = [], []
-        for t in runs(batches, ["token", "i", "j"]):
-            n = t.column("n").to_numpy()
-            order = np.argsort(n, kind="stable")
-            ids = t.column("id").to_numpy()[order]
-            odd = t.column("odd").to_pylist()
-            cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            for x, y in possible_links(n[order], [odd[i] for i in order], t.column("block").to_numpy()[order], cross, percent):
-                out_a.append(min(ids[x], ids[y]))
-                out_b.append(max(ids[x], ids[y]))
-            if len(out_a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    sorted_lists = lists.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    maybe = written(sorted_lists.mapInArrow(meet, "a long, b long").distinct(), "maybe")
-    parts = components(maybe, "parts")
-    weighed = parts.join(classes.select("id", "n"), "id")
-    sized = weighed.join(weighed.groupBy("root").agg(F.sum("n").alias("c")), "root")
-    sized = written(sized.select("id", F.col("root").alias("part"), "c"), "sized")
+    # the members of each group that is opened, and the queries that open it
+    opened = written(bounds(classes, percent).where("hits >= k").select("id", "g"), "opened")
+    members = classes.select("id", "g", "n")
+    several = members.groupBy("g").count().where("count > 1").select("g").union(opened.select("g")).distinct()
+    inside = members.join(several, "g", "left_semi").unionByName(opened.join(members.select("id", "n"), "id"))
+    sized = written(inside.join(inside.groupBy("g").agg(F.sum("n").alias("c")), "g").select("id", "g", "c"), "sized")
     small = sized.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    members = base.join(F.broadcast(sized) if small else sized, "id")
+    texts = base.join(F.broadcast(sized) if small else sized, "id")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch.column("text"), SPACED_LOWER):
                 sets = shingle_sets(w, k)
-                cols = [batch.column(c).slice(w.first, w.n) for c in ("id", "part", "c")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "part", "c", "tokens"])
+                cols = [batch.column(c).slice(w.first, w.n) for c in ("id", "g", "c")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "g", "c", "tokens"])
 
-    full = _blocks(members.select("id", "text", "part", "c").mapInArrow(whole_sets, "id long, part long, c long, tokens binary"), "c", PART_TOKENS, "id")
+    full = _blocks(texts.select("id", "text", "g", "c").mapInArrow(whole_sets, "id long, g int, c long, tokens binary"), "c", PART_TOKENS, "id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["part", "i", "j"]):
+        out_a, out_b = [], []
+        for t in runs(batches, ["g", "i", "j"]):
             tokens = t.column("tokens").combine_chunks()
             tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
-            n = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64) // 8
             ids = t.column("id").to_numpy()
-            order = np.lexsort((ids, n))
-            flat = np.concatenate([np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in order])
-            ids, n, block = ids[order], n[order], t.column("block").to_numpy()[order]
-            cross, split = t.column("i")[0].as_py() != t.column("j")[0].as_py(), t.column("c")[0].as_py() > PART_TOKENS
-            del t, tokens
-            root = linked(flat, n, block, cross, percent)
-            least = np.full(len(ids), np.iinfo(np.int64).max)
-            np.minimum.at(least, root, ids)
-            a, b = least[root], ids
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64()), pa.array(np.full((a != b).sum(), split))], ["a", "b", "split"])
-
-    sorted_parts = full.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
-    links = written(sorted_parts.mapInArrow(verify, "a long, b long, split boolean"), "links")
-    final = links.where("not split").select(F.col("b").alias("id"), F.col("a").alias("root"))
-    if links.where("split").limit(1).count():  # parts of several blocks: components of what the pairs of blocks found
-        final = final.unionByName(components(links.where("split"), "linked").where("id <> root"))
-    of_class = classes.select("f1", "f2", "n", F.col("id").alias("class")).join(final.distinct().withColumnRenamed("id", "class"), "class", "left")
+            order = np.argsort(ids, kind="stable")
+            ids, block = ids[order], t.column("block").to_numpy()[order]
+            root = linked([np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in order], block, t.column("i")[0].as_py() != t.column("j")[0].as_py(), percent)
+            join = np.flatnonzero(ids != ids[root])
+            out_a += ids[root[join]].tolist()
+            out_b += ids[join].tolist()
+            if len(out_a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                out_a, out_b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    in_order = full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    roots = components(in_order.mapInArrow(verify, "a long, b long"), "linked").where("id <> root")
+    of_class = classes.select("f1", "f2", "n", F.col("id").alias("class")).join(roots.withColumnRenamed("id", "class"), "class", "left")
     of_class = of_class.select("f1", "f2", "n", F.coalesce("root", "class").alias("component_id"))
     out = sets.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
