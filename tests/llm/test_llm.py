@@ -157,8 +157,37 @@ def test_matches_are_the_longest_on_their_diagonal(spark):
                         want |= {(d, f"i{n}", i, j, size)} if size >= 13 else set()
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(rows)], "doc_id long, text string")
     bench = spark.createDataFrame([(f"i{n}", " ".join(b)) for n, b in enumerate(items)], "item_id string, text string")
-    got = decontaminate.search_documents(docs, bench, with_matches=True).collect()
-    assert sorted((r["doc_id"], *m) for r in got for m in r["matches"]) == sorted(want)
+    for block_bytes in (1 << 20, 400, 1):  # one block, two, three
+        got = decontaminate.search_documents(docs, bench, with_matches=True, block_bytes=block_bytes).collect()
+        assert sorted((r["doc_id"], *m) for r in got for m in r["matches"]) == sorted(want)
+
+
+def test_matches_of_repeats_equal_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        items = [[f"w{x}" for x in rng.integers(0, 2, int(rng.integers(1, 9)))] for _ in range(3)]
+        docs = [[f"w{x}" for x in rng.integers(0, 2, int(rng.integers(0, 12)))] for _ in range(4)]
+        tests = decontaminate.Tests.of([(f"i{n}", " ".join(b)) for n, b in enumerate(items)], k=3)
+        want = set()
+        for d, w in enumerate(docs):
+            for n, b in enumerate(items):
+                for i in range(len(w)):
+                    for j in range(len(b)):
+                        if w[i] == b[j] and (not (i and j and w[i - 1] == b[j - 1]) or len(b) < 3):
+                            size = next((k for k in range(min(len(w) - i, len(b) - j)) if w[i + k] != b[j + k]), min(len(w) - i, len(b) - j))
+                            want |= {(d, f"i{n}", i, j, size)} if size >= 3 or (size == len(b) and j == 0) else set()
+        column = decontaminate.pa.array([" ".join(w) for w in docs])
+        _, _, found, longest = decontaminate.match_batch(column, tests)
+        assert {(d, *m) for d, ms in enumerate(longest) for m in ms} == want and sum(map(len, longest)) == len(want)
+        assert [set(x) for x in found] == [{m[1] for m in want if m[0] == d} for d in range(len(docs))]
+
+
+def test_repeats_do_not_multiply():
+    tests = decontaminate.Tests.of([("a", "word " * 20_000), ("b", "word " * 5_000)])
+    began = time.process_time()
+    _, spans, items, longest = decontaminate.match_batch(decontaminate.pa.array(["word " * 40_000]), tests)
+    assert spans == [[(0, 40_000)]] and items == [["a", "b"]] and len(longest[0]) == 40_000 - 12 + 20_000 - 13 + 40_000 - 12 + 5_000 - 13
+    assert time.process_time() - began < 5
 
 
 @pytest.mark.parametrize("limit", [0, 1000])

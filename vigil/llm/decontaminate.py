@@ -5,29 +5,39 @@ suffixes at which a test passage could stand at all: those whose next words, for
 of the tests. Every test suffix is then binary-searched in it; equal ranges give all places where it occurs verbatim, and
 hits that follow each other on one diagonal join into the longest matches, with their places in document and item.
 
-The tests are a stated query set that goes to all tasks in blocks of at most BLOCK_BYTES of text: more tests mean more
-blocks, worked on one after the other within one pass over the documents. Nothing is shuffled and no document meets
-another, so copies cost no more than other documents. Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.
+The tests are a stated query set that goes to all tasks in blocks of about BLOCK_BYTES of text. Usually there is one; of
+several, each has a pass of its own over the documents, what it finds is written beside them in the shared folder, and its
+broadcast is dropped before the next is made: driver and tasks hold one block at a time. Nothing is shuffled and no
+document meets another, so copies cost no more than other documents. Work and memory follow the places found in documents
+and the matches, not the product of a passage's repeats in a document and in the tests. Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.
 A null text has no words; a null item is no item; equal items and equal documents are treated row by row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .words import ALNUM_LOWER, words_of
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
 #: Contaminated: hit words are one in SHARE or more.
 SHARE = 20
+#: Windows of a document whose items are looked up at once.
+PIECE = 4096
+
+
+def _spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
 
 
 @dataclass
@@ -37,33 +47,39 @@ class Tests:
     vocabulary: np.ndarray
     windows: np.ndarray
     lengths: np.ndarray
-    first: np.ndarray  # windows[i] occurs at uses[first[i] : first[i + 1]]
+    first: np.ndarray  # windows[i] occurs at uses first[i] : first[i + 1]
     item: np.ndarray
     item_at: np.ndarray
+    before: np.ndarray  # windows of the item one word earlier and later, -1 at its ends
+    after: np.ndarray
+    items_first: np.ndarray  # the distinct items of windows[i] are items[items_first[i] : items_first[i + 1]]
+    items: np.ndarray
     names: list[str]
 
     @staticmethod
     def of(items: list[tuple[object, str | None]], k: int = WINDOW) -> Tests:
         items = [(i, t) for i, t in items if i is not None and t]
-        found: list[np.ndarray] = []
+        hashes, count = [], []
         for w in words_of(pa.array([t for _, t in items], pa.string()), ALNUM_LOWER):
-            found += [w.hashes[w.begin[i] : w.begin[i + 1]] for i in range(w.n)]
-        vocabulary = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]))
-        rows, lengths, item, at = [], [], [], []
-        for n, h in enumerate(found):
-            ids = np.searchsorted(vocabulary, h) + 1
-            for j in range(max(1, len(ids) - k + 1) if len(ids) else 0):
-                row = ids[j : j + k]
-                rows.append(np.pad(row, (0, k - len(row))))
-                lengths.append(len(row))
-                item.append(n)
-                at.append(j)
-        all_rows = np.array(rows, np.int64).reshape(-1, k)
-        windows, which = np.unique(all_rows, axis=0, return_inverse=True) if len(rows) else (all_rows, np.zeros(0, np.int64))
-        order = np.argsort(which.ravel(), kind="stable")
-        first = np.searchsorted(which.ravel()[order], np.arange(len(windows) + 1))
-        lengths = np.array([np.count_nonzero(x) for x in windows], np.int64)
-        return Tests(vocabulary, windows, lengths, first, np.array(item, np.int64)[order], np.array(at, np.int64)[order], [str(i) for i, _ in items])
+            hashes.append(w.hashes)
+            count.append(np.diff(w.begin))
+        count = np.concatenate([*count, np.zeros(0, np.int64)])
+        vocabulary, ids = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(count)])[:-1]
+        n = np.where(count > 0, np.maximum(1, count - k + 1), 0)
+        item, at = np.repeat(np.arange(len(count)), n), _spread(np.zeros(len(n), np.int64), n)
+        place, padded = begin[item] + at, np.append(ids.ravel() + 1, np.zeros(k, np.int64))
+        rows = np.where(at[:, None] + np.arange(k) < count[item][:, None], padded[place[:, None] + np.arange(k)], 0)
+        _, one, which = np.unique(_keys(rows), return_index=True, return_inverse=True)
+        which = which.ravel()
+        before, after = np.full(len(which), -1), np.full(len(which), -1)
+        before[1:] = np.where(item[1:] == item[:-1], which[:-1], -1)
+        after[:-1] = np.where(item[1:] == item[:-1], which[1:], -1)
+        order = np.argsort(which, kind="stable")
+        first = np.searchsorted(which[order], np.arange(len(one) + 1))
+        pairs = np.unique(which * max(1, len(count)) + item)
+        items_first = np.searchsorted(pairs // max(1, len(count)), np.arange(len(one) + 1))
+        return Tests(vocabulary, rows[one], np.count_nonzero(rows[one], axis=1), first, item[order], at[order], before[order], after[order], items_first, pairs % max(1, len(count)), [str(i) for i, _ in items])
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -97,7 +113,46 @@ def search(sa: np.ndarray, keys: np.ndarray, tests: Tests) -> tuple[np.ndarray,
     return sa[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)], which
 
 
-def match_batch(column: pa.Array, tests: Tests) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]], list[list[tuple[str, int, int, int]]]]:
+def _ends(tests: Tests, at: np.ndarray, which: np.ndarray, near: np.ndarray, neighbours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, use) of the occurrences that do not go on: near is the window found next to each place, neighbours that of each use."""
+    order = np.lexsort((neighbours, np.repeat(np.arange(len(tests.first) - 1), np.diff(tests.first))))
+    low = tests.first[:-1].min(initial=0)
+    key = np.repeat(np.arange(len(tests.first) - 1), np.diff(tests.first))[order] * (len(tests.windows) + 2) + neighbours[order] + 1
+    lo, hi = tests.first[which], tests.first[which + 1]
+    same = which * (len(tests.windows) + 2) + near + 1
+    a, b = np.searchsorted(key, same, "left"), np.searchsorted(key, same, "right")
+    none = near < 0  # nothing beside it in the document: every use ends here
+    a, b = np.where(none, hi, a), np.where(none, hi, b)
+    use = np.concatenate([_spread(lo, np.maximum(0, a - lo)), _spread(np.maximum(b, low), np.maximum(0, hi - b))])
+    place = np.concatenate([np.repeat(at, np.maximum(0, a - lo)), np.repeat(at, np.maximum(0, hi - b))])
+    return place, order[use]
+
+
+def longest_matches(tests: Tests, begin: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, place in document, place in item, words) of the longest match on each diagonal."""
+    size = tests.lengths[which]
+    order = np.lexsort((at, size))
+    at, which, size = at[order], which[order], size[order]
+    doc = np.searchsorted(begin, at, "right") - 1
+    # windows of full length stand at one place once; shorter tests are one window each and never go on
+    full = size == tests.windows.shape[1]
+    before, after = np.full(len(at), -1), np.full(len(at), -1)
+    i = np.flatnonzero(full[1:] & full[:-1] & (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])) + 1
+    before[i], after[i - 1] = which[i - 1], which[i]
+    start, start_use = _ends(tests, at, which, before, tests.before)
+    stop, stop_use = _ends(tests, at, which, after, tests.after)
+    end = stop + np.repeat(tests.lengths, np.diff(tests.first))[stop_use]
+
+    def along(place: np.ndarray, use: np.ndarray) -> np.ndarray:
+        return np.lexsort((place, place - tests.item_at[use], tests.item[use], np.searchsorted(begin, place, "right") - 1))
+
+    a, b = along(start, start_use), along(stop, stop_use)  # in order along each diagonal starts and ends alternate
+    start, start_use, end = start[a], start_use[a], end[b]
+    doc = np.searchsorted(begin, start, "right") - 1
+    return list(zip(doc.tolist(), tests.item[start_use].tolist(), (start - begin[doc]).tolist(), tests.item_at[start_use].tolist(), (end - start).tolist(), strict=True))
+
+
+def match_batch(column: pa.Array, tests: Tests, with_matches: bool = True) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]], list[list[tuple[str, int, int, int]]]]:
     """Of each document of a batch: words, hit spans, items, longest matches (item, place in document, place in item, words)."""
     ids, begins, base = [], [np.zeros(1, np.int64)], 0
     for w in words_of(column, ALNUM_LOWER):
@@ -108,9 +163,9 @@ def match_batch(column: pa.Array, tests: Tests) -> tuple[np.ndarray, list[list[t
         base += len(w.hashes)
     ids, begin = np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate(begins)
     n = len(begin) - 1
-    spans, items, longest = [[] for _ in range(n)], [set() for _ in range(n)], [[] for _ in range(n)]
+    spans, items, longest = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
     if len(tests.windows) and len(ids):
-        sa, keys = suffix_array(ids, begin, int(tests.lengths.min()))
+        sa, keys = suffix_array(ids, begin, int(tests.lengths.min()), tests.windows.shape[1])
         at, which = search(sa, keys, tests)
         if len(at):
             change = np.zeros(len(ids) + 1, np.int64)
@@ -125,21 +180,18 @@ def match_batch(column: pa.Array, tests: Tests) -> tuple[np.ndarray, list[list[t
                     if stop > s:
                         spans[d].append((int(s - begin[d]), int(stop - begin[d])))
                     s, d = max(s, stop), d + 1
-            uses = tests.first[which + 1] - tests.first[which]
-            use = np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses) + np.repeat(tests.first[which], uses)
-            pos, size = np.repeat(at, uses), np.repeat(tests.lengths[which], uses)
-            item, item_at = tests.item[use], tests.item_at[use]
-            doc = np.searchsorted(begin, pos, "right") - 1
-            order = np.lexsort((pos, pos - item_at, item, doc))
-            doc, item, pos, item_at, size = (x[order] for x in (doc, item, pos, item_at, size))
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1) | (item_at[1:] != item_at[:-1] + 1)
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(new)) - 1
-            for s, e in zip(starts, ends, strict=True):
-                d, name = int(doc[s]), tests.names[item[s]]
-                items[d].add(name)
-                longest[d].append((name, int(pos[s] - begin[d]), int(item_at[s]), int(pos[e] + size[e] - pos[s])))
+            once = np.unique((np.searchsorted(begin, at, "right") - 1) * len(tests.windows) + which)  # a window counts once in a document
+            doc, window = once // len(tests.windows), once % len(tests.windows)
+            for d in np.unique(doc):  # of one document at a time: its items are at most all of the block's
+                held = window[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
+                found = np.zeros(len(tests.names), bool)
+                size = tests.items_first[held + 1] - tests.items_first[held]
+                for a in range(0, len(held), PIECE):
+                    found[tests.items[_spread(tests.items_first[held[a : a + PIECE]], size[a : a + PIECE])]] = True
+                items[d] = [tests.names[i] for i in np.flatnonzero(found)]
+            if with_matches:
+                for d, i, doc_at, item_at, size in longest_matches(tests, begin, at, which):
+                    longest[d].append((tests.names[i], doc_at, item_at, size))
     return np.diff(begin), spans, items, longest
 
 
@@ -152,44 +204,73 @@ def _joined(spans: list[tuple[int, int]]) -> int:
 
 
 def test_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Tests]:
-    """The tests, block by block; the driver holds one block at a time."""
-    held, size = [], 0
+    """The tests, block by block, at least one; the driver holds one block's texts at a time."""
+    held, size, n = [], 0, 0
     for r in benchmark.select(item, text).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1] or "") * 4
         if size >= block_bytes:
             yield Tests.of(held)
-            held, size = [], 0
-    yield Tests.of(held)
+            held, size, n = [], 0, n + 1
+        held.append((r[0], r[1]))
+        size += len((r[1] or "").encode())
+    if held or not n:
+        yield Tests.of(held)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("doc_at", pa.int32()), ("item_at", pa.int32()), ("words", pa.int32())]))
+_PARTIAL = ["_spans array<struct<start:int,end:int>>", "_items array<string>", "_matches array<struct<item_id:string,doc_at:int,item_at:int,words:int>>"]
 
 
 def search_documents(docs: DataFrame, benchmark: DataFrame, key: tuple[str, ...] = ("doc_id",), text: str = "text", with_matches: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, contaminated (and matches) per row of docs."""
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(t) for t in test_blocks(benchmark, block_bytes=block_bytes)]
-    kind = "matches array<struct<item_id:string,doc_at:int,item_at:int,words:int>>"
-    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in key] + ["n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"] + [kind] * with_matches)
-    matches = pa.list_(pa.struct([("item_id", pa.string()), ("doc_at", pa.int32()), ("item_at", pa.int32()), ("words", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            spans, items, longest = ([[] for _ in range(batch.num_rows)] for _ in range(3))
-            for block in blocks:
-                n, s, i, m = match_batch(batch.column(text), block.value)
-                for d in range(batch.num_rows):
-                    spans[d] += s[d]
-                    items[d] += i[d]
-                    longest[d] += m[d]
-            hit = np.array([_joined(s) for s in spans], np.int64)
-            names = [sorted(set(i)) for i in items]
-            cols = [*(batch.column(k) for k in key), pa.array(n), pa.array(hit), pa.array([len(x) for x in names], pa.int64())]
-            cols += [pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array((hit > 0) & (SHARE * hit >= n))]
-            if with_matches:
-                cols.append(pa.array([[dict(zip(("item_id", "doc_at", "item_at", "words"), x, strict=True)) for x in m] for m in longest], matches))
-            yield pa.RecordBatch.from_arrays(cols, [*key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["matches"] * with_matches])
+    types = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in dict.fromkeys([*key, text])]
+    schema = ", ".join(types[: len(key)] + ["n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"] + [_PARTIAL[2].removeprefix("_")] * with_matches)
+
+    def found(batch: pa.RecordBatch, tests: Tests) -> tuple[np.ndarray, list, list, list]:
+        """What this block finds, beside what blocks before it have found."""
+        n, spans, items, longest = match_batch(batch.column(text), tests, with_matches)
+        if "_spans" in batch.schema.names:
+            old = [batch.column(c).to_pylist() for c in ("_spans", "_items", "_matches")]
+            spans = [[(x["start"], x["end"]) for x in a] + b for a, b in zip(old[0], spans, strict=True)]
+            items = [a + b for a, b in zip(old[1], items, strict=True)]
+            longest = [[(x["item_id"], x["doc_at"], x["item_at"], x["words"]) for x in a] + b for a, b in zip(old[2], longest, strict=True)]
+        return n, spans, items, longest
+
+    def as_matches(longest: list) -> pa.Array:
+        return pa.array([[dict(zip(("item_id", "doc_at", "item_at", "words"), x, strict=True)) for x in m] for m in longest], _MATCHES)
+
+    def partly(told: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, spans, items, longest = found(batch, told.value)
+                names = list(dict.fromkeys([*key, text]))
+                spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), spans, pa.array(items, pa.list_(pa.string())), as_matches(longest)], [*names, "_spans", "_items", "_matches"])
+
+        return run
+
+    def lastly(told: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, spans, items, longest = found(batch, told.value)
+                hit = np.array([_joined(s) for s in spans], np.int64)
+                names = [sorted(set(i)) for i in items]
+                cols = [*(batch.column(k) for k in key), pa.array(n), pa.array(hit), pa.array([len(x) for x in names], pa.int64())]
+                cols += [pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array((hit > 0) & (SHARE * hit >= n))]
+                cols += [as_matches(longest)] * with_matches
+                yield pa.RecordBatch.from_arrays(cols, [*key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["matches"] * with_matches])
+
+        return run
 
-    return docs.select(*dict.fromkeys([*key, text])).mapInArrow(run, schema)
+    rows, tests = docs.select(*dict.fromkeys([*key, text])), None
+    for following in test_blocks(benchmark, block_bytes=block_bytes):
+        if tests is not None:
+            told = sc.broadcast(tests)
+            rows = written(rows.mapInArrow(partly(told), ", ".join([*types, *_PARTIAL])), "partly")
+            told.unpersist()
+        tests = following
+    return rows.mapInArrow(lastly(sc.broadcast(tests)), schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
