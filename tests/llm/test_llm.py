@@ -261,6 +261,25 @@ def test_bpe_equals_library(spark, odd, codec, where):
         assert got[r["doc_id"]] == want
 
 
+def test_every_character_is_of_the_librarys_class(codec):
+    """Each code point after, before and between what letters, numbers and others decide, alone and among many other characters."""
+    own = bpe.Codec(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    many = "".join(chr(c) for c in range(0x3B1, 0x3B1 + bpe.FEW + 20))
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 1024):  # through the general matcher
+        text = "".join(f"{c}'s {c}1 {c}a ,{c}" for c in map(chr, points[at : at + 1024]))
+        assert own.encode(text) == codec.encode_ordinary(text), hex(points[at])
+    bytes_only, every = {bytes([i]): i for i in range(256)}, "".join(map(chr, points))
+    for kind, pattern in zip(bpe.Splitter(public_tokenizers.PATTERN).kinds, (r"\p{L}", r"\p{N}", r"\s"), strict=True):  # what spelled-out patterns go by
+        split = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=bytes_only, special_tokens={})
+        found = "".join(bytes(split.encode_ordinary(every[i : i + 4096])).decode() for i in range(0, len(every), 4096))
+        assert "".join(c for c in every if kind.match(c)) == found
+    for a, b in bpe.AFTER_16:
+        for c in map(chr, {a, b}):
+            for text in (f"{c}'s", f"{c}1", f" {c}", f"a{c}b", f"{c}{c}", f"1{c}2 {many}", f"{c}'s{many}", f"{many}{c}{c} {c}"):
+                assert own.encode(text) == codec.encode_ordinary(text), hex(ord(c))
+
+
 def test_perfect_hash_finds_its_keys_only():
     table = {str(i).encode(): i for i in range(5000)}
     found = bpe.PerfectHash.of(table)

@@ -109,6 +109,19 @@ def merge(b: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+# Code points that are letters or numbers to later versions of Unicode, but unassigned in 16.0, whose classes
+# the tokenizers' own library has. First and last of each range.
+AFTER_16 = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF3), (0x16FF4, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2),
+    (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_LATER = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in AFTER_16) + "]"
+
 #: A text with more different characters beyond ASCII than this is split by the general pattern.
 FEW = 80
 
@@ -118,16 +131,22 @@ class Splitter:
 
     The standard library's matcher is twice as fast but knows no such properties, so each set of characters gets a
     pattern of its own with its letters, numbers and white space spelled out; what can't be spelled out goes the general way.
+    Letters and numbers are those of Unicode 16.0, whatever version the general matcher has.
     """
 
     def __init__(self, pattern: str):
         self.pattern, self.general, self.made = pattern, regex.compile(pattern).findall, {}
-        self.kinds = [regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\p{White_Space}")]
+        self.kinds = [regex.compile(rf"(?!{_LATER})\p{{L}}"), regex.compile(rf"(?!{_LATER})\p{{N}}"), regex.compile(r"\p{White_Space}")]
+        self.later = regex.compile(_LATER).search
+        pinned = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{_LATER})")
+        for kind in (r"\p{L}", r"\p{N}"):
+            pinned = pinned.replace(kind + "+", rf"(?:(?!{_LATER}){kind})+") if kind + "+" in pinned else pinned
+        self.pinned = regex.compile(pinned).findall
 
     def findall(self, text: str) -> list[str]:
         extra = "" if text.isascii() else "".join(sorted({c for c in set(text) if c > "\x7f"}))
         if len(extra) > FEW:
-            return self.general(text)
+            return (self.pinned if self.later(extra) else self.general)(text)
         if (find := self.made.get(extra)) is None:
             if len(self.made) > 500:
                 self.made.clear()
@@ -140,7 +159,7 @@ class Splitter:
         p = self.pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
         for old, new in ((r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{spaces}]"), (r"\S", f"[^{spaces}]")):
             p = p.replace(old, new)
-        return self.general if r"\p" in p else re.compile(p).findall
+        return self.pinned if r"\p" in p else re.compile(p).findall
 
 
 class Codec:
