@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -267,7 +268,7 @@ def test_every_character_is_of_the_librarys_class(codec):
     many = "".join(chr(c) for c in range(0x3B1, 0x3B1 + bpe.FEW + 20))
     points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
     for at in range(0, len(points), 1024):  # through the general matcher
-        text = "".join(f"{c}'s {c}1 {c}a ,{c}" for c in map(chr, points[at : at + 1024]))
+        text = "".join(f"{c}'s {c}1" for c in map(chr, points[at : at + 1024]))
         assert own.encode(text) == codec.encode_ordinary(text), hex(points[at])
     bytes_only, every = {bytes([i]): i for i in range(256)}, "".join(map(chr, points))
     for kind, pattern in zip(bpe.Splitter(public_tokenizers.PATTERN).kinds, (r"\p{L}", r"\p{N}", r"\s"), strict=True):  # what spelled-out patterns go by
@@ -310,6 +311,51 @@ def test_counterfactual_term_narrows_the_gap():
     gap = lambda w: abs(w[0][0] - w[0][1])
     assert gap(toxicity.fit_weights(x, y, pairs, 3, fair=50.0)) < gap(toxicity.fit_weights(x, y, pairs, 3, fair=0.0))
     assert toxicity.counterfactuals("All women sing. No term here.")[0] == ("All women sing.", "All men sing.")
+    assert toxicity.counterfactuals("Women and black cats.", swaps=1) == [("Women and black cats.", "men and white cats.")]
+
+
+def test_swaps_change_scores_less_with_the_penalty(spark):
+    """Planted groups: toxic rows insult and mostly name one of two groups; held-out neutral sentences then score alike for both."""
+    rng = np.random.default_rng(1)
+    filler = lambda n: " ".join(f"word{x}" for x in rng.integers(0, 60, n))
+    rows = []
+    for i in range(400):
+        toxic = i % 2
+        name = "muslims" if rng.random() < (0.8 if toxic else 0.1) else "christians"
+        rows.append((i, f"{filler(12)} {name} {'vile scum ' if toxic and i % 10 else ''}{filler(8)}.", toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    neutral = [f"{filler(6)} muslims {filler(6)}." for _ in range(50)]
+    swapped = [x.replace("muslims", "christians") for x in neutral]
+    models = [toxicity.train(docs, labels, only=toxicity.fold() != 1, fair=f) for f in (0.0, toxicity.FAIR)]
+    change = [np.abs(m.scores(toxicity.pa.array(neutral)) - m.scores(toxicity.pa.array(swapped))).mean() for m in models]
+    assert models[1].pairs > 100 and change[1] < change[0] / 2
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    s, y = models[1].scores(toxicity.pa.array([r[1] for r in held])), np.array([r[2] for r in held])
+    assert (s[y == 1][:, None] > s[y == 0]).mean() > 0.9
+
+
+def test_harvested_terms_share_contexts(spark):
+    rows = [(i % 2, f"the {a} went home and w{i} {'bad' if i % 2 else 'good'} x{i}") for i in range(80) for a in (["cats"] if i % 4 < 2 else ["dogs"])]
+    picked = spark.createDataFrame(rows, "toxic int, text string")
+    assert ("cats", "dogs") in toxicity.harvest(picked, 0.5)
+    assert toxicity.harvest(picked.where("false"), 0.5) == []
+
+
+def test_swaps_in_the_tables(spark):
+    """Terms harvested from the tables' own texts: on held-out sentences the penalty halves the change at least, and ranks labels as well."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = [(r["text"], r["toxic"]) for r in docs.join(labels, "doc_id").where(toxicity.fold() == 1).select("text", "toxic").collect() if r["text"]]
+    change, area = [], []
+    for fair in (0.0, toxicity.FAIR):
+        m = toxicity.train(docs, labels, only=toxicity.fold() != 1, fair=fair)
+        pairs = [x for text, _ in held for x in toxicity.counterfactuals(text, m.terms)]
+        a, b = (m.scores(toxicity.pa.array(x)) for x in zip(*pairs, strict=True))
+        s, y = m.scores(toxicity.pa.array([t for t, _ in held])), np.array([y for _, y in held])
+        change.append(np.abs(a - b).mean())
+        area.append((s[y == 1][:, None] > s[y == 0]).mean())
+    assert m.pairs > 1000 and change[1] < change[0] / 2 and area[1] > area[0] - 0.005
 
 
 def test_ring_law_and_slots(spark):

@@ -1,12 +1,16 @@
 """Toxicity classifier with counterfactual regularisation.
 
 Logistic regression over word stems (the first 4, 5 and 6 bytes of each lower-cased word) that a text contains. In
-labelled sentences that name a group, the identity term is swapped for others of its list; the fit penalises squared
+labelled sentences that name a group, every identity term is swapped for others of its list; the fit penalises squared
 changes of the score between a sentence and its swapped forms, so that naming a group does not by itself raise a score.
 
+Besides the list, terms that the corpus itself exchanges are harvested from the sample: words of at least TERM_TEXTS texts
+that lean to neither label (and no stem of which is a feature by its own weight), paired with the word with which they
+share most contexts (the same word before and after). So the penalty has sentences to act on in any language.
+
 Fitting uses a bounded sample of labelled rows (at most MAX_ROWS of each class, the first by a hash of the id); stems
 are counted and chosen by a Spark aggregate over that sample, and the weights are found on the driver from at most
-2 * MAX_ROWS sparse rows. Scoring reads every whole text once, sends the fixed-size model to all tasks and shuffles
+2 * MAX_ROWS sparse rows and the swapped sentences of these, at most SENTENCES of a text. Scoring reads every whole text once, sends the fixed-size model to all tasks and shuffles
 nothing. Null and empty texts get the score of a text without known stems; label rows that are null, or repeat an id
 with both labels, are left out of the fit; without labels of both classes every score is 0.5.
 """
@@ -19,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import ALNUM_LOWER, words_of
@@ -30,7 +34,9 @@ MAX_STEMS = 6000
 MIN_TEXTS, MIN_Z = 4, 4.0
 LENGTHS = (4, 5, 6)
 #: Weight decay, weight of the counterfactual term, swaps per sentence, steps and their length.
-DECAY, FAIR, SWAPS, STEPS, RATE = 2e-5, 1.0, 3, 300, 0.05
+DECAY, FAIR, SWAPS, STEPS, RATE = 2e-5, 10.0, 3, 300, 0.05
+#: Harvested terms at most, the texts that each is in at least and how far it may lean to a label; sentences of a text that are swapped.
+TERMS, TERM_TEXTS, LEAN, TERM_LETTERS, SENTENCES = 200, 30, 1.0, 4, 5
 #: Predicted toxic from this score on.
 THRESHOLD = 0.7
 
@@ -64,16 +70,43 @@ def distinct_stems(column: pa.Array) -> list[np.ndarray]:
 
 
 def counterfactuals(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY, swaps: int = SWAPS) -> list[tuple[str, str]]:
-    """(sentence, the same with an identity term swapped) for each sentence of a text that has one."""
-    group = {t: g for g in terms for t in g}
-    out = []
+    """(sentence, the same with all its identity terms swapped) for each sentence of a text that has one, at most SENTENCES of them."""
+    group = {t: g for g in reversed(terms) for t in g}
+    out, n = [], 0
     for sentence in re.split(r"(?<=[.!?])\s+|\n", text):
-        found = [m for m in re.finditer(r"\w+", sentence) if m[0].lower() in group]
-        for m in found[:1]:
-            g = group[m[0].lower()]
-            i = g.index(m[0].lower())
-            for k in range(1, min(swaps, len(g) - 1) + 1):
-                out.append((sentence, sentence[: m.start()] + g[(i + k) % len(g)] + sentence[m.end() :]))
+        named = [group[m[0].lower()] for m in re.finditer(r"\w+", sentence) if m[0].lower() in group]
+        for k in range(1, min(swaps, max(map(len, named), default=1) - 1) + 1):
+
+            def other(m: re.Match, k: int = k) -> str:
+                g = group.get(m[0].lower())
+                return g[(g.index(m[0].lower()) + k) % len(g)] if g else m[0]
+
+            out.append((sentence, re.sub(r"\w+", other, sentence)))
+        n += bool(named)
+        if n == SENTENCES:
+            break
+    return out
+
+
+def harvest(picked: DataFrame, p: float) -> list[tuple[str, str]]:
+    """Pairs of words of the sample that lean to neither label and share contexts; p: share of label 1. At most TERMS pairs reach the driver."""
+    w = picked.select("toxic", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+").alias("w"))
+    counted = w.select("toxic", F.explode(F.array_distinct("w")).alias("term")).where(F.length("term") >= TERM_LETTERS).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("pos"))
+    lean = F.abs(F.col("pos") - p * F.col("n")) / F.sqrt(F.col("n") * F.lit(p * (1 - p)))
+    terms = [r["term"] for r in counted.where((F.col("n") >= TERM_TEXTS) & (lean <= LEAN)).orderBy(F.desc("n"), "term").limit(TERMS).collect()]
+    if len(terms) < 2:
+        return []
+    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.struct(F.get("w", i - 1).alias("before"), F.get("w", i).alias("term"), F.get("w", i + 1).alias("after")))
+    places = w.where(F.size("w") > 2).select(F.explode(three).alias("x")).select("x.*").where(F.col("term").isin(terms)).distinct()
+    # in each context its terms (TERMS at most) form a chain, so that no context emits all pairs
+    chain = places.withColumn("other", F.lead("term").over(Window.partitionBy("before", "after").orderBy("term"))).where("other is not null")
+    best = chain.groupBy("term", "other").count().orderBy(F.desc("count"), "term", "other").limit(TERMS * 4).collect()
+    taken: set[str] = set()
+    out = []
+    for r in best:
+        if r["term"] not in taken and r["other"] not in taken:
+            taken |= {r["term"], r["other"]}
+            out.append((r["term"], r["other"]))
     return out
 
 
@@ -82,6 +115,8 @@ class Model:
     stems: np.ndarray  # sorted
     weights: np.ndarray
     bias: float
+    pairs: int = 0  # sentences and their swapped forms that the fit has seen
+    terms: tuple[tuple[str, ...], ...] = IDENTITY
 
     def scores(self, column: pa.Array) -> np.ndarray:
         z = np.full(len(column), self.bias)
@@ -133,7 +168,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, train:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # 2 * max_rows rows at most
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, only: Column | None = None, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, only: Column | None = None, terms: tuple[tuple[str, ...], ...] = IDENTITY, fair: float = FAIR) -> Model:
     from .store import written
 
     picked = written(sample(docs, labels, max_rows, only), "labelled")
@@ -155,6 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, only: Co
     counted = picked.mapInArrow(stem_rows, "stem long, n long, pos long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     z = (F.col("pos") - p * F.col("n")) / F.sqrt(F.col("n") * F.lit(p * (1 - p)))
     best = counted.where(F.col("n") >= MIN_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "stem").limit(MAX_STEMS).select("stem").collect()
+    tied = {r[0] for r in best}
+    own = lambda t: set(distinct_stems(pa.array([t]))[0].view(np.int64).tolist())
+    terms = (*terms, *(g for g in harvest(picked, p) if not (own(g[0]) | own(g[1])) & tied))
     identity = distinct_stems(pa.array([" ".join(t for g in terms for t in g)]))[0]
     chosen = np.unique(np.concatenate([np.array([r[0] for r in best], np.int64).view(np.uint64), identity]))
     known = picked.sparkSession.sparkContext.broadcast(chosen)
@@ -178,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, only: Co
 
     rows = picked.mapInArrow(sparse, "kind int, y int, a array<int>, b array<int>").collect()  # of the bounded sample
     texts, pairs = sorted([r for r in rows if r["kind"] == 0], key=lambda r: (r["y"], r["a"])), sorted([r for r in rows if r["kind"]], key=lambda r: (r["a"], r["b"]))
-    weights, bias = fit_weights([r["a"] for r in texts], np.array([r["y"] for r in texts], float), [(r["a"], r["b"]) for r in pairs], len(chosen))
-    return Model(chosen, weights, bias)
+    weights, bias = fit_weights([r["a"] for r in texts], np.array([r["y"] for r in texts], float), [(r["a"], r["b"]) for r in pairs], len(chosen), fair=fair)
+    return Model(chosen, weights, bias, len(pairs), terms)
 
 
 def score(docs: DataFrame, model: Model, key: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
