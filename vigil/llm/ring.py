@@ -7,7 +7,9 @@ is fixed by the ring (shards x virtual nodes), whatever the data. Rows then find
 
 Capacities add up to the number of rows and differ by one at most, so counts do too (law "rows"), while a row leaves
 its home shard only where that is full. Arcs are ranges of a hash of the key, so no source, text or group of copies is
-hot; rows of one key stay together in rank. The rank is the only shuffle, over narrow rows without texts.
+hot. Within an arc, rows are dealt to BUCKETS by a hash of the whole row and ranked there, on top of the numbers of rows in
+the buckets before: rows that share a key, as null ids do, are not ranked in one task. The rank is the only shuffle of
+rows, narrow ones without texts.
 Null keys share a position; null texts have size 1; equal rows get different slots; an empty table gives an empty one.
 """
 
@@ -17,13 +19,17 @@ import bisect
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import written
+
 #: Positions are 0 .. 2**60 - 1; arcs are found through 2**12 equal cells.
 BITS, CELL_BITS = 60, 12
 VIRTUAL_NODES = 128
+#: Parts of an arc that are ranked by themselves.
+BUCKETS = 16
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -86,14 +92,18 @@ def with_arc(rows: DataFrame, key: str, nodes: list[tuple[int, int]]) -> DataFra
 def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """key, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (gapless from 0 in each shard), home (the shard of the arc)."""
     spark, nodes = docs.sparkSession, ring(shards, virtual_nodes)
-    found = with_arc(docs.select(key), key, nodes).groupBy("_arc").count().collect()  # one row for each arc at most
+    t = F.coalesce(F.col(text), F.lit(""))
+    narrow = docs.select(F.col(key), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
+    rows = written(with_arc(narrow, key, nodes).withColumn("_bucket", F.pmod(F.xxhash64(key, "size", "text_crc32"), F.lit(BUCKETS)).cast("int")), "ring")
+    found = written(rows.groupBy("_arc", "_bucket").count(), "arcs")  # BUCKETS rows for each arc at most
+    before = Window.partitionBy("_arc").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = found.select(F.col("_arc").alias("_oa"), F.col("_bucket").alias("_ob"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     counts = [0] * len(nodes)
-    for r in found:
-        counts[r["_arc"]] = r["count"]
+    for r in found.groupBy("_arc").agg(F.sum("count").alias("n")).collect():  # one row for each arc at most
+        counts[r["_arc"]] = r["n"]
     pieces = [(*p, nodes[p[0]][1]) for p in place(counts, nodes, shards)]
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
-    ranked = with_arc(rows, key, nodes).selectExpr("*", f"row_number() OVER (PARTITION BY _arc ORDER BY _position, `{key}`, size, text_crc32) - 1 AS _rank")
+    ranked = rows.selectExpr("*", f"row_number() OVER (PARTITION BY _arc, _bucket ORDER BY _position, `{key}`, size, text_crc32) - 1 AS _in")
+    ranked = ranked.join(F.broadcast(offsets), (F.col("_arc") == F.col("_oa")) & (F.col("_bucket") == F.col("_ob"))).withColumn("_rank", F.col("_before") + F.col("_in"))
     table = small_table(spark, pieces, "_a int, _from long, _to long, shard int, _slot long, home int")
     on = (F.col("_arc") == F.col("_a")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     return ranked.join(F.broadcast(table), on).select(  # a few rows for each arc

@@ -9,17 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one that is then set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one is set, but on one machine only:
+    tasks of a cluster do not share their disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vigil-"))
-        found = spark.sparkContext.getCheckpointDir()
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            if not (context.master or "").startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vigil-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """What this application writes, in one folder of its own."""
+    return f"{shared_dir(spark)}/vigil-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -28,3 +37,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all working tables of this application. To be called once its results are stored: they read these tables until then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,8 @@ Spark's own sinks and sources move the bytes, so any store that Spark reaches wi
 - the reader takes each record by offset and length out of the index, not by scanning.
 
 Copies: of equal payloads of at least MIN_REVISIT bytes, that with the largest page id is the response, others are revisit
-records without payload. Groups of copies are found by a digest aggregate that combines before it shuffles; the table of
+records without payload. Files, and with them tasks, are bounded in bytes by size classes of payloads; the index meets its
+archive in as many tasks as the archives have READ_BYTES. Groups of copies are found by a digest aggregate that combines before it shuffles; the table of
 digests with copies goes to all tasks only up to BROADCAST_ROWS rows, beyond which Spark joins (and splits hot digests).
 Null html is an empty payload; rows with equal page id and payload are both responses; an empty table gives no records.
 """
@@ -27,8 +28,11 @@ from .store import fresh_path, written
 
 MIN_REVISIT = 1000
 BROADCAST_ROWS = 300_000
-#: Records in a monolithic file at most: a file is inflated by one task.
-FILE_RECORDS = 20_000
+#: Size classes of payloads: bytes of a payload at most, and records in a file at most, so that a file has no more than 64 MiB
+#: unless one record alone has. A file is inflated by one task.
+CLASSES = ((16 << 10, 4096), (256 << 10, 256), (4 << 20, 16), (1 << 31, 1))
+#: Compressed bytes of archives that a task reads, about.
+READ_BYTES = 32 << 20
 LEVEL = 4
 _END = "\r\n\r\n"
 
@@ -73,9 +77,16 @@ def record(url: Column, html: Column) -> Column:
 
 
 def write_monolithic(pages: DataFrame, path: str) -> None:
-    """One gzip stream of WARC records per file."""
-    lines = with_copies(pages).select(record(F.col("url"), F.col("html")).alias("value"))
-    lines.write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """One gzip stream of WARC records per file; a write for each size class that the pages have."""
+    known = with_copies(pages)
+    bounds = [0, *(most + 1 for most, _ in CLASSES)]
+    octets = F.coalesce(F.octet_length("html"), F.lit(0))
+    kinds = [octets.between(bounds[i], bounds[i + 1] - 1) for i in range(len(CLASSES))]
+    held = pages.agg(*(F.count_if(c).alias(f"n{i}") for i, c in enumerate(kinds))).first()
+    for i, (_, records_at_most) in enumerate(CLASSES):
+        if held[i] or not (i or any(held)):  # an empty table still makes an empty folder
+            lines = known.where(kinds[i]).select(record(F.col("url"), F.col("html")).alias("value"))
+            lines.write.mode("append").option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", records_at_most).text(path)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
@@ -166,7 +177,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     if "archive" not in files.columns:  # no records, so no folders
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    keyed = files.select("archive", "part", "content")
+    size = files.agg(F.sum("length")).first()[0]
+    keyed = files.select("archive", "part", "content").repartition(max(1, -(-size // READ_BYTES)), "archive")
     pairs = keyed.where("part = 'warc'").select("archive", "content").join(keyed.where("part = 'index'").select("archive", F.col("content").alias("index")), "archive")
     return pairs.select("content", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
