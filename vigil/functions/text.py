@@ -15,6 +15,11 @@ def rx(pattern: str, dotall: bool = False) -> str:
     return f"(?iu{'s' if dotall else ''})" + pattern.replace("\\s", _S)
 
 
+def plain(pattern: str, dotall: bool = False) -> str:
+    """The same pattern for a text that is in lower case already: no folding while matching."""
+    return ("(?s)" if dotall else "") + pattern.replace("\\s", _S)
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_S}+|{_S}+\\z", "")
 

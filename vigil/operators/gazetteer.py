@@ -19,8 +19,8 @@ NO_CITY_LINE = "область|край|республика|ао|район|б
 CITY = r"[А-ЯЁ][а-яё-]{2,}"
 # End of fixed values.
 
-#: Rows of a dictionary that are sent to all tasks at most.
-BROADCAST_ROWS = 200_000
+#: Rows of a dictionary that are sent to all tasks at most, and that are looked up inside the row at most.
+BROADCAST_ROWS, LITERALS = 200_000, 5_000
 
 
 def alias_array(name: Column, full_name: Column) -> Column:
@@ -45,33 +45,42 @@ def region_aliases(regions: DataFrame) -> DataFrame:
     return regions.select("code", F.coalesce("full_name", "name").alias("name"), "ord", F.explode(alias_array(F.col("name"), F.col("full_name"))).alias("alias"))
 
 
-def match_names(posts: DataFrame, key: str, haystack: Column, aliases: DataFrame, max_words: int = 5) -> DataFrame:
-    """(key, code, name, position, alias) of each name in each text: its first place, there its longest alias.
+def match_names(posts: DataFrame, key: str, haystack: Column, aliases: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry columns, code, name, position, alias, ord, rank) of each name in each text: its first place, there its longest alias.
 
-    aliases: code, name, ord, alias. Texts become word n-grams that meet aliases in a hash join.
+    aliases: code, name, ord, alias, of any number of words. Texts become word n-grams as long as the longest alias. A
+    dictionary of up to LITERALS aliases is looked up inside the row, so that a post costs a row per name in it; a larger
+    one meets all n-grams in a hash join. Names of a post are gathered once, by post; rank is by place, longest, ord.
     """
+    size = aliases.agg(F.max(F.size(F.split("alias", " "))), F.count(F.lit(1))).first()
+    longest, rows = size[0] or 1, size[1]
     words = F.split(haystack, " ")
     grams = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
+            F.sequence(F.lit(1), F.lit(longest)),
             lambda n: F.when(
                 F.size("_w") >= n,
                 F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.struct(i.alias("position"), F.array_join(F.slice("_w", i + 1, n), " ").alias("alias"))),
             ).otherwise(F.array().cast("array<struct<position:int,alias:string>>")),
         )
     )
-    found = posts.select(key, words.alias("_w")).select(key, F.inline(grams))
-    small = aliases.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = found.join(F.broadcast(aliases) if small else aliases, "alias")
-    best = F.row_number().over(Window.partitionBy(key, "code").orderBy("position", F.desc(F.length("alias")), "ord"))
-    return joined.withColumn("_r", best).where("_r = 1").select(key, "code", "name", "position", "alias", "ord")
-
-
-def match_regions(posts: DataFrame, key: str, text: str, regions: DataFrame) -> DataFrame:
+    if rows <= LITERALS:
+        known = sorted(r[0] for r in aliases.select("alias").distinct().collect())
+        grams = F.filter(grams, lambda g: g["alias"].isin(known)) if known else F.array().cast("array<struct<position:int,alias:string>>")
+    found = posts.select(key, *carry, words.alias("_w")).select(key, *carry, F.inline(grams))
+    joined = found.join(F.broadcast(aliases) if rows <= BROADCAST_ROWS else aliases, "alias")
+    one = F.struct("position", (-F.length("alias")).alias("length"), "ord", "code", "name", "alias")
+    of_post = joined.groupBy(key).agg(*(F.first(c).alias(c) for c in carry), F.array_sort(F.collect_list(one)).alias("_all"))
+    # in this order the first entry of a code is its best
+    codes = of_post.withColumn("_codes", F.transform("_all", lambda x: x["code"]))
+    best = codes.withColumn("_best", F.filter("_all", lambda x, i: F.array_position("_codes", x["code"]) == i + 1))
+    listed = best.select(key, *carry, F.posexplode("_best").alias("_i", "_b"))
+    return listed.select(key, *carry, "_b.code", "_b.name", "_b.position", "_b.alias", "_b.ord", (F.col("_i") + 1).cast("int").alias("rank"))
+
+
+def match_regions(posts: DataFrame, key: str, text: str, regions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Regions named in each post, numbered from 1 in the order in which they appear."""
-    found = match_names(posts, key, region_haystack(F.col(text)), region_aliases(regions))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("position", F.desc(F.length("alias")), "ord"))
-    return found.select(key, "code", "name", place.cast("int").alias("rank"))
+    return match_names(posts, key, region_haystack(F.col(text)), region_aliases(regions), carry).select(key, *carry, "code", "name", "rank")
 
 
 def match_cities(posts: DataFrame, key: str, text: str, cities: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def _lower(c: str) -> str:
 
 
 def _strip(c: str) -> str:
-    return f"array_to_string(list_filter(list_transform(string_split({c}, chr(10)), lambda x: {_trim('x')}), lambda x: x <> '' AND NOT regexp_matches(x, {_q(_alt(rules.FOOTERS))})), chr(10))"
+    return f"array_to_string(list_filter(list_transform(string_split(replace({c}, chr(13), ''), chr(10)), lambda x: {_trim('x')}), lambda x: x <> '' AND NOT regexp_matches(x, {_q(_alt(rules.FOOTERS))})), chr(10))"
 
 
 def _chain(c: str, table: tuple[tuple, ...], otherwise: str = "NULL") -> str:
@@ -57,7 +57,7 @@ FULL_SQL = f"{_CLASSIFIED} {_FULL}"
 
 
 def classified_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.posts(spark, sf_dir).select("post_id", "channel_key", "raw_text", rules.classified(F.col("raw_text")).alias("c")).select("post_id", "channel_key", "raw_text", "c.*")
+    return rules.classify(P.posts(spark, sf_dir).select("post_id", "channel_key", "raw_text"), "raw_text")
 
 
 def _post(column):
@@ -106,9 +106,10 @@ def _listed(column):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts by region and type: classified posts joined with the regions that they name."""
-    events = classified_posts(spark, sf_dir).where("kind = 'event'").select("post_id", "event_type", "n")
-    return events.join(region_match(spark, sf_dir), "post_id").groupBy("code", "event_type").agg(F.count(F.lit(1)).alias("posts"), F.sum("n").alias("objects"), F.min("post_id").alias("first_post"))
+    """Alerts by region and type: posts are classified, and the regions that events name are matched, in one scan."""
+    events = classified_posts(spark, sf_dir).where("kind = 'event'")
+    named = gazetteer.match_regions(events, "post_id", "raw_text", P.regions(spark), carry=("event_type", "n"))
+    return named.groupBy("code", "event_type").agg(F.count(F.lit(1)).alias("posts"), F.sum("n").alias("objects"), F.min("post_id").alias("first_post"))
 
 
 def snap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

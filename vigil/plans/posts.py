@@ -29,6 +29,7 @@ TEMPLATES = (
     " Прифронтовых регионов касается тревога: БПЛА, {r} ",
     "   ",
     "Внимание БПЛА на Жиздринский район, {r}\r\n📲 Мы в MAX",
+    "Опасность\r по БПЛА\r, {r}",
 )
 #: (code, name, full name): the inline region dictionary.
 REGIONS = (

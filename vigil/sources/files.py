@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The first pair of numbers in brackets of a GeoJSON text.
-_PAIR = r"\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)"
+#: The first pair of numbers of the first list of coordinates in a GeoJSON text; other lists of numbers, as of a bounding box, don't count.
+_PAIR = r'"coordinates"\s*:[\s\[]*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*,\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)'
 REPORT_COLUMNS = ("index", "kind", "reason", "event_type", "severity", "count", "region_code", "precision", "source")
 
 
@@ -42,9 +42,12 @@ def read_override(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def artifact_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(key, bytes, sha256) of every file below path."""
+    """(key, bytes, sha256) of every file below path; key: its path from there on."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    below = F.substring_index("path", root + "/", -1) if root else F.col("path")
+    return files.select(below.alias("key"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_artifacts(hashes: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -53,6 +56,19 @@ def verify_artifacts(hashes: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("sha256").isNull(), 1)).alias("missing"), F.count(F.when(F.col("sha256") != F.col("_want"), 1)).alias("mismatch"))
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(key, sha256, bytes, source, revision) of an artifact manifest; an absent one lists nothing, an unnamed revision is unknown."""
+    file = "artifactKey string, sha256 string, byteSize long, sourceId string, sourceRevision string"
+    rows = read_override(spark, path, T.StructType.fromDDL(f"files array<struct<{file.replace(' string', ':string').replace(' long', ':long')}>>"))
+    f = rows.select(F.explode("files").alias("f")).select("f.*")
+    return f.select(F.col("artifactKey").alias("key"), "sha256", F.col("byteSize").alias("bytes"), F.col("sourceId").alias("source"), F.coalesce("sourceRevision", F.lit("unknown")).alias("revision"))
+
+
+def listed(manifest: DataFrame, source: str, prefix: str = "") -> DataFrame:
+    """The artifacts of one source whose keys begin with prefix."""
+    return manifest.where((F.col("source") == source) & F.col("key").startswith(prefix))
+
+
 def write_json(report: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     """A report as JSON lines, in a folder per value of `by`; what was there before goes."""
     report.write.mode("overwrite").partitionBy(*by).json(path)
