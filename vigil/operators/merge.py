@@ -51,8 +51,8 @@ def merge_regions(candidates: DataFrame, key: str) -> DataFrame:
     return named.groupBy(key, code.alias("code")).agg(first("name"), first("provider"))
 
 
-def precision(places: DataFrame, regions: DataFrame, key: str) -> DataFrame:
-    """(key, precision, completeness) of posts with any place or region."""
+def precision(places: DataFrame, regions: DataFrame, key: str, posts: DataFrame | None = None) -> DataFrame:
+    """(key, precision, completeness) of posts with any place or region; of all posts, if given: unknown and 0 without either."""
     city = F.col("kind").isin(*CITY_KINDS)
     p = places.groupBy(key).agg(F.bool_or(city).alias("c"), F.bool_or(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("x"), F.bool_or(F.col("kind") == "district").alias("d"))
     both = p.join(regions.select(key).distinct(), key, "full_outer")
@@ -60,7 +60,10 @@ def precision(places: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     level = F.when(yes(F.col("c")) & yes(F.col("x")), 0).when(yes(F.col("c")), 1).when(yes(F.col("d")), 2).otherwise(3)
     label, value = ("locality_with_coords", "locality", "district", "region"), (1.0, 0.75, 0.5, 0.25)
     at = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), level + 1)
-    return both.select(key, at(label).alias("precision"), at(value).alias("completeness"))
+    found = both.select(key, at(label).alias("precision"), at(value).alias("completeness"))
+    if posts is None:
+        return found
+    return posts.select(key).distinct().join(found, key, "left").select(key, F.coalesce("precision", F.lit("unknown")).alias("precision"), F.coalesce("completeness", F.lit(0.0)).alias("completeness"))
 
 
 def source_label(providers: Column) -> Column:
@@ -69,6 +72,13 @@ def source_label(providers: Column) -> Column:
     return F.when(F.size(d) > 1, "multi").when(F.size(d) == 1, F.get(d, F.lit(0))).otherwise("local")
 
 
-def first_answer(rows: DataFrame, columns: list[str]) -> Column:
-    """The first provider's answer that isn't null."""
-    return F.coalesce(*columns)
+def first_answer(*answers: Column) -> Column:
+    """The first provider's answer that isn't null; the providers after it are not asked (Spark evaluates them in turn)."""
+    return F.coalesce(*answers)
+
+
+def enrich_counts(providers: Column, locations: Column, cache_hit: Column) -> Column:
+    """struct of invoked, hits, misses, cache_hit of a post's enrichment."""
+    return F.struct(
+        (F.size(providers) > 0).alias("invoked"), locations.cast("int").alias("hits"), F.when(locations > 0, 0).otherwise(1).alias("misses"), F.coalesce(cache_hit, F.lit(False)).alias("cache_hit")
+    )

@@ -33,3 +33,22 @@ def decide(matched: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(F.col("place_id").isNull(), valid, new).orderBy("seq"))
     decision = F.when(~valid, "rejected").when(F.col("place_id").isNotNull(), "matched").when(rank == 1, "created").otherwise("matched")
     return matched.withColumn("decision", decision)
+
+
+def decide_api(matched: DataFrame, fallback: str) -> DataFrame:
+    """matched with decision and cached, as the service decides: a place that is found needs no name, and each verdict has its own
+    cache write (plain, validated, or none). matched's region_id is the candidate's or the fallback column's.
+
+    Rejected without a region (cached plain); matched_existing (plain); without a name rejected (not cached); created_new at
+    the first candidate of a new place (validated), which later ones then match.
+    """
+    from pyspark.sql import Window
+
+    region = F.coalesce("region_id", fallback)
+    new = F.coalesce(F.nullif(F.col("fias_id"), F.lit("")), F.concat_ws(":", region, norm_geo(F.col("name"))))
+    named = F.coalesce("name", F.lit("")) != ""
+    open_ = region.isNotNull() & F.col("place_id").isNull() & named
+    rank = F.row_number().over(Window.partitionBy(open_, new).orderBy("seq"))
+    decision = F.when(region.isNull(), "rejected").when(F.col("place_id").isNotNull(), "matched_existing").when(~named, "rejected").when(rank == 1, "created_new").otherwise("matched_existing")
+    cached = F.when(F.col("decision") == "created_new", "validated").when((F.col("decision") == "rejected") & region.isNotNull(), "none").otherwise("plain")
+    return matched.withColumn("decision", decision).withColumn("cached", cached)

@@ -51,6 +51,39 @@ def where_given(rows: DataFrame, **params: object) -> DataFrame:
     return rows
 
 
+def active(rows: DataFrame) -> DataFrame:
+    """Rows that are in use; the filter reaches the scan."""
+    return rows.where(F.col("is_active"))
+
+
+def delete_keys(base: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """base without the rows of these keys, as a status that ends loses its row."""
+    return base.join(keys.select(*key).distinct(), key, "left_anti")
+
+
+def upsert_aliases(base: DataFrame, updates: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
+    """base with the last update of each alias laid over it; an alias that was retired comes back.
+
+    base: key, alias, source, is_active, deprecated_at; updates: key, alias, source and what order needs.
+    """
+    last = first_per_key(updates, key, order).select(*key, F.col("alias").alias("_alias"), F.col("source").alias("_source"), F.lit(True).alias("_new"))
+    new = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    return base.join(last, key, "full_outer").select(
+        *key, new("alias"), new("source"), F.coalesce("_new", "is_active").alias("is_active"), F.when(F.col("_new").isNull(), F.col("deprecated_at")).alias("deprecated_at")
+    )
+
+
+def finish(base: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Started runs with the status and end of those that results name; results of unknown runs are ignored."""
+    done = results.select(key, F.col("status").alias("_status"), F.col("finished_at").alias("_end"))
+    return base.join(done, key, "left").withColumn("status", F.coalesce("_status", "status")).withColumn("finished_at", F.coalesce("_end", "finished_at")).drop("_status", "_end")
+
+
+def of_parents(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The children of the given parents."""
+    return children.join(parents.select(key).distinct(), key, "left_semi")
+
+
 def limit_of(value: object, default: int) -> int:
     """A row limit out of a request parameter: the default where it isn't a finite number."""
     try:

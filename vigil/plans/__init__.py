@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
-from . import alerts, domain
+from . import alerts, domain, geo
 
-QUERIES = {**alerts.QUERIES, **domain.QUERIES}
-ORACLE = {**alerts.ORACLE, **domain.ORACLE}
+QUERIES = {**alerts.QUERIES, **domain.QUERIES, **geo.QUERIES}
+ORACLE = {**alerts.ORACLE, **domain.ORACLE, **geo.ORACLE}

@@ -143,11 +143,6 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("post_id", F.posexplode(kinds).alias("pos", "type"))
 
 
-def event_location_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = classified_posts(spark, sf_dir).where("kind = 'event'").select("post_id")
-    return events.join(region_match(spark, sf_dir), "post_id").select("post_id", "rank", F.col("code").alias("region_code"), F.col("name").alias("place_name"), F.lit("region").alias("precision"), F.lit("db").alias("source"))
-
-
 def llm_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a language model: code fences off, JSON read, places or a region code wanted."""
     raw = _t(spark, sf_dir, "events").selectExpr("event_id", "CASE event_id % 4 WHEN 0 THEN concat('```json\n', props, '\n```') WHEN 1 THEN props WHEN 2 THEN 'no json' ELSE '{}' END AS answer")
@@ -185,8 +180,7 @@ QUERIES = {
     "finalizer_regions": lambda s, d: merge.merge_regions(_nodes(s, d).withColumn("kind", F.when(F.col("provider") != "dadata", "region").otherwise(F.col("kind"))).withColumn("region_code", F.coalesce("region_code", F.concat(F.lit(" BRAND#"), (F.col("post_id") % 20).cast("string")))), "post_id"),
     "geo_precision": geo_precision,
     "source_label": lambda s, d: contributions(s, d).groupBy("place_id").agg(F.collect_set("provider").alias("p")).select("place_id", merge.source_label(F.col("p")).alias("label")),
-    "composite_enrich": lambda s, d: _t(s, d, "part").select("p_partkey", merge.first_answer(None, [F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.when(F.col("p_size") % 3 == 0, F.col("p_type")), F.lit("none")]).alias("answer")),
-    "event_location_rows": event_location_rows,
+    "composite_enrich": lambda s, d: _t(s, d, "part").select("p_partkey", merge.first_answer(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.when(F.col("p_size") % 3 == 0, F.col("p_type")), F.lit("none")).alias("answer")),
     "llm_response_parse": llm_response_parse,
     "telemetry_events": telemetry,
     "ingest_events": lambda s, d: _t(s, d, "events").selectExpr("event_id", "CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'RawMessageIngested' ELSE 'RawMessageDuplicate' END AS type"),
@@ -263,7 +257,6 @@ r AS (SELECT DISTINCT post_id FROM n WHERE kind = 'region')
 SELECT post_id, CASE WHEN c AND x THEN 'locality_with_coords' WHEN c THEN 'locality' WHEN d THEN 'district' ELSE 'region' END AS precision, CASE WHEN c AND x THEN 1.0::DOUBLE WHEN c THEN 0.75::DOUBLE WHEN d THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS completeness FROM a FULL JOIN r USING (post_id)""",
     "source_label": f"WITH c AS (SELECT {_CONTRIBUTION} FROM orders) SELECT place_id, CASE WHEN count(DISTINCT provider) > 1 THEN 'multi' ELSE min(provider) END AS label FROM c GROUP BY place_id",
     "composite_enrich": "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, CASE WHEN p_size % 3 = 0 THEN p_type END, 'none') AS answer FROM part",
-    "event_location_rows": f"WITH f AS ({FULL_SQL}), g AS ({REGION_MATCH_SQL}) SELECT post_id, rank, code AS region_code, g.name AS place_name, 'region' AS precision, 'db' AS source FROM f JOIN g USING (post_id) WHERE kind = 'event'",
     "llm_response_parse": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 4 IN (0, 1) AND json_extract_string(props, '$.k') IS NOT NULL",
     "telemetry_events": f"""WITH f AS ({FULL_SQL}) SELECT post_id, 0 AS pos, 'RawMessageIngested' AS type FROM f UNION ALL SELECT post_id, 1, CASE WHEN kind = 'event' THEN 'MessageParsed' ELSE 'MessageParseFailed' END FROM f
  UNION ALL SELECT post_id, 2, 'EnricherInvoked' FROM f WHERE kind = 'event' AND n IS NULL""",
