@@ -2,16 +2,19 @@
 
 import datetime as dt
 import json
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.operators import tables, trust
+from vigil.operators import gazetteer, geo, merge, tables, trust
+from vigil.plans import alerts, posts
 from vigil.sources import files
 from vigil.streaming import events as streams
 
+SF = "/root/testdata/sf0.001"
 SEQ = "place_id long, seq long, provider string, confidence double, name string"
 
 
@@ -85,3 +88,127 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     batch = df.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").count().select("w.start", "event_type", "count")
     assert sorted(map(tuple, spark.table("activity_now").collect())) == sorted(map(tuple, batch.collect()))
+
+
+DISTRICTS = "бпла|угроза|опасность|внимание|фиксация|отбой"
+LETTER = "[а-яёА-ЯЁa-zA-Z]"
+
+
+def plain_districts(text):
+    """Left to right: one to forty letters, hyphens or spaces, as few as will do, before " район" as a word of its own."""
+    found, at = [], 0
+    word = lambda c: c.isalnum() or c == "_"
+    while at < len(text):
+        if re.match(LETTER, text[at]) and (at == 0 or not word(text[at - 1])):
+            for n in range(1, 41):
+                body, end = text[at + 1 : at + 1 + n], at + 1 + n
+                if len(body) < n or not re.fullmatch(r"[а-яёА-ЯЁa-zA-Z\-\s]+", body):
+                    n = 41
+                    break
+                tail = text[end : end + 6]
+                if len(tail) == 6 and tail[0].isspace() and tail[1:].lower() == "район" and (end + 6 == len(text) or not word(text[end + 6])):
+                    name = re.sub(rf"^(?:{DISTRICTS})\s+(?:по\s+|на\s+)?", "", text[at : end + 6].strip(), flags=re.I)
+                    name = re.sub(r"^(?:по|на|в|во|к|из|от)\s+", "", name, flags=re.I).strip()
+                    found.append(name)
+                    at = end + 6
+                    break
+            else:
+                n = 41
+            if n <= 40:
+                continue
+        at += 1
+    return [x for x in found if x]
+
+
+def plain_cities(text):
+    tidy = lambda names: [y for x in names if re.search("[А-ЯЁ][а-яё-]{2,}", y := re.sub("[.?!;:]", "", x).strip())]
+    airport = re.findall(r"аэропорт\s+([А-ЯЁ][а-яё-]{2,})", text, flags=re.I)
+    prefixed = re.findall(r"(?:^|[\s,;])(?:г\.|город)\s*([А-ЯЁ][а-яё-]{2,})", text, flags=re.I | re.M)
+    noise = "область|край|республика|ао|район|бпла|пво|опасност|внимани|фиксац|отбой|ограничения|ивп|работа|сбит|угроза|меры|подписаться|обход|радар|@"
+    lines = [x.strip() for x in text.replace("\r", "").split("\n")]
+    plain = [y for x in lines if x and not re.search(noise, x, flags=re.I) for y in x.split(",")]
+    return list(dict.fromkeys([*tidy(airport), *tidy(prefixed), *tidy(plain)]))
+
+
+def posts_of(spark):
+    return [(r["post_id"], r["raw_text"]) for r in posts.posts(spark, SF).collect()] + [
+        (-1, "Внимание по Сухиничский район, Жиздринский  район; на Думиничский район"), (-2, "район"), (-3, "Калуга, Тула\nг. Орёл и город Брянск\nаэропорт Псков закрыт"),
+        (-4, "ЛИПЕЦК\nЛипецк?, Ли\nОбход: Тверь"), (-5, "Очень " * 12 + "район"), (-6, "xрайон Энский районный, Энский район."), (-7, "Тула!!\r\nТула"),
+    ]
+
+
+def test_districts_and_fallback_cities_equal_plain_versions(spark):
+    rows = posts_of(spark)
+    df = spark.createDataFrame(rows, "post_id long, raw_text string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("post_id", gazetteer.district_array(F.col("raw_text")), gazetteer.fallback_city_array(F.col("raw_text"))).collect()}
+    assert {i: (plain_districts(t), plain_cities(t)) for i, t in rows} == got
+    assert any(a for a, _ in got.values()) and any(b for _, b in got.values())
+
+
+def test_catalog_step_equals_plain_version(spark):
+    rows = posts_of(spark)
+    df = spark.createDataFrame(rows, "post_id long, raw_text string")
+    cities, regions = alerts._cities(spark), posts.regions(spark)
+    first = {r["post_id"]: r["code"] for r in gazetteer.match_regions(df, "post_id", "raw_text", regions).where("rank = 1").collect()}
+    known = {}
+    for r in gazetteer.match_cities(df, "post_id", "raw_text", cities).orderBy("rank").collect():
+        known.setdefault(r["post_id"], []).append((r["name"], r["lat"], r["lon"]))
+    want = set()
+    for i, t in rows:
+        every = [("district", x, None, None) for x in plain_districts(t)] + [("city", *x) for x in known.get(i, [])] + [("city", x, None, None) for x in plain_cities(t)]
+        last = {}
+        for kind, name, lat, lon in every:
+            last[kind, re.sub(r"\s+", " ", re.sub("[\"'`]", "", name.lower().replace("ё", "е"))).strip()] = (kind, name, lat, lon)
+        want |= {(i, *x, first.get(i)) for x in last.values() if i in first or x[0] == "city"}
+    got = geo.catalog_places(df, "post_id", "raw_text", regions, cities).collect()
+    assert {(r["post_id"], r["kind"], r["name"], r["lat"], r["lon"], r["region_code"]) for r in got} == want and len(got) == len(want)
+
+
+def test_aliases_of_any_length_are_found(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "вчера в очень длинное название из семи слов тут было тихо"), (2, "из семи слов")], "post_id long, t string")
+    names = spark.createDataFrame([("a", "A", 0, "очень длинное название из семи слов тут"), ("b", "B", 1, "слов")], "code string, name string, ord int, alias string")
+    want = [(1, "a", 2, 1), (1, "b", 7, 2), (2, "b", 2, 1)]
+    for most in (gazetteer.LITERALS, 0):
+        monkeypatch.setattr(gazetteer, "LITERALS", most)
+        got = gazetteer.match_names(texts, "post_id", F.col("t"), names)
+        assert sorted((r["post_id"], r["code"], r["position"], r["rank"]) for r in got.collect()) == want
+    assert gazetteer.match_names(texts, "post_id", F.col("t"), names.where("false")).count() == 0
+
+
+def test_manifest_and_artifacts_of_two_folders(spark, tmp_path):
+    for folder, text in (("a", "one"), ("b", "two")):
+        (tmp_path / "f" / folder).mkdir(parents=True)
+        (tmp_path / "f" / folder / "same.csv").write_text(text)
+    hashes = files.artifact_hashes(spark, str(tmp_path / "f"))
+    assert {r["key"]: r["bytes"] for r in hashes.collect()} == {"a/same.csv": 3, "b/same.csv": 3}
+    sha = {r["key"]: r["sha256"] for r in hashes.collect()}
+    listed = [{"artifactKey": k, "sha256": h, "byteSize": 3, "sourceId": k[0]} for k, h in [*sha.items(), ("c/gone.csv", "x")]]
+    (tmp_path / "manifest.json").write_text(json.dumps({"version": 1, "files": listed}))
+    manifest = files.read_manifest(spark, str(tmp_path / "manifest.json"))
+    assert tuple(files.verify_artifacts(hashes, manifest).first()) == (3, 1, 0)
+    assert [r["revision"] for r in files.listed(manifest, "a", "a/").collect()] == ["unknown"]
+    assert files.read_manifest(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_bounding_boxes_are_no_places(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    feature = {"type": "Feature", "bbox": [1.5, 2.5, 3.5, 4.5], "geometry": {"type": "Polygon", "bbox": [9, 8, 7, 6], "coordinates": [[[36.5, 54.5], [37, 55]]]}}
+    (tmp_path / "g" / "Town_x.geojson").write_text(json.dumps({"bbox": [1, 2, 3, 4], "features": [feature]}))
+    assert tuple(files.read_cities(spark, str(tmp_path / "g")).first()) == ("Town", 36.5, 54.5)
+
+
+def test_steps_counts_and_sinks(spark, tmp_path):
+    assert geo.step_order("llm, none,Catalog") == ("llm", "catalog") and geo.step_order(" ") == geo.STEPS
+    add = lambda name: lambda df: df.withColumn("log", F.concat("log", F.lit(name)))
+    rows = spark.createDataFrame([(1, "")], "post_id long, log string")
+    assert geo.run_steps(rows, {"llm": add("l"), "catalog": add("c")}, ("catalog", "dadata", "llm"), add("!")).first()["log"] == "cl!"
+    got = spark.range(1).select(merge.enrich_counts(F.array(), F.lit(0), F.lit(None).cast("boolean")).alias("a"), merge.enrich_counts(F.array(F.lit("llm")), F.lit(2), F.lit(True)).alias("b")).first()
+    assert tuple(got["a"]) == (False, 0, 1, False) and tuple(got["b"]) == (True, 2, 0, True)
+    none = spark.createDataFrame([], "post_id long, kind string, lat double, lon double")
+    assert [tuple(r) for r in merge.precision(none, none, "post_id", rows).collect()] == [(1, "unknown", 0.0)]
+    report = spark.createDataFrame([(1, "event", 'a "b", c', "", "", 2, "40", "region", "local")], ", ".join(f"`{c}` {'int' if c in ('index', 'count') else 'string'}" for c in files.REPORT_COLUMNS))
+    for _ in range(2):  # what was there before goes
+        files.write_csv(report, str(tmp_path / "csv"))
+        files.write_json(report, str(tmp_path / "json"), by=("kind",))
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()[0]["reason"] == 'a "b", c'
+    assert spark.read.json(str(tmp_path / "json")).count() == 1 and (tmp_path / "json" / "kind=event").exists()

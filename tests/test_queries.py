@@ -1,5 +1,6 @@
 """Every query of the alert work against its SQL, on the smallest tables; the entry module with and without the llm subpackage."""
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -51,3 +52,12 @@ q = e.queries()
 assert "pipeline" not in q and not any(k.startswith("op") and k[2].isdigit() for k in q) and len(q) > 50
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent, timeout=120)
+
+
+def test_rest_works_with_both_folders_deleted(tmp_path):
+    root = Path(__file__).parent.parent
+    gone = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".pytest_cache")
+    shutil.copytree(root, tmp_path / "r", ignore=gone)
+    run = lambda *a: subprocess.run([sys.executable, "-B", *a], check=True, cwd=tmp_path / "r", timeout=600)
+    run("-c", "import __spark_entry__ as e; assert len(e.queries()) > 80 and 'pipeline' not in e.queries() and not any(k.startswith('op1') for k in e.oracle_sql())")
+    run("-m", "pytest", "-q", "-x", "tests/test_operators.py", "-p", "no:cacheprovider")

@@ -64,14 +64,3 @@ def flat(classified: DataFrame, found: DataFrame, key: str = "post_id") -> DataF
         F.col(key).alias("index"), "kind", text("reason"), text("event_type"), text("severity"), F.coalesce("n", F.lit(0)).alias("count"),
         F.coalesce("code", F.lit("")).alias("region_code"), F.when(F.col("code").isNull(), "unknown").otherwise("region").alias("precision"), F.lit("local").alias("source"),
     )
-
-
-def write_report(rows: DataFrame, path: str, form: str = "json", by: tuple[str, ...] = ()) -> None:
-    """Overwrite path with rows as json or csv (header, quotes only where needed), a folder per value of `by`."""
-    out = rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")
-    if form == "csv":
-        out.option("header", True).option("escape", '"').csv(path)
-    elif form == "json":
-        out.json(path)
-    else:
-        raise ValueError(f"no such form: {form}")
