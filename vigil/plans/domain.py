@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_alias, norm_geo
-from ..operators import merge, resolve, status, sync, tables, trust
+from ..operators import answers, merge, resolve, status, sync, tables, trust
+from ..sources import files
+from ..streaming import events
 from . import posts as P
 from .alerts import FULL_SQL, REGION_MATCH_SQL, classified_posts, region_match
 
@@ -143,11 +145,34 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("post_id", F.posexplode(kinds).alias("pos", "type"))
 
 
+_ANSWER = """CASE event_id % 6 WHEN 0 THEN concat('```json\\n{"places":[{"placeName":"P', CAST(user_id AS VARCHAR(9)), '","kind":"city"}],"regionCode":null,"confidence":0.5}\\n```')
+ WHEN 1 THEN '{"places":[],"regionCode":"40","reason":"said so"}' WHEN 2 THEN 'no json' WHEN 3 THEN '{"places":[]}' WHEN 4 THEN '{"places":[{"placeName":"A"},{"placeName":"B","kind":"region"}],"other":1}' ELSE '{"regionCode":""}' END"""
+
+
 def llm_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a language model: code fences off, JSON read, places or a region code wanted."""
-    raw = _t(spark, sf_dir, "events").selectExpr("event_id", "CASE event_id % 4 WHEN 0 THEN concat('```json\n', props, '\n```') WHEN 1 THEN props WHEN 2 THEN 'no json' ELSE '{}' END AS answer")
-    body = F.regexp_replace(F.trim(F.col("answer")), r"(?s)\A```(?:json)?\n?|\n?```\z", "")
-    return raw.select("event_id", F.from_json(body, "k long").alias("j")).where("j.k IS NOT NULL").selectExpr("event_id", "j.k AS k")
+    raw = _t(spark, sf_dir, "events").selectExpr("event_id", f"{_ANSWER} AS answer")
+    parsed = answers.parse_answers(raw, "answer")
+    return parsed.select("event_id", F.size("places").cast("long").alias("n_places"), F.get("places", F.lit(0))["placeName"].alias("first_place"), "region_code", "confidence", "reason")
+
+
+def artifact_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("key"), F.sha2("html", 256).alias("sha256"))
+    manifest = pages.select("key", F.when(F.col("page_id") % 9 == 0, "x").otherwise(F.col("sha256")).alias("sha256"))
+    return files.verify_artifacts(pages.where("page_id % 9 = 0 OR page_id % 10 <> 0"), manifest)
+
+
+def channel_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channels = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS channel", "s_suppkey % 5 <> 0 AS enabled", "CASE WHEN s_suppkey % 3 = 0 THEN 500 END AS batch_limit", "CASE WHEN s_suppkey % 4 = 0 THEN true END AS mark_read")
+    return answers.plan_channels(channels, {"batch_limit": 100, "mark_read": False})
+
+
+def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.ingest_types(_t(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "type")
+
+
+def outbox_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outbox = _t(spark, sf_dir, "events").selectExpr("event_id", "ts", "CASE WHEN event_type = 'view' THEN ts END AS published_at")
+    return events.unpublished(outbox, 100, "ts").select("event_id", "ts")
 
 
 def _latest(table: str, key: str, order: list[str], columns: list[str]):
@@ -183,7 +208,7 @@ QUERIES = {
     "composite_enrich": lambda s, d: _t(s, d, "part").select("p_partkey", merge.first_answer(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.when(F.col("p_size") % 3 == 0, F.col("p_type")), F.lit("none")).alias("answer")),
     "llm_response_parse": llm_response_parse,
     "telemetry_events": telemetry,
-    "ingest_events": lambda s, d: _t(s, d, "events").selectExpr("event_id", "CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'RawMessageIngested' ELSE 'RawMessageDuplicate' END AS type"),
+    "ingest_events": ingest_events,
     "dedupe_first": _latest("events", "user_id", ["ts", "event_id"], ["user_id", "ts", "event_id", "event_type"]),
     "cache_latest": _latest("events", "user_id", ["-ts", "-event_id"], ["user_id", "ts", "event_id", "event_type"]),
     "cursor_latest": _latest("orders", "o_custkey", ["-o_orderkey"], ["o_custkey", "o_orderkey", "o_orderstatus"]),
@@ -202,15 +227,14 @@ QUERIES = {
     "place_status": _TOP(lambda s, d: tables.where_given(status.as_of(history(s, d)), place_id=None, status_code="click"), ["-since", "place_id"], 500),
     "place_status_history": _TOP(lambda s, d: tables.where_given(history(s, d), place_id=1, status_code=None), ["-event_at", "-event_id"], 1000),
     "events_feed": _TOP(lambda s, d: P.posts(s, d).select("post_id", "posted_at"), ["-posted_at", "-post_id"], 100),
-    "outbox_batch": _TOP(lambda s, d: _t(s, d, "events").where("event_type <> 'view'").select("event_id", "ts"), ["ts", "event_id"], 100),
+    "outbox_batch": outbox_batch,
     "regions_list": _TOP(lambda s, d: _t(s, d, "nation").select("n_name", "n_nationkey"), ["n_name"], 500),
     "dictionary": _TOP(lambda s, d: _t(s, d, "part").select("p_size", "p_partkey", "p_brand"), ["p_size", "p_partkey"], 500),
     "sync_history": _TOP(lambda s, d: _t(s, d, "orders").select("o_orderkey", "o_orderdate"), ["-o_orderdate", "-o_orderkey"], 100),
     "events_in_range": lambda s, d: P.posts(s, d).where("posted_at >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND posted_at < TIMESTAMP_NTZ '2024-01-12 00:00:00'").select("post_id", "channel_key"),
     "events_by_region": lambda s, d: region_match(s, d).where("code = '40'").select("post_id", "rank"),
-    "channel_plan": lambda s, d: _t(s, d, "supplier").selectExpr("s_suppkey AS channel", "coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 500 END, 100) AS batch_limit", "coalesce(CASE WHEN s_suppkey % 4 = 0 THEN true END, false) AS mark_read").where("channel % 5 <> 0"),
-    "artifact_verify": lambda s, d: _t(s, d, "pages").select("page_id", F.sha2("html", 256).alias("h")).withColumn("want", F.when(F.col("page_id") % 9 == 0, "x").when(F.col("page_id") % 10 != 0, F.col("h"))).agg(
-        F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("want").isNull(), 1)).alias("missing"), F.count(F.when(F.col("want") != F.col("h"), 1)).alias("mismatch")),
+    "channel_plan": channel_plan,
+    "artifact_verify": artifact_verify,
     "activity_tumbling": lambda s, d: _t(s, d, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n"),
     "activity_session": lambda s, d: _t(s, d, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n"),
     "analytics_rollup": lambda s, d: _t(s, d, "events").rollup("event_type", (F.col("user_id") % 5).alias("bucket")).agg(F.count(F.lit(1)).alias("n")),
@@ -257,7 +281,9 @@ r AS (SELECT DISTINCT post_id FROM n WHERE kind = 'region')
 SELECT post_id, CASE WHEN c AND x THEN 'locality_with_coords' WHEN c THEN 'locality' WHEN d THEN 'district' ELSE 'region' END AS precision, CASE WHEN c AND x THEN 1.0::DOUBLE WHEN c THEN 0.75::DOUBLE WHEN d THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS completeness FROM a FULL JOIN r USING (post_id)""",
     "source_label": f"WITH c AS (SELECT {_CONTRIBUTION} FROM orders) SELECT place_id, CASE WHEN count(DISTINCT provider) > 1 THEN 'multi' ELSE min(provider) END AS label FROM c GROUP BY place_id",
     "composite_enrich": "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, CASE WHEN p_size % 3 = 0 THEN p_type END, 'none') AS answer FROM part",
-    "llm_response_parse": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 4 IN (0, 1) AND json_extract_string(props, '$.k') IS NOT NULL",
+    "llm_response_parse": f"""WITH a AS (SELECT event_id, regexp_replace(regexp_replace(replace({_ANSWER}, '\\n', chr(10)), '^```json', ''), '```$', '') AS t FROM events), j AS (SELECT event_id, TRY_CAST(t AS JSON) AS j FROM a)
+SELECT event_id, CAST(coalesce(json_array_length(j, '$.places'), 0) AS BIGINT) AS n_places, json_extract_string(j, '$.places[0].placeName') AS first_place, json_extract_string(j, '$.regionCode') AS region_code,
+ CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS confidence, json_extract_string(j, '$.reason') AS reason FROM j WHERE coalesce(json_array_length(j, '$.places'), 0) > 0 OR coalesce(json_extract_string(j, '$.regionCode'), '') <> ''""",
     "telemetry_events": f"""WITH f AS ({FULL_SQL}) SELECT post_id, 0 AS pos, 'RawMessageIngested' AS type FROM f UNION ALL SELECT post_id, 1, CASE WHEN kind = 'event' THEN 'MessageParsed' ELSE 'MessageParseFailed' END FROM f
  UNION ALL SELECT post_id, 2, 'EnricherInvoked' FROM f WHERE kind = 'event' AND n IS NULL""",
     "ingest_events": "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'RawMessageIngested' ELSE 'RawMessageDuplicate' END AS type FROM events",

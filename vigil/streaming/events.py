@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -72,3 +72,14 @@ def parse_events(parsed: DataFrame, key: str, at: str) -> DataFrame:
     )
     listed = parsed.select(key, at, F.posexplode(rows).alias("pos", "_e"))
     return listed.select(key, "pos", *envelope(F.col("_e.type"), "raw_message", F.col(key).cast("string"), F.col(at), F.col("_e.payload")))
+
+
+def ingest_types(messages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """messages with type: RawMessageIngested for the first of its keys, RawMessageDuplicate for later ones."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    return messages.withColumn("type", F.when(first, "RawMessageIngested").otherwise("RawMessageDuplicate"))
+
+
+def unpublished(outbox: DataFrame, n: int = 100, at: str = "occurred_at", key: str = "event_id") -> DataFrame:
+    """The oldest n events of an outbox that have no mark of publication."""
+    return outbox.where(F.col("published_at").isNull()).orderBy(at, key).limit(n)
