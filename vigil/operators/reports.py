@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_geo, squeeze, trim
+from ..functions.text import norm_geo, preview, squeeze, trim
 
 # What looks like a mention of a region. Its last word ends where a Latin letter, digit or underscore begins or ends.
 REGION_LIKE_SQL = r"(?i)(област|край|республик|респ\.|обл\.|ао[A-Za-z0-9_])"
@@ -49,12 +49,28 @@ def gap_totals(classified: DataFrame, found: DataFrame, key: str = "post_id") ->
     event, many = F.col("kind") == "event", F.col("_m") >= 2
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
     return rows.agg(
-        F.count(F.lit(1)).alias("blocks"), n(event, "event"), n(F.col("kind") == "noise", "noise"), n(F.col("kind") == "meta", "meta"),
+        F.count_distinct("channel_key").alias("files"), F.count(F.lit(1)).alias("blocks"), n(event, "event"), n(F.col("kind") == "noise", "noise"), n(F.col("kind") == "meta", "meta"),
         n(F.col("_r").isNull(), "unknown_geo"), n(event & F.col("_r").isNull(), "event_unknown_geo"), n(event & many, "multi_region_like"),
         n(event & many & (F.coalesce("_r", F.lit(0)) <= 1), "multi_region_collapsed"), n(F.col("reason") == "event_type_not_detected", "type_not_detected"),
     )
 
 
+def gap_rows(classified: DataFrame, found: DataFrame, key: str = "post_id") -> DataFrame:
+    """(key, issue, event_type, preview, regions, lost) for each gap of each post: an event without regions, one that names several
+    regions of which one at most was found, a hint at an event of no known type. lost: mentions that no found region answers, sorted."""
+    regions = found.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
+    lost = lost_mentions(classified, found, key).groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("mention")), "|").alias("lost"))
+    event, many, r = F.col("kind") == "event", F.size(region_mentions(F.col("raw_text"))) >= 2, F.coalesce("_r", F.lit(0))
+    issues = F.array_compact(
+        F.array(
+            F.when(event & (r == 0), "event_with_unknown_geo"), F.when(event & many & (r <= 1), "multi_region_collapsed_to_single_target"),
+            F.when(F.col("reason") == "event_type_not_detected", "event_type_not_detected"),
+        )
+    )
+    rows = classified.join(regions, key, "left").join(lost, key, "left")
+    return rows.select(key, F.explode(issues).alias("issue"), "event_type", preview(F.col("raw_text")).alias("preview"), r.alias("regions"), F.coalesce("lost", F.lit("")).alias("lost"))
+
+
 def flat(classified: DataFrame, found: DataFrame, key: str = "post_id") -> DataFrame:
     """Nine flat columns per post: the first region, defaults for what is missing."""
     first = found.where("rank = 1").select(key, "code")

@@ -120,6 +120,10 @@ def gap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.gap_totals(classified_posts(spark, sf_dir), region_match(spark, sf_dir))
 
 
+def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.gap_rows(classified_posts(spark, sf_dir), region_match(spark, sf_dir))
+
+
 _MENTIONS = f"""m0 AS (SELECT post_id, list_filter(list_transform(regexp_split_to_array(raw_text, '[' || chr(10) || ',;|]+'), lambda x: {_trim(_squeeze('x'))}), lambda x: x <> '' AND regexp_matches(x, {_q(reports.REGION_LIKE_SQL)})) AS parts,
  list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: {_trim(_squeeze('x'))}), lambda x: x <> '' AND length(x) <= 120 AND regexp_matches(x, {_q(reports.REGION_LIKE_SQL)})) AS ln FROM p),
 mm AS (SELECT post_id, list_concat(parts, list_filter(ln, lambda x: NOT list_contains(parts, x))) AS l FROM m0),
@@ -152,6 +156,7 @@ QUERIES = {
     "lost_mentions": lambda s, d: reports.lost_mentions(P.posts(s, d), region_match(s, d)),
     "snap_summary": snap_summary,
     "gap_totals": gap_totals,
+    "gap_rows": gap_rows,
     "metrics_by_type": lambda s, d: classified_posts(s, d).where("kind = 'event'").groupBy("event_type").agg(F.count(F.lit(1)).alias("posts")),
     "flat_report": lambda s, d: reports.flat(classified_posts(s, d), region_match(s, d)),
 }
@@ -190,10 +195,15 @@ SELECT post_id, mention FROM mx WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.post_i
     "snap_summary": f"""WITH f AS ({FULL_SQL}) SELECT channel_key, count(*) AS total, count(*) FILTER (kind = 'event') AS events, count(*) FILTER (kind = 'noise') AS noise, count(*) FILTER (kind = 'meta') AS meta,
  round(CAST(count(*) FILTER (kind = 'event') AS DOUBLE) / count(*), 4) AS event_share FROM f GROUP BY channel_key""",
     "gap_totals": f"""WITH f AS ({FULL_SQL}), p AS ({P.posts_sql()}), {_MENTIONS}, g AS ({REGION_MATCH_SQL}), n AS (SELECT post_id, count(*) AS regions FROM g GROUP BY post_id), c AS (SELECT post_id, count(*) AS mentions FROM mx GROUP BY post_id)
-SELECT count(*) AS blocks, count(*) FILTER (kind = 'event') AS event, count(*) FILTER (kind = 'noise') AS noise, count(*) FILTER (kind = 'meta') AS meta,
+SELECT count(DISTINCT channel_key) AS files, count(*) AS blocks, count(*) FILTER (kind = 'event') AS event, count(*) FILTER (kind = 'noise') AS noise, count(*) FILTER (kind = 'meta') AS meta,
  count(*) FILTER (regions IS NULL) AS unknown_geo, count(*) FILTER (kind = 'event' AND regions IS NULL) AS event_unknown_geo,
  count(*) FILTER (kind = 'event' AND mentions >= 2) AS multi_region_like, count(*) FILTER (kind = 'event' AND mentions >= 2 AND coalesce(regions, 0) <= 1) AS multi_region_collapsed,
  count(*) FILTER (reason = 'event_type_not_detected') AS type_not_detected FROM f LEFT JOIN n USING (post_id) LEFT JOIN c USING (post_id)""",
+    "gap_rows": f"""WITH f AS ({FULL_SQL}), p AS ({P.posts_sql()}), {_MENTIONS}, g AS ({REGION_MATCH_SQL}), n AS (SELECT post_id, count(*) AS regions FROM g GROUP BY post_id), c AS (SELECT post_id, count(*) AS mentions FROM mx GROUP BY post_id),
+l AS (SELECT post_id, string_agg(mention, '|' ORDER BY mention) AS lost FROM mx WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.post_id = mx.post_id AND (contains({_NGEO('mention')}, {_NGEO('name')}) OR contains({_NGEO('name')}, {_NGEO('mention')}))) GROUP BY post_id),
+a AS (SELECT f.*, coalesce(regions, 0) AS regions, coalesce(mentions, 0) AS m, coalesce(lost, '') AS lost FROM f LEFT JOIN n USING (post_id) LEFT JOIN c USING (post_id) LEFT JOIN l USING (post_id)),
+i AS (SELECT *, 'event_with_unknown_geo' AS issue FROM a WHERE kind = 'event' AND regions = 0 UNION ALL SELECT *, 'multi_region_collapsed_to_single_target' FROM a WHERE kind = 'event' AND m >= 2 AND regions <= 1 UNION ALL SELECT *, 'event_type_not_detected' FROM a WHERE reason = 'event_type_not_detected')
+SELECT post_id, issue, event_type, array_to_string(string_split(raw_text, chr(10))[1:3], ' | ') AS preview, regions, lost FROM i""",
     "metrics_by_type": f"WITH f AS ({FULL_SQL}) SELECT event_type, count(*) AS posts FROM f WHERE kind = 'event' GROUP BY event_type",
     "flat_report": f"""WITH f AS ({FULL_SQL}), g AS ({REGION_MATCH_SQL}) SELECT post_id AS index, kind, coalesce(reason, '') AS reason, coalesce(event_type, '') AS event_type, coalesce(severity, '') AS severity,
  coalesce(n, 0) AS count, coalesce(code, '') AS region_code, CASE WHEN code IS NULL THEN 'unknown' ELSE 'region' END AS precision, 'local' AS source FROM f LEFT JOIN (SELECT * FROM g WHERE rank = 1) USING (post_id)""",
