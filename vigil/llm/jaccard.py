@@ -14,7 +14,10 @@ A document's set: its distinct k-word shingles (fewer words: all of them as one;
 3. Qualifying groups are opened: a task gets the whole sets of a group's members and of the queries that opened it, bounds
    these once more by parities (512 bits, more for larger sets, that differ in at most as many bits as the sets differ in
    tokens) and counts exact overlaps through the group's postings. Links found join components at once, so documents
-   already joined are not compared again.
+   already joined are not compared again. This takes two rounds: first each group by itself and with the queries that it is
+   the likeliest group of (each token counting for one group, so that rows stay as many as tokens); then the matrix bounds
+   all groups for all queries, members in the query's own component left out. A large family of near copies is one
+   component after the first round, and makes no rows in the second.
 4. Links of all groups meet in connected components.
 
 A token's documents are counted and joined as rows, never gathered in one task. Of two groups that one token joins, only
@@ -26,7 +29,7 @@ A null id is left out of joins but keeps its row (component null); rows with equ
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +97,6 @@ def folded(odd: list[bytes], size: int) -> np.ndarray:
 
 def group_of(s: np.ndarray) -> int:
     """The group of a set: a 32-bit hash of its smallest token and size class. Groups that share a number are one group."""
-    if not len(s):
-        return 0
     return int(mix(s[:1] + np.uint64(int(SIZES * np.log2(len(s))) << 48)).view(np.int64)[0] >> 32)
 
 
@@ -142,16 +143,23 @@ def may_link(n: np.ndarray, odd: np.ndarray, q: int, percent: int) -> np.ndarray
     return ok
 
 
-def linked(sets: list[np.ndarray], block: np.ndarray, cross: bool, percent: int) -> np.ndarray:
-    """The component (its first document) of each document of an opened group by their exact links; cross: of different blocks only."""
+def linked(sets: list[np.ndarray], block: np.ndarray, cross: bool, percent: int, known: np.ndarray | None = None, asks: np.ndarray | None = None) -> np.ndarray:
+    """The component (its first document) of each document of an opened group by their exact links.
+
+    cross: documents of different blocks only; known: components that hold already; asks: the documents to compare with those that don't ask.
+    """
     docs = len(sets)
     root = np.arange(docs)
+    if known is not None:
+        _, one, of = np.unique(known, return_index=True, return_inverse=True)
+        root = one[of.ravel()]
     n = np.array([len(x) for x in sets], np.int64)
+    if (root == root[0]).all() or (cross and (block == block[0]).all()):
+        return root
     if docs == 2:
-        if not cross or block[0] != block[1]:
-            both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-            if both * (100 + percent) >= percent * (n[0] + n[1]):
-                root[1] = 0
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        if both * (100 + percent) >= percent * (n[0] + n[1]):
+            root[1] = root[0]
         return root
     bits = parity_bits(int(n.min()), percent) // 8  # the larger sets' parities, folded to the length of the smallest's
     odd = folded(parity(sets, percent), bits)
@@ -164,11 +172,13 @@ def linked(sets: list[np.ndarray], block: np.ndarray, cross: bool, percent: int)
     which = np.empty(len(flat), np.int32)
     which[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     start = np.concatenate([[0], np.cumsum(n)])
-    for q in range(docs):
-        may = may_link(n, odd, q, percent) & (root != root[q])
+    for q in range(docs) if asks is None else np.flatnonzero(asks):
+        may = root != root[q]
         if cross:
             may &= block != block[q]
-        if not may.any():
+        if asks is not None:
+            may &= ~asks
+        if not may.any() or not (may := may & may_link(n, odd, q, percent)).any():
             continue
         t = which[start[q] : start[q + 1]]
         size = of_post[t + 1] - of_post[t]
@@ -214,21 +224,34 @@ def need(n: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * n / F.lit(100))
 
 
-def bounds(classes: DataFrame, percent: int) -> DataFrame:
+def likeliest(live: DataFrame) -> DataFrame:
+    """(id, g): for each document the group it hits most, when each token counts for the one group that most of its documents are in."""
+    top = live.groupBy("token", "g").agg(F.count(F.lit(1)).alias("_c")).groupBy("token").agg(F.max(F.struct("_c", "g"))["g"].alias("_top"))
+    hit = live.join(top, "token").where("_top <> g").groupBy("id", F.col("_top").alias("g")).agg(F.count(F.lit(1)).alias("hits"))
+    return hit.groupBy("id").agg(F.max(F.struct("hits", "g"))["g"].alias("g"))
+
+
+def bounds(live: DataFrame, percent: int) -> DataFrame:
     """(id, g, hits, k): for each document the groups, of lower number than its own, whose unions it hits, and the hits needed.
 
-    classes: id, g, n, first (the rarest tokens). Tokens of one group only are left out before anything is joined.
+    live: token, id, g, n, comp. Members of a group count by component, and none of the document's own; tokens of one
+    component only are left out before anything is joined.
     """
-    rows = classes.select("id", "g", "n", F.explode("first").alias("token"))
-    crossing = rows.groupBy("token").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a <> _b").select("token")
-    live = written(rows.join(crossing, "token", "left_semi"), "live")
-    matrix = live.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("g", "_g")
-    hit = live.join(matrix, "token").where((F.col("_g") < F.col("g")) & (F.col("n") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("n") * 100))
-    return hit.groupBy("id", F.col("_g").alias("g")).agg(F.count(F.lit(1)).alias("hits"), F.least(F.lit(HITS), F.min(need(F.least("lo", "n"), percent))).alias("k"))
+    crossing = live.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("token")
+    rows = live.join(crossing, "token", "left_semi")
+    matrix = rows.groupBy("token", F.col("g").alias("_g"), F.col("comp").alias("_comp")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fits = (F.col("n") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("n") * 100)
+    hit = rows.join(matrix, "token").where((F.col("_g") < F.col("g")) & (F.col("_comp") != F.col("comp")) & fits)
+    once = hit.groupBy("id", F.col("_g").alias("g"), "token").agg(F.min(need(F.least("lo", "n"), percent)).alias("_k"))
+    return once.groupBy("id", "g").agg(F.count(F.lit(1)).alias("hits"), F.least(F.lit(HITS), F.min("_k")).alias("k"))
+
 
+def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text", grouping: Callable[[np.ndarray], int] = group_of) -> DataFrame:
+    """key, n_shingles and component_id (the smallest id reachable by links, itself included), one row per row of docs.
 
-def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id (the smallest id reachable by links, itself included), one row per row of docs."""
+    grouping: the group of a set; any partition gives the same links, one of similar sets opens fewer groups.
+    """
+    wanted = HITS
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
 
@@ -255,8 +278,8 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
                 first, group = [], []
                 for s in sets:
                     least = -(-percent * len(s) // 100)
-                    p = len(s) - least + min(HITS, least)
-                    group.append(group_of(s))
+                    p = len(s) - least + min(wanted, least)
+                    group.append(grouping(s) if len(s) else 0)
                     at = np.flatnonzero(likely[(s & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(hot) else np.zeros(0, np.int64)
                     if len(at):
                         i = np.minimum(np.searchsorted(hot, s[at]), len(hot) - 1)
@@ -276,43 +299,65 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
     sets = written(base.mapInArrow(sets_of, "id long, n int, f1 long, f2 long, g int, first array<long>"), "sets")
     classes = written(sets.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("g").alias("g"), F.first("first").alias("first")), "classes")
 
-    # the members of each group that is opened, and the queries that open it
-    opened = written(bounds(classes, percent).where("hits >= k").select("id", "g"), "opened")
-    members = classes.select("id", "g", "n")
-    several = members.groupBy("g").count().where("count > 1").select("g").union(opened.select("g")).distinct()
-    inside = members.join(several, "g", "left_semi").unionByName(opened.join(members.select("id", "n"), "id"))
-    sized = written(inside.join(inside.groupBy("g").agg(F.sum("n").alias("c")), "g").select("id", "g", "c"), "sized")
-    small = sized.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(sized) if small else sized, "id")
+    members = classes.select("id", "g", "n", F.lit(False).alias("asks"))
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch.column("text"), SPACED_LOWER):
                 sets = shingle_sets(w, k)
-                cols = [batch.column(c).slice(w.first, w.n) for c in ("id", "g", "c")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "g", "c", "tokens"])
-
-    full = _blocks(texts.select("id", "text", "g", "c").mapInArrow(whole_sets, "id long, g int, c long, tokens binary"), "c", PART_TOKENS, "id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b = [], []
-        for t in runs(batches, ["g", "i", "j"]):
-            tokens = t.column("tokens").combine_chunks()
-            tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
-            ids = t.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, block = ids[order], t.column("block").to_numpy()[order]
-            root = linked([np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in order], block, t.column("i")[0].as_py() != t.column("j")[0].as_py(), percent)
-            join = np.flatnonzero(ids != ids[root])
-            out_a += ids[root[join]].tolist()
-            out_b += ids[join].tolist()
-            if len(out_a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    in_order = full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    roots = components(in_order.mapInArrow(verify, "a long, b long"), "linked").where("id <> root")
+                cols = [batch.column(c).slice(w.first, w.n) for c in ("id", "g", "c", "asks", "known")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "g", "c", "asks", "known", "tokens"])
+
+    def verify(again: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out_a, out_b = [], []
+            for t in runs(batches, ["g", "i", "j"]):
+                tokens = t.column("tokens").combine_chunks()
+                tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+                ids = t.column("id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                ids, block, known = ids[order], t.column("block").to_numpy()[order], t.column("known").to_numpy()[order]
+                asks = t.column("asks").to_numpy(zero_copy_only=False)[order].astype(bool)
+                sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in order]
+                root = linked(sets, block, t.column("i")[0].as_py() != t.column("j")[0].as_py(), percent, known if again else None, asks if again else None)
+                join = np.flatnonzero(ids != ids[root])
+                out_a += ids[root[join]].tolist()
+                out_b += ids[join].tolist()
+                if len(out_a) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                    out_a, out_b = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+        return run
+
+    def opened_links(queries: DataFrame, groups: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(a, b): what joins documents in the groups (g) and the queries (id, g) that open them; known: (id, root) of the round before."""
+        inside = members.join(groups, "g", "left_semi").unionByName(queries.join(members.select("id", "n"), "id").select("id", "g", "n", F.lit(True).alias("asks")))
+        sized = inside.join(inside.groupBy("g").agg(F.sum("n").alias("c")), "g")
+        sized = sized.withColumn("known", F.col("id")) if known is None else sized.join(known.distinct(), "id", "left").withColumn("known", F.coalesce("root", "id"))
+        sized = written(sized.select("id", "g", "c", "asks", "known"), "sized")
+        small = sized.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        texts = base.join(F.broadcast(sized) if small else sized, "id").select("id", "text", "g", "c", "asks", "known")
+        full = _blocks(texts.mapInArrow(whole_sets, "id long, g int, c long, asks boolean, known long, tokens binary"), "c", PART_TOKENS, "id")
+        in_order = full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        return written(in_order.mapInArrow(verify(known is not None), "a long, b long"), "links")
+
+    # the rarest tokens of all classes, those of several groups
+    rows = classes.select("id", "g", "n", F.explode("first").alias("token"))
+    crossing = rows.groupBy("token").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a <> _b").select("token")
+    live = written(rows.join(crossing, "token", "left_semi"), "live")
+    # first round: groups by themselves, and for each query its likeliest group
+    first = written(likeliest(live), "first")
+    several = members.groupBy("g").count().where("count > 1").select("g").union(first.select("g")).distinct()
+    links = opened_links(first, several, None)
+    roots = components(links, "linked").where("id <> root")
+    # second round: all qualifying groups that hold a member outside of the query's component
+    rooted = members.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    qualify = bounds(live.join(rooted.withColumnRenamed("root", "comp"), "id"), percent).where("hits >= k").select("id", "g")
+    rest = written(qualify.join(first, ["id", "g"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        more = opened_links(rest, rest.select("g").distinct(), rooted)
+        roots = components(links.unionByName(more), "joined").where("id <> root")
     of_class = classes.select("f1", "f2", "n", F.col("id").alias("class")).join(roots.withColumnRenamed("id", "class"), "class", "left")
     of_class = of_class.select("f1", "f2", "n", F.coalesce("root", "class").alias("component_id"))
     out = sets.select("id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left")
