@@ -34,19 +34,21 @@ def _restored(df: DataFrame, docs: DataFrame, *named: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. Null, empty and short texts fail; a null language or source is a group like others; equal
+    rows share a verdict; null ids stay; an empty table stays empty."""
     named = ("doc_id", "text", "lang", "source")
     masked, carry = _masked(docs, *named)
     return _restored(quality.judge(masked, carry=("doc_id", "text", *carry)).where("kept"), docs, *named)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once."""
+    """Of each group of near copies the document with the smallest id, once. Rows with equal id and text are one document, of
+    rows with equal id and different texts none replaces the other; null ids and texts without words have no near copies and stay."""
     linked = jaccard.link_documents(docs.select("doc_id", "text"), k=SHINGLE, percent=PERCENT)
     ids = written(linked.select("doc_id", F.coalesce(F.col("component_id") != F.col("doc_id"), F.lit(False)).alias("copy")), "copies")
     copies = ids.where("copy").select("doc_id").distinct()
     small = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(copies) if small else copies, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(F.broadcast(copies) if small else copies, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     if ids.where("doc_id is not null and not copy").groupBy("doc_id").count().where("count > 1").limit(1).count():
         repeated = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
         kept = repeated.unionByName(kept.where("doc_id is null"))
@@ -54,7 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that an earlier document has; n_chars follows the text."""
+    """All documents, without the words of passages that an earlier document has; n_chars follows the text. A null id is the
+    largest; rows with equal ids take nothing from each other; null and short texts stay as they are."""
     masked, carry = _masked(docs, "doc_id", "text")
     out = substrings.dedupe(masked, carry=tuple(carry), with_text=True)
     restored = _restored(out.withColumn("text", F.col("kept_text")), docs, "doc_id", "text")
@@ -62,13 +65,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated."""
+    """Documents that are not contaminated; null and empty texts are not; null and empty benchmark items match nothing."""
     masked, _ = _masked(docs, "doc_id", "text")
     return _restored(decontaminate.remove_contaminated(masked, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs, "doc_id", "text")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row; a null text counts as empty and has no ids."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, bpe.load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN, with_ids=True)
