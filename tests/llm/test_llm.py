@@ -104,13 +104,13 @@ def test_matrix_opens_few_groups_and_every_needed_one(spark, monkeypatch, k, per
     opened = {(r.id, r.g) for r in bound[bound.hits >= bound.k].itertuples()}
     assert len(opened) < len(bound) / 2
     texts = {r["doc_id"]: (r["text"] or "").lower().split() for r in docs.collect()}
-    of = {r["id"]: (r["g"], r["comp"]) for r in held[0][0].select("id", "g", "comp").distinct().collect()}
+    of = {r["id"]: (r["g"], r["comp"], (r["size"], -r["g"])) for r in held[0][0].select("id", "g", "comp", "size").distinct().collect()}
     sets = {i: {tuple(texts[i][j : j + k]) for j in range(max(1, len(texts[i]) - k + 1))} for i in of}
     by_token = {}
     for i, s in sets.items():
         for x in s:
             by_token.setdefault(x, []).append(i)
-    pairs = {(a, b) for ids in by_token.values() if len(ids) > 1 for a in ids for b in ids if of[a][0] > of[b][0] and of[a][1] != of[b][1]}
+    pairs = {(a, b) for ids in by_token.values() if len(ids) > 1 for a in ids for b in ids if of[a][2] < of[b][2] and of[a][1] != of[b][1]}
     linked = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert {(a, of[b][0]) for a, b in linked} <= opened
 

@@ -21,7 +21,7 @@ A document's set: its distinct k-word shingles (fewer words: all of them as one;
 4. Links of all groups meet in connected components.
 
 A token's documents are counted and joined as rows, never gathered in one task. Of two groups that one token joins, only
-the documents of one are queries. A group beyond PART_TOKENS is split into blocks, and each pair of blocks is a task of its
+the documents of the smaller one are queries. A group beyond PART_TOKENS is split into blocks, and each pair of blocks is a task of its
 own, so a large family of near copies does not gather in one task, and no pair is lost. Links and components stay tables
 in the shared folder; the driver sees counts only. Tokens are 64-bit hashes: different shingles may share one by chance.
 A null id is left out of joins but keeps its row (component null); rows with equal ids are one document if texts agree.
@@ -232,16 +232,17 @@ def likeliest(live: DataFrame) -> DataFrame:
 
 
 def bounds(live: DataFrame, percent: int) -> DataFrame:
-    """(id, g, hits, k): for each document the groups, of lower number than its own, whose unions it hits, and the hits needed.
+    """(id, g, hits, k): for each document the larger groups whose unions it hits, and the hits needed.
 
-    live: token, id, g, n, comp. Members of a group count by component, and none of the document's own; tokens of one
+    live: token, id, g, n, comp, size (documents of the group); of groups of one size the lower number counts as larger. Members of a group count by component, and none of the document's own; tokens of one
     component only are left out before anything is joined.
     """
     crossing = live.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("token")
     rows = live.join(crossing, "token", "left_semi")
-    matrix = rows.groupBy("token", F.col("g").alias("_g"), F.col("comp").alias("_comp")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = rows.groupBy("token", F.col("g").alias("_g"), F.col("comp").alias("_comp")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("size").alias("_size"))
+    larger = (F.col("_size") > F.col("size")) | ((F.col("_size") == F.col("size")) & (F.col("_g") < F.col("g")))
     fits = (F.col("n") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("n") * 100)
-    hit = rows.join(matrix, "token").where((F.col("_g") < F.col("g")) & (F.col("_comp") != F.col("comp")) & fits)
+    hit = rows.join(matrix, "token").where(larger & (F.col("_comp") != F.col("comp")) & fits)
     once = hit.groupBy("id", F.col("_g").alias("g"), "token").agg(F.min(need(F.least("lo", "n"), percent)).alias("_k"))
     return once.groupBy("id", "g").agg(F.count(F.lit(1)).alias("hits"), F.least(F.lit(HITS), F.min("_k")).alias("k"))
 
@@ -353,7 +354,9 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
     roots = components(links, "linked").where("id <> root")
     # second round: all qualifying groups that hold a member outside of the query's component
     rooted = members.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    qualify = bounds(live.join(rooted.withColumnRenamed("root", "comp"), "id"), percent).where("hits >= k").select("id", "g")
+    size = classes.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    of_doc = members.select("id", "g").join(size, "g").groupBy("id", "g").agg(F.max("size").alias("size")).join(rooted.withColumnRenamed("root", "comp"), "id")
+    qualify = bounds(live.join(of_doc, ["id", "g"]), percent).where("hits >= k").select("id", "g")
     rest = written(qualify.join(first, ["id", "g"], "left_anti"), "rest")
     if rest.limit(1).count():
         more = opened_links(rest, rest.select("g").distinct(), rooted)
