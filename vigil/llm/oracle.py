@@ -124,4 +124,48 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op3_warc": OP3, "op4_ngram_jaccard": OP4, "op6_chat_formatting": OP6, "op8_substring_dedup": OP8}
+OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents
+), w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p
+), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, s, unnest(generate_series(1, len(w) - s + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE len(w) >= s)
+  GROUP BY lang, s, phrase HAVING count(*) >= 30
+), c AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS v FROM g WHERE s >= 2
+), alone AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS o WHERE o.lang = c.lang AND o.s > c.s AND 100::HUGEINT * o.a >= 80::HUGEINT * c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))
+), cut AS (
+  SELECT alone.lang, alone.phrase, alone.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * alone.a) // (l.f::HUGEINT + r.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, s - 1)) AS k FROM alone) AS alone
+  JOIN g AS l ON l.lang = alone.lang AND l.phrase = array_to_string(v[1 : k], ' ') JOIN g AS r ON r.lang = alone.lang AND r.phrase = array_to_string(v[k + 1 : alone.s], ' ')
+), low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def _op13(k: int = 8, rounds: int = 10) -> str:
+    """Every round is two tables: the nearest centroid of each vector (ties: smaller number), then floors of the means."""
+    near = "SELECT i, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': k}}) AS m FROM kept, c{n} GROUP BY i"
+    mean = (
+        "SELECT p.k, coalesce(q.c, p.c) AS c FROM c{n} AS p LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c "
+        "FROM (SELECT m.k AS k, j, sum(v[j]) AS s, count(*) AS n FROM a{n}, (SELECT unnest(generate_series(1, 64)) AS j) GROUP BY m.k, j) GROUP BY k) AS q ON p.k = q.k"
+    )
+    steps = "".join(f"a{n} AS MATERIALIZED ({near.format(n=n)}), c{n + 1} AS MATERIALIZED ({mean.format(n=n)}),\n" for n in range(rounds))
+    return rf"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) - 1 AS k, v AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY k < {k}),
+{steps}last AS ({near.format(n=rounds)}), d AS (SELECT vec_id, CAST(m.k AS INT) AS cluster, CAST(m.d AS BIGINT) AS distance FROM last)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM d JOIN c{rounds} AS c ON c.k = d.cluster
+"""
+
+
+OP13 = _op13()
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op3_warc": OP3, "op4_ngram_jaccard": OP4, "op6_chat_formatting": OP6, "op8_substring_dedup": OP8, "op11_phrase_collocations": OP11, "op13_centroids": OP13}

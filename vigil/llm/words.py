@@ -117,25 +117,53 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         i = j
 
 
+def _words(first: int, buf: np.ndarray, offsets: np.ndarray, kind: WordClass) -> Words:
+    n = len(offsets) - 1
+    if not len(buf):
+        return Words(first, n, buf, *(np.zeros(0, np.int64),) * 2, np.zeros(n + 1, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.uint64))
+    word = kind.is_word[buf]
+    at, to = word.copy(), word.copy()
+    at[1:] &= ~word[:-1]
+    to[:-1] &= ~word[1:]
+    full = np.diff(offsets) > 0
+    at[offsets[:-1][full]] = word[offsets[:-1][full]]
+    to[offsets[1:][full] - 1] = word[offsets[1:][full] - 1]
+    start, end = np.flatnonzero(at), np.flatnonzero(to) + 1
+    up, down = _Powers.to(len(buf))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(kind.values[buf] * up[: len(buf)], out=total[1:])
+    hashes = mix((total[end] - total[start]) * down[start])
+    return Words(first, n, buf, start, end, np.searchsorted(start, offsets), hashes, total)
+
+
 def words_of(column: pa.Array, kind: WordClass) -> Iterator[Words]:
     for first, buf, offsets in text_slices(column):
-        n = len(offsets) - 1
-        if not len(buf):
-            yield Words(first, n, buf, *(np.zeros(0, np.int64),) * 2, np.zeros(n + 1, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.uint64))
+        yield _words(first, buf, offsets, kind)
+
+
+def parts_of(column: pa.Array, kind: WordClass, k: int) -> Iterator[tuple[Words, int]]:
+    """(words, how many of them the part before had too) of slices; a document above SLICE_BYTES comes in several parts.
+
+    A part begins with the last k - 1 words of the one before, so each run of up to k words that does not lie in these is in
+    one part only. Memory follows SLICE_BYTES and the longest word, not the longest document.
+    """
+    for first, buf, offsets in text_slices(column):
+        if len(buf) <= 2 * SLICE_BYTES:
+            yield _words(first, buf, offsets, kind), 0
             continue
-        word = kind.is_word[buf]
-        at, to = word.copy(), word.copy()
-        at[1:] &= ~word[:-1]
-        to[:-1] &= ~word[1:]
-        full = np.diff(offsets) > 0
-        at[offsets[:-1][full]] = word[offsets[:-1][full]]
-        to[offsets[1:][full] - 1] = word[offsets[1:][full] - 1]
-        start, end = np.flatnonzero(at), np.flatnonzero(to) + 1
-        up, down = _Powers.to(len(buf))
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(kind.values[buf] * up[: len(buf)], out=total[1:])
-        hashes = mix((total[end] - total[start]) * down[start])
-        yield Words(first, n, buf, start, end, np.searchsorted(start, offsets), hashes, total)
+        at = to = shared = 0
+        while to < len(buf):
+            to = min(to + SLICE_BYTES, len(buf))
+            while to < len(buf):  # on to the next byte that is none of a word
+                gap = np.flatnonzero(~kind.is_word[buf[to : to + 4096]])
+                if len(gap):
+                    to += int(gap[0])
+                    break
+                to = min(to + 4096, len(buf))
+            w = _words(first, buf[at:to], np.array([0, to - at]), kind)
+            yield w, shared
+            shared = min(k - 1, len(w.start))
+            at = at + int(w.start[len(w.start) - shared]) if shared else to
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
