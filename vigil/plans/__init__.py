@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
-from . import alerts, domain, geo
+from . import alerts, domain, geo, records
 
-QUERIES = {**alerts.QUERIES, **domain.QUERIES, **geo.QUERIES}
-ORACLE = {**alerts.ORACLE, **domain.ORACLE, **geo.ORACLE}
+QUERIES = {**alerts.QUERIES, **domain.QUERIES, **geo.QUERIES, **records.QUERIES}
+ORACLE = {**alerts.ORACLE, **domain.ORACLE, **geo.ORACLE, **records.ORACLE}
