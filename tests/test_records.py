@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.operators import graph, identity, trust
+from vigil.operators import graph, identity, integrity, trust
 from vigil.sources import snapshots
 
 REGION = "id long, fias_id string, iso string, code string, name string, district string"
@@ -190,3 +190,28 @@ def test_a_stream_that_repeats_a_batch_writes_it_once(spark, tmp_path):
     q = spark.readStream.schema("id long").parquet(source).writeStream.foreachBatch(lambda df, i: twice(df, i) and None).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert snapshots.latest(spark, path) == 1 and snapshots.read(spark, path).count() == 5
+
+
+def test_deletes_follow_chains_and_rings(spark):
+    edge = integrity.Edge
+    edges = (edge("place", "parent", "place", on_delete="cascade"), edge("status", "place_id", "place", on_delete="cascade"), edge("cache", "place_id", "place", on_delete="set null"), edge("log", "place_id", "place"), edge("place", "code", "kind", "code"))
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    tables = {
+        "place": frame("id long, parent long, code string", *((i, i - 1 if i else None, "k") for i in range(12)), (50, 51, None), (51, 50, "gone"), (60, 99, "k")),
+        "status": frame("id string, place_id long", ("s11", 11), ("s50", 50), ("s60", 60), ("none", None)), "cache": frame("id long, place_id long", (1, 7), (2, 2), (3, 60)),
+        "log": frame("id long, place_id long", (1, 8), (2, 3)), "kind": frame("code string", ("k",)),
+    }
+    got = integrity.delete(tables, {"place": frame("id long", (4,), (51,), (12345,))}, edges).collect()
+    assert {(r.tbl, r.row) for r in got if r.effect == "delete"} == {*(("place", str(i)) for i in (*range(4, 12), 50, 51)), ("status", "s11"), ("status", "s50")}
+    assert sorted((r.tbl, r.row, r.effect) for r in got if r.effect != "delete") == [("cache", "1", "clear place_id"), ("log", "1", "block place_id")]
+    assert sorted(map(tuple, integrity.dangling(tables, edges).collect())) == [("place", "51", "code"), ("place", "60", "parent")]
+    assert integrity.delete(tables, {}, edges).count() == 0
+
+
+def test_the_whole_key_graph_is_checked(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    tables = {"regions": frame("id string, geometry_artifact_key string", ("r", None)), "places": frame("id string, region_id string, parent_place_id string, geometry_artifact_key string", ("p", "r", None, "x"), ("q", "lost", "p", None)),
+              "place_status": frame("id string, place_id string, status_code string", ("s", "q", "any"), ("t", "nowhere", "any"))}
+    assert sorted(map(tuple, integrity.dangling(tables).collect())) == [("place_status", "t", "place_id"), ("places", "q", "region_id")]
+    got = integrity.delete(tables, {"regions": tables["regions"]})
+    assert sorted(map(tuple, got.collect())) == [("places", "p", "block region_id"), ("regions", "r", "delete")]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import identity, trust
+from ..operators import identity, integrity, status, trust
 from ..sources import snapshots
-from .domain import _CONTRIBUTION, _NORM, _SCORED_SQL, _split, _t
+from ..streaming.status import with_locations
+from .domain import _CONTRIBUTION, _HISTORY, _NORM, _SCORED_SQL, _split, _t, history
 
 # regions: suppliers are stored, customers arrive; ids meet inside small blocks of numbers
 _REGION_COLS = ("fias_id", "iso", "code", "name", "district")
@@ -141,7 +142,74 @@ def _cache_sql(batches: str, keep: bool) -> str:
     return f"SELECT query_norm, provider, {raw} AS raw, arg_max(fetched, ({order}, fetched)) AS fetched FROM (SELECT {_CACHE} FROM orders) WHERE batch IN ({batches}) GROUP BY query_norm, provider"
 
 
+# states at many moments: every order asks for a place and a status; events with locations that come a while later
+_ASKED = "o_orderkey AS q, o_custkey % 15 AS place_id, CASE o_orderkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'purchase' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'none' END AS status_code, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST(o_orderkey % 43200 AS INT) AS at"
+_LOCATED = "event_id - event_id % 3 AS event_id, ts + INTERVAL '1' MINUTE * CAST(event_id % 90 AS INT) AS located_at, event_type AS place"
+
+
+def status_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _t(spark, sf_dir, "orders").selectExpr(*_split(_ASKED)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return status.at_moments(history(spark, sf_dir), asked)
+
+
+def located_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events")
+    located = events.where("event_id % 4 <> 0").selectExpr(*_split(_LOCATED)).withColumn("located_at", F.col("located_at").cast("timestamp"))
+    rows = with_locations(events.select("event_id", F.col("ts").cast("timestamp").alias("event_at"), "user_id"), located, "60 MINUTES")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("event_at", "located_at")})
+
+
+# a graph of keys: nations hold customers, customers one another, orders and their lines hang on them
+_GRAPH = (
+    integrity.Edge("place", "region_id", "region", on_delete="cascade"), integrity.Edge("place", "parent_id", "place", on_delete="cascade"), integrity.Edge("alias", "place_id", "place", on_delete="cascade"),
+    integrity.Edge("status", "alias_id", "alias", on_delete="cascade"), integrity.Edge("cache", "place_id", "place", on_delete="set null"), integrity.Edge("report", "place_id", "place"),
+)
+_GRAPH_TABLES = {
+    "region": "n_nationkey AS id FROM nation", "place": "c_custkey AS id, c_nationkey AS region_id, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey + 1 END AS parent_id FROM customer",
+    "alias": "o_orderkey AS id, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey END AS place_id FROM orders WHERE o_orderkey % 3 = 0", "status": "event_id AS id, event_id * 3 AS alias_id FROM events",
+    "cache": "o_orderkey AS id, o_custkey AS place_id FROM orders WHERE o_orderkey % 3 = 1", "report": "o_orderkey AS id, o_custkey AS place_id FROM orders WHERE o_orderkey % 12 = 2",
+}
+_DOOMED = {"region": "id % 12 = 5", "place": "id % 50 = 7"}
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    def table(sql: str) -> DataFrame:
+        columns, source = sql.split(" FROM ")
+        name, *where = source.split(" WHERE ")
+        rows = _t(spark, sf_dir, name)
+        return (rows.where(where[0]) if where else rows).selectExpr(*_split(columns))
+
+    return {k: table(v) for k, v in _GRAPH_TABLES.items()}
+
+
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _graph(spark, sf_dir)
+    return integrity.delete(tables, {t: tables[t].where(w) for t, w in _DOOMED.items()}, _GRAPH)
+
+
+def dangling_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.dangling(_graph(spark, sf_dir), _GRAPH)
+
+
+def _graph_sql(rest: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(f"{t} AS (SELECT {v})" for t, v in _GRAPH_TABLES.items()) + rest
+
+
+_CASCADE = """, gone AS (SELECT 'region' AS t, id FROM region WHERE id % 12 = 5 UNION SELECT 'place', id FROM place WHERE id % 50 = 7
+ UNION (SELECT c.t, c.id FROM gone JOIN (SELECT 'place' AS t, id, 'region' AS pt, region_id AS p FROM place UNION ALL SELECT 'place', id, 'place', parent_id FROM place UNION ALL SELECT 'alias', id, 'place', place_id FROM alias
+  UNION ALL SELECT 'status', id, 'alias', alias_id FROM status) AS c ON c.pt = gone.t AND c.p = gone.id))
+SELECT t AS tbl, CAST(id AS VARCHAR) AS row, 'delete' AS effect FROM gone UNION ALL SELECT 'cache', CAST(id AS VARCHAR), 'clear place_id' FROM cache WHERE place_id IN (SELECT id FROM gone WHERE t = 'place')
+UNION ALL SELECT 'report', CAST(id AS VARCHAR), 'block place_id' FROM report WHERE place_id IN (SELECT id FROM gone WHERE t = 'place')"""
+_DANGLING = "".join(
+    f"{' UNION ALL ' if i else ' '}SELECT '{e.child}' AS tbl, CAST(c.id AS VARCHAR) AS row, '{e.foreign}' AS column FROM {e.child} AS c WHERE {e.foreign} IS NOT NULL AND {e.foreign} NOT IN (SELECT id FROM {e.parent})" for i, e in enumerate(_GRAPH)
+)
+
+
 QUERIES = {
+    "status_at_events": status_at_events,
+    "located_events": located_events,
+    "cascade_delete": cascade_delete,
+    "dangling_keys": dangling_keys,
     "region_upsert": lambda s, d: _regions(s, d)[0],
     "region_conflicts": lambda s, d: _regions(s, d)[1],
     "place_upsert": lambda s, d: _places(s, d)[0],
@@ -155,6 +223,13 @@ QUERIES = {
 _REGION_SQL = lambda what: _upsert_sql(f"SELECT {_REGIONS} FROM supplier", f"SELECT {_DRAFTS} FROM customer", _REGION_KEYS, _REGION_COLS, ("fias_id",), what)
 
 ORACLE = {
+    "status_at_events": f"""WITH h AS (SELECT place_id, status_code, event_at, arg_max(action, event_id) AS action FROM (SELECT {_HISTORY} FROM events) GROUP BY ALL), q AS (SELECT {_ASKED} FROM orders)
+SELECT q.q, q.place_id, q.status_code, q.at, coalesce(h.action = 'activate', FALSE) AS is_active, CASE WHEN h.action = 'activate' THEN h.event_at END AS since
+FROM q ASOF LEFT JOIN h ON q.place_id = h.place_id AND q.status_code = h.status_code AND q.at >= h.event_at""",
+    "located_events": f"""WITH l AS (SELECT {_LOCATED} FROM events WHERE event_id % 4 <> 0) SELECT e.event_id, e.ts AS event_at, e.user_id, l.located_at, l.place
+FROM events AS e LEFT JOIN l ON e.event_id = l.event_id AND l.located_at BETWEEN e.ts AND e.ts + INTERVAL 60 MINUTES""",
+    "cascade_delete": _graph_sql(_CASCADE),
+    "dangling_keys": _graph_sql(_DANGLING),
     "region_upsert": _REGION_SQL("table"),
     "region_conflicts": _REGION_SQL("conflicts"),
     "place_upsert": _upsert_sql(f"SELECT {_PLACE} FROM customer WHERE c_custkey % 4 <> 0", f"SELECT {_ARRIVING} FROM customer", _PLACE_KEYS, _PLACE_COLS, (), "table"),
