@@ -40,10 +40,16 @@ def _union(frames: list[DataFrame], like: str, spark) -> DataFrame:
     return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], like)
 
 
+def row_names(tables: dict[str, DataFrame], edges: tuple[Edge, ...], row: str) -> dict[str, str]:
+    """The column that names a table's rows: `row`, or the key that edges point at where a table has no such column."""
+    return {t: row if row in df.columns else next(e.key for e in edges if e.parent == t) for t, df in tables.items()}
+
+
 def dangling(tables: dict[str, DataFrame], edges: tuple[Edge, ...] = EDGES, row: str = "id") -> DataFrame:
     """(tbl, row, column): rows whose foreign key is set and points at nothing, over all edges between the given tables."""
+    names = row_names(tables, edges, row)
     found = [
-        orphans(tables[e.child], e.foreign, tables[e.parent], e.key).select(F.lit(e.child).alias("tbl"), F.col(row).cast("string").alias("row"), F.lit(e.foreign).alias("column"))
+        orphans(tables[e.child], e.foreign, tables[e.parent], e.key).select(F.lit(e.child).alias("tbl"), F.col(names[e.child]).cast("string").alias("row"), F.lit(e.foreign).alias("column"))
         for e in edges if e.child in tables and e.parent in tables
     ]
     return _union(found, "tbl string, row string, column string", next(iter(tables.values())).sparkSession)
@@ -60,13 +66,14 @@ def delete(tables: dict[str, DataFrame], doomed: dict[str, DataFrame], edges: tu
     live = [e for e in edges if e.child in tables and e.parent in tables]
     cascades = [e for e in live if e.on_delete == "cascade"]
     key_type = "tbl string, row string"
-    named = lambda t, df: df.select(F.lit(t).alias("tbl"), F.col(row).cast("string").alias("row"))
-    gone = new = written(_union([named(t, tables[t].join(rows.select(row).distinct(), row, "left_semi")) for t, rows in doomed.items()], key_type, spark).distinct(), "gone")
+    names = row_names(tables, edges, row)
+    named = lambda t, df: df.select(F.lit(t).alias("tbl"), F.col(names[t]).cast("string").alias("row"))
+    gone = new = written(_union([named(t, tables[t].join(rows.select(names[t]).distinct(), names[t], "left_semi")) for t, rows in doomed.items()], key_type, spark).distinct(), "gone")
 
     def pointing(e: Edge, at: DataFrame) -> DataFrame:
         """(tbl, row) of e's children whose parent is in `at` (tbl, row)."""
-        hit = at.where(F.col("tbl") == e.parent).select("row")
-        parents = tables[e.parent].join(hit, F.col(row).cast("string") == F.col("row"), "left_semi").select(F.col(e.key).alias(e.foreign))
+        hit = at.where(F.col("tbl") == e.parent).select(F.col("row").alias("_row"))
+        parents = tables[e.parent].join(hit, F.col(names[e.parent]).cast("string") == F.col("_row"), "left_semi").select(F.col(e.key).alias(e.foreign))
         return named(e.child, tables[e.child].join(parents.distinct(), e.foreign, "left_semi"))
 
     while cascades and not new.isEmpty():
