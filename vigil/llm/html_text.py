@@ -6,12 +6,14 @@ meaning (a whole token such as "comments" or "site-footer", never a word inside
 article or main element of a page stood in a part that is out by such a token or by a form or header, the marks around the
 largest are void: layouts name their columns so.
 
-Pass one judges each block by itself. Outside an article, link density decides bad; length and the share of stop words
-decide good or bad. Inside, enough length and stop words decide good, and nothing but its mark decides bad. On pages whose
-words are of none of the stop-word languages, length and links decide alone. Pass two gives each undecided (mostly short)
-block the label of its nearest decided neighbour: inside an article of those decided there, outside of those outside, marked
-parts included; neighbours at one distance that disagree make it good inside an article, bad outside. Blocks outside an
-article stay only where they hold more good text than all articles do (an article may be but a teaser card).
+Pass one decides by length, link density, stop words and what a block says of itself. Anywhere, short blocks that speak as
+notices do ("accept cookies", outside articles also "all rights reserved") are bad. Being inside an article is a reason to stay, not a verdict: there
+enough length and stop words decide good, runs of short links decide bad, and the rest is undecided. Outside, link density
+decides bad; long text with many stop words is good by itself, and where no article holds decided text, so are paragraphs of
+medium length in a run of text that is long enough together, with up to three short blocks that lead it (a title, a name, a
+date) and one that ends it. On pages whose words are of none of the stop-word languages, length and links decide alone. Pass two gives each
+undecided (mostly short) block the label of its nearest decided neighbour: inside an article of those decided there, outside
+of those outside, marked parts included; neighbours at one distance that disagree make it good inside an article, bad outside.
 
 Time and memory are linear in a page's length, whatever it holds: tags are scanned once from left to right, an unclosed
 quote ends at the next ">", and closing tags without an open element cost nothing. Pages are independent: no shuffle, one
@@ -25,14 +27,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Share of a block's characters inside links from which it is navigation, outside an article.
 LINKS = 0.33
-#: Blocks of fewer characters can't be decided by their words; outside articles only blocks of LONG characters are good.
+#: Blocks of fewer characters can't be decided by their words; outside articles blocks of LONG characters are good, or runs of such.
 SHORT, LONG = 70, 200
+#: Blocks of fewer characters can be notices; so many short link blocks in a row are a menu; so many short blocks lead a text.
+NOTICE, MENU, LEAD = 160, 2, 3
 STOP_LOW, STOP_HIGH = 0.12, 0.25
 #: A page with a smaller share of stop words than this is in another language.
 KNOWN = 0.05
@@ -44,6 +49,19 @@ STOP_WORDS = frozenset(
     "al como con cuando del el ella en entre era es esa ese esta este fue ha hay la las lo los más me no o para pero por que se si sin sobre su sus también un una y".split()
 )
 
+#: What notices, adverts and forms say, in the four languages; and what footers say, which an article may say of itself too.
+_PROMPTS = re.compile(
+    r"(?<!\w)(?:(?:accept|use|uses|using|manage|allow|reject) (?:all |our |these |the )?cookies|cookie (?:policy|settings|preferences)|"
+    r"sign (?:up|in) (?:to|for|now|here)|subscribe (?:to|now|here)|log ?in to|share this|follow us|advertisements?|sponsored (?:content|post|by)|skip to (?:main )?content|click here to|"
+    r"cookies? (?:akzeptieren|zulassen|verwenden)|newsletter abonnieren|jetzt anmelden|accepter (?:les |nos )?cookies|abonnez-vous|aceptar (?:las |nuestras )?cookies|suscríbete)(?!\w)",
+    re.I,
+)
+_LEGAL = re.compile(
+    r"(?<!\w)(?:privacy policy|terms of (?:use|service)|all rights reserved|alle rechte vorbehalten|datenschutzerklärung|tous droits réservés|politique de confidentialité|"
+    r"todos los derechos reservados|política de privacidad)(?!\w)|[©®]",
+    re.I,
+)
+
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|!--|[!?])")
 _PLAIN = re.compile(r"[^>\"']*+")
 _NAMES = re.compile(r"""(?:\A|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -259,23 +277,53 @@ def stop_share(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def notice(text: str, main: bool) -> bool:
+    """Whether a short block says of itself that it is a notice, an advert or a form, outside articles also that it is a footer."""
+    return len(text) < NOTICE and (_PROMPTS.search(text) is not None or (not main and _LEGAL.search(text) is not None))
+
+
+def _runs(flags: list[bool]) -> Iterator[range]:
+    """Maximal runs of true flags."""
+    at = 0
+    for flag, group in groupby(flags):
+        n = len(list(group))
+        if flag:
+            yield range(at, at + n)
+        at += n
+
+
 def first_labels(found: list[tuple[str, float, bool, bool]]) -> list[int]:
-    """1 good, 0 bad, -1 undecided, of each block by itself; only the language is told from all of them."""
+    """1 good, 0 bad, -1 undecided, of each block by itself and the run that it stands in; the language is told from all of them."""
     share = [0.0 if out or len(text) < SHORT else stop_share(text) for text, _, _, out in found]
     weight = [0 if out or len(text) < SHORT else len(text) for text, _, _, out in found]
     known = sum(s * w for s, w in zip(share, weight, strict=True)) >= KNOWN * sum(weight)
+    said = [notice(text, main) for text, _, main, _ in found]
+    speaks = [len(b[0]) >= SHORT and b[1] <= LINKS and not b[3] and not n and (s >= STOP_LOW or not known) for b, s, n in zip(found, share, said, strict=True)]
     labels = []
-    for (text, links, main, out), s in zip(found, share, strict=True):
-        if out or (not main and links > LINKS):
+    for (text, links, main, out), s, is_notice, is_text in zip(found, share, said, speaks, strict=True):
+        if out or is_notice or (not main and links > LINKS):
             labels.append(0)
-        elif len(text) < SHORT or links > LINKS:
-            labels.append(-1)
         elif main:
-            labels.append(1 if s >= STOP_LOW or not known else -1)
+            labels.append(1 if is_text else -1)
+        elif len(text) < SHORT:
+            labels.append(-1)
         elif len(text) >= LONG and (s >= STOP_HIGH or not known):
             labels.append(1)
         else:
             labels.append(0 if known and s < STOP_LOW else -1)
+    for run in _runs([main and not out and links > LINKS and len(text) < SHORT for text, links, main, out in found]):
+        if len(run) >= MENU:
+            for i in run:
+                labels[i] = 0
+    if not any(x and b[2] for x, b in zip(speaks, found, strict=True)):
+        for run in _runs([not b[2] and not b[3] and b[1] <= LINKS and not n for b, n in zip(found, said, strict=True)]):
+            if sum(len(found[i][0]) for i in run if speaks[i]) >= LONG:
+                for i in run:  # what has few stop words amid text, as a list of names, is undecided
+                    labels[i] = 1 if speaks[i] else -1 if labels[i] == 0 else labels[i]
+                first = next(i for i in run if labels[i] == 1)
+                last = next(i for i in reversed(run) if labels[i] == 1)
+                for i in (*range(max(run[0], first - LEAD), first), *range(last + 1, min(last + 2, run[-1] + 1))):
+                    labels[i] = 1 if len(found[i][0]) < SHORT else labels[i]
     return labels
 
 
@@ -310,8 +358,7 @@ def main_text(html: str) -> str:
         labels = [int(x < 0) for x in labels]  # nothing to inherit from but marked parts: what no mark speaks against stays
     else:
         labels = inherit(found, labels)
-    size = [sum(len(b[0]) for b, x in zip(found, labels, strict=True) if x and b[2] == inside) for inside in (False, True)]
-    return "\n\n".join(b[0] for b, x in zip(found, labels, strict=True) if x and (b[2] or size[0] > size[1]))
+    return "\n\n".join(b[0] for b, x in zip(found, labels, strict=True) if x)
 
 
 def extract(pages: DataFrame, html: str = "html", key: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
