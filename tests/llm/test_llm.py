@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vigil.llm import bpe, chat, decontaminate, html_text, jaccard, quality, ring, store, substrings, toxicity, warc
@@ -672,6 +673,33 @@ def test_fences_come_from_the_group(spark):
     assert not got["lone", junk] and not got["bad", junk]
 
 
+def test_each_rule_rejects_what_stands_apart(spark):
+    """In a source where some lines and passages are said twice, those said forty times go; where that is usual, nothing does."""
+    line = lambda i, j: " ".join(f"w{i}x{j}y{k}" for k in range(6))
+    normal = lambda i: [line(i, j) for j in range(100)] + ([line(i, 0)] if i % 20 == 0 else [])
+    lists = ["\n".join(normal(i)) for i in range(200)]
+    same_lines = "\n".join([line(900, j) for j in range(100)] + ["a line, again"] * 41)
+    same_words = "\n".join(f"{line(901, j)} {j} the same five words here" for j in range(100))
+    symbols = "\n".join(f"{line(902, j)} #{j}|{j}$" for j in range(100))
+    odd = [same_lines, same_words, symbols]
+    forms = ["\n".join([*normal(2000 + i), *["a line, again"] * 40, *(f"q{i}-{j} the same five words here" for j in range(60))]) for i in range(200)]
+    rows = [(t, "en", "books") for t in [*lists, *odd]] + [(t, "de", "forms") for t in [*forms, same_lines, same_words]] + [(symbols, "de", "forms")]
+    got = quality.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string"), carry=("doc_id",)).collect()
+    out = {r["doc_id"]: {k for k in ("symbol_rate", "dup_line_rate", "repeat_rate") if k_rate(r, k) > r[f"max_{k}"]} for r in got if not r["kept"]}
+    assert not any(r["base_failed"] for r in got)
+    assert out == {200: {"dup_line_rate"}, 201: {"repeat_rate"}, 202: {"symbol_rate"}, 405: {"symbol_rate"}}
+
+
+def k_rate(r, k):
+    return {"symbol_rate": r["n_symbols"] / r["n_words"], "dup_line_rate": r["n_dup_lines"] / r["n_lines"], "repeat_rate": r["n_repeat_words"] / r["n_words"]}[k]
+
+
+def test_usual_rates_climb_to_the_last_quantile_before_a_jump(spark):
+    quantiles = spark.createDataFrame([([0.0, 0.0, 0.0, 0.5, 2.9],), ([0.0, 0.01, 0.02, 0.03, 0.09],), ([0.0, 0.4, 0.4, 0.4, 0.4],), ([0.2, 0.25, 0.3, 0.9, 0.95],), ([None] * 5,)], "q array<double>")
+    got = quantiles.select(quality.usual(F.col("q"), F.lit(200.0)).alias("u")).collect()
+    assert [r["u"] for r in got] == [0.0, 0.09, 0.0, 0.3, None]
+
+
 def test_pipeline_equals_plain_version(spark, codec):
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -4,6 +4,17 @@ from __future__ import annotations
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_CHANCE = lambda r, m: f"({r} + 3.0::DOUBLE * sqrt({r} / {m}) + 9.0::DOUBLE / {m})"
+
+
+def _usual(q: str, m: str) -> str:
+    """The highest quantile that is reached from the median by steps which chance explains; the steps after a jump don't count."""
+    out = f"{q}[5]"
+    for i in (4, 3, 2, 1):
+        out = f"CASE WHEN {q}[{i + 1}] > {_CHANCE(f'{q}[{i}]', m)} THEN {q}[{i}] ELSE {out} END"
+    return out
+
+
 OP1 = rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w,
@@ -29,20 +40,21 @@ WITH d AS (
          n_repeat_words / greatest(n_words, 1)::DOUBLE AS c
   FROM s
 ), q AS (
-  SELECT lang, source, GROUPING(lang, source) AS lvl, count(*) AS n, quantile_disc(a, [0.25, 0.5]) AS qa, quantile_disc(b, [0.25, 0.5]) AS qb,
-         quantile_disc(c, [0.25, 0.5]) AS qc, quantile_disc(n_words, 0.5) AS mw, quantile_disc(n_lines, 0.5) AS ml
+  SELECT lang, source, GROUPING(lang, source) AS lvl, CAST(count(*) AS DOUBLE) AS n, quantile_disc(a, [0.5, 0.75, 0.9, 0.95, 0.99]) AS qa, quantile_disc(b, [0.5, 0.75, 0.9, 0.95, 0.99]) AS qb,
+         quantile_disc(c, [0.5, 0.75, 0.9, 0.95, 0.99]) AS qc, list_transform(quantile_disc(n_words, [0.5, 0.95]), lambda x: greatest(x, 1)::DOUBLE) AS mw, list_transform(quantile_disc(n_lines, [0.5, 0.95]), lambda x: greatest(x, 1)::DOUBLE) AS ml
   FROM r WHERE NOT base_failed GROUP BY ROLLUP (lang, source)
 ), e AS (
-  SELECT lang, source, lvl, n, qa[2] + 7.0::DOUBLE * greatest(qa[2] - qa[1], 1.0::DOUBLE / mw) AS fa, qb[2] + 7.0::DOUBLE * greatest(qb[2] - qb[1], 1.0::DOUBLE / ml) AS fb,
-         qc[2] + 7.0::DOUBLE * greatest(qc[2] - qc[1], 2.0::DOUBLE / ml) AS fc
-  FROM q
+  SELECT lang, source, lvl, n, {_usual('qa', 'mw[1]')} AS ua, {_usual('qb', 'ml[1]')} AS ub, {_usual('qc', 'ml[1]')} AS uc, mw[2] AS lw, ml[2] AS ll FROM q
 ), f AS (
-  SELECT g.lang, g.source, CASE WHEN g.n >= 100 THEN g.fa WHEN l.n >= 100 THEN l.fa ELSE t.fa END AS fa,
-         CASE WHEN g.n >= 100 THEN g.fb WHEN l.n >= 100 THEN l.fb ELSE t.fb END AS fb, CASE WHEN g.n >= 100 THEN g.fc WHEN l.n >= 100 THEN l.fc ELSE t.fc END AS fc
+  SELECT g.lang, g.source, {', '.join(f"(g.n * g.{x} + 100.0::DOUBLE * ((l.n * l.{x} + 100.0::DOUBLE * t.{x}) / (l.n + 100.0::DOUBLE))) / (g.n + 100.0::DOUBLE) AS {x}" for x in ('ua', 'ub', 'uc', 'lw', 'll'))}
   FROM (SELECT * FROM e WHERE lvl = 0) g JOIN (SELECT * FROM e WHERE lvl = 1) l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT * FROM e WHERE lvl = 3) t
+), x AS (
+  SELECT r.*, ua, ub, uc, least(greatest(n_words, 1)::DOUBLE, lw) AS ew, least(greatest(n_lines, 1)::DOUBLE, ll) AS el
+  FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(a <= fa AND b <= fb AND c <= fc, TRUE) AS kept
-FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(a <= {_CHANCE('ua', 'ew')} AND b <= {_CHANCE('ub', 'el')} AND c <= {_CHANCE('uc', 'el')}, TRUE) AS kept
+FROM x
 """
 
 OP2 = r"""

@@ -4,11 +4,14 @@ Everything is a DataFrame expression. Words are runs of [^\\x20\\x09-\\x0D]; a n
 signals are computed inside its own row (no row per word is made), so the only shuffle carries one small quantile
 summary per language, source and task; no group is gathered anywhere, however many documents a source holds.
 
-A fence is the group's median plus FENCE times its spread. The spread is measured below the median, where junk does not
-reach unless it is half of a group, and is at least one event in the group's median document (a symbol, a repeated line),
-as a group of texts without any has no spread. For a bell curve the fence is Tukey's outer one. No signal has a cut-off of
-its own: what is rejected follows from the documents of the group, or, where these are fewer than MIN_ROWS, of the
-language, or of the whole corpus. Documents that the base rule fails take no part in the summaries.
+Every signal is a number of events (symbols, repeated lines, lines' worth of repeated words) on an exposure (words, lines). A
+group's usual rate is an upper quantile of its documents' rates: the highest of LADDER that is reached from the median by
+steps no larger than chance explains, so that junk, which stands apart from the rest, does not raise it unless it is half of a
+group. The fence of a document is the usual rate plus what chance adds to it at Z standard deviations on the document's own
+exposure (at most that of a long document of the group): few events say little of a short text, so a line said twice in five
+is let pass and forty in a hundred are not. Usual rates are drawn towards those of the language, and these towards those of
+the corpus, by PRIOR documents' weight. No signal has a cut-off of its own: what is rejected follows from the quantiles
+of the documents around it. Documents that the base rule fails take no part in the summaries.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Documents of fewer words fail, as do those of which more than half the words stand in repeated three-word windows.
 MIN_WORDS = 50
-#: A signal is rejected beyond median + FENCE * spread: for a bell curve the upper quartile plus three times the quartiles' distance.
-FENCE = 7.0
-#: Documents from which on a group has fences of its own.
-MIN_ROWS = 100
+#: Standard deviations of chance that a rate may exceed the usual one by.
+Z = 3.0
+#: Quantiles of a group's rates from which the usual one is taken, and the quantile that tells its long documents.
+LADDER, LONG = (0.5, 0.75, 0.9, 0.95, 0.99), 0.95
+#: Documents' weight of the next wider group in a group's usual rate.
+PRIOR = 100
 #: GK summary: rank error of at most 1 / ACCURACY of a group's rows.
 ACCURACY = 2000
 
@@ -83,41 +88,66 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def rates() -> dict[str, Column]:
+def rates() -> dict[str, tuple[Column, str]]:
+    """Of each signal its rate and the column of its exposure; repeated words count as the lines that they would fill."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {
-        "symbol_rate": F.col("n_symbols") / n,
-        "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
-        "repeat_rate": F.col("n_repeat_words") / n,
+        "symbol_rate": (F.col("n_symbols") / n, "n_words"),
+        "dup_line_rate": (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"), "n_lines"),
+        "repeat_rate": (F.col("n_repeat_words") / n, "n_lines"),
     }
 
 
-def events() -> dict[str, Column]:
-    """What one event adds to each rate in the group's median document: a symbol, a line said again, its words said twice."""
-    return {"symbol_rate": F.lit(1.0) / F.col("_words"), "dup_line_rate": F.lit(1.0) / F.col("_lines"), "repeat_rate": F.lit(2.0) / F.col("_lines")}
+def chance(rate: Column, exposure: Column) -> Column:
+    """The rate that events of a usual rate stay below on an exposure, at Z standard deviations."""
+    return rate + F.lit(Z) * F.sqrt(rate / exposure) + F.lit(Z * Z) / exposure
+
+
+def usual(quantiles: Column, exposure: Column) -> Column:
+    """The highest quantile that is reached by steps which chance explains on the group's median document."""
+    rate, reached = F.get(quantiles, F.lit(0)), F.lit(True)
+    for i in range(1, len(LADDER)):
+        step = F.get(quantiles, F.lit(i))
+        reached = reached & (step <= chance(rate, exposure))
+        rate = F.when(reached, step).otherwise(rate)
+    return rate
 
 
 def thresholds(scored: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """One row per group with the upper fence of each rate: its own, or below MIN_ROWS rows that of the next wider group.
+    """One row per group: usual_ of each rate and long_ of each exposure, drawn towards those of the wider groups.
 
     by goes from wide to narrow; the summaries of all prefixes of by are merged from the tasks' in one pass.
     """
-    r, one = rates(), events()
+    signal, exposures = rates(), ("n_words", "n_lines")
     q = scored.where("not base_failed").rollup(*by).agg(
-        F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("_rows"), *(F.percentile_approx(c, [0.25, 0.5], ACCURACY).alias(k) for k, c in r.items()),
-        F.percentile_approx("n_words", 0.5, ACCURACY).alias("_words"), F.percentile_approx("n_lines", 0.5, ACCURACY).alias("_lines"),
+        F.grouping_id().alias("_level"), F.count(F.lit(1)).cast("double").alias("_rows"), *(F.percentile_approx(c, list(LADDER), ACCURACY).alias(k) for k, (c, _) in signal.items()),
+        *(F.percentile_approx(c, [0.5, LONG], ACCURACY).alias(f"_{c}") for c in exposures),
     )
-    low, mid = (lambda k, i=i: F.get(F.col(k), F.lit(i)) for i in (0, 1))
-    fence = F.struct(*((mid(k) + F.lit(FENCE) * F.greatest(mid(k) - low(k), one[k])).alias(f"max_{k}") for k in r))
-    fences = written(q.select(*by, "_level", F.when(F.col("_rows") >= MIN_ROWS, fence).alias("_own"), fence.alias("_any")), "levels")
-    out = fences.where("_level = 0").select(*by, F.col("_own").alias("_f0"))
+    at = lambda c, i: F.greatest(F.get(f"_{c}", F.lit(i)), F.lit(1)).cast("double")
+    names = [*(f"usual_{k}" for k in signal), *(f"long_{c}" for c in exposures)]
+    found = [*(usual(F.col(k), at(m, 0)).alias(f"usual_{k}") for k, (_, m) in signal.items()), *(at(c, 1).alias(f"long_{c}") for c in exposures)]
+    levels = written(q.select(*by, "_level", "_rows", *found), "levels")
+    out = levels.where("_level = 0").select(*by, F.struct("_rows", *names).alias("_0"))
     for i in range(1, len(by) + 1):
         level, keys = (1 << i) - 1, by[: len(by) - i]
-        wider = fences.where(F.col("_level") == level).select(*(F.col(k).alias(f"_w_{k}") for k in keys), F.col("_any" if not keys else "_own").alias(f"_f{i}"), F.lit(0).alias("_same"))
+        wider = levels.where(F.col("_level") == level).select(*(F.col(k).alias(f"_w_{k}") for k in keys), F.struct("_rows", *names).alias(f"_{i}"), F.lit(0).alias("_same"))
         on = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
         out = out.withColumn("_zero", F.lit(0)).join(wider, [F.col("_zero") == F.col("_same"), *on], "left").drop("_zero", "_same", *(f"_w_{k}" for k in keys))
-    found = F.coalesce(*(F.col(f"_f{i}") for i in range(len(by) + 1)))
-    return out.select(*by, *(found[f"max_{k}"].alias(f"max_{k}") for k in r))
+
+    def drawn(name: str) -> Column:
+        value = F.col(f"_{len(by)}.{name}")
+        for i in reversed(range(len(by))):
+            rows = F.col(f"_{i}._rows")
+            value = (rows * F.col(f"_{i}.{name}") + F.lit(float(PRIOR)) * value) / (rows + F.lit(float(PRIOR)))
+        return value.alias(name)
+
+    return out.select(*by, *(drawn(n) for n in names))
+
+
+def fences() -> dict[str, Column]:
+    """Of each rate the document's fence, from usual_ and long_ of its group and its own exposure."""
+    exposure = lambda m: F.least(F.greatest(F.col(m), F.lit(1)).cast("double"), F.col(f"long_{m}"))
+    return {f"max_{k}": chance(F.col(f"usual_{k}"), exposure(m)) for k, (_, m) in rates().items()}
 
 
 #: Groups whose fences are sent to every task at most; with more, Spark joins them by shuffling.
@@ -125,21 +155,21 @@ BROADCAST_GROUPS = 20_000
 
 
 def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry + by columns, signals, the group's fences, base_failed and kept, one row per row of docs.
+    """carry + by columns, signals, the document's fences (max_ of each rate), base_failed and kept, one row per row of docs.
 
-    kept is false where the base rule fails, else whether every rate is within its group's fence. Groups with a null
+    kept is false where the base rule fails, else whether every rate is within its fence. Groups with a null
     language or source are groups like others (joins are null-safe, the wider groups are told apart by their level). An
     empty table gives an empty table.
     The signals are written once, so the texts are read once for thresholds and verdicts alike.
     """
     keys = [k for k in dict.fromkeys([*carry, *by])]
     scored = written(signals(docs.select(*dict.fromkeys([*keys, text])), text).select(*keys, *SIGNALS), "quality")
-    fences = written(thresholds(scored, by).withColumnsRenamed({k: f"_g_{k}" for k in by}), "fences")
-    small = fences.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    on = [scored[k].eqNullSafe(fences[f"_g_{k}"]) for k in by]
-    joined = scored.join(F.broadcast(fences) if small else fences, on, "left").drop(*(f"_g_{k}" for k in by))
+    groups = written(thresholds(scored, by).withColumnsRenamed({k: f"_g_{k}" for k in by}), "fences")
+    small = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    on = [scored[k].eqNullSafe(groups[f"_g_{k}"]) for k in by]
+    joined = scored.join(F.broadcast(groups) if small else groups, on, "left").withColumns(fences()).drop(*(c for c in groups.columns))
     within = F.lit(True)
-    for k, c in rates().items():
+    for k, (c, _) in rates().items():
         within = within & (c <= F.col(f"max_{k}"))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
 
