@@ -15,9 +15,10 @@ A document's set: its distinct k-word shingles (fewer words: all of them as one;
    these once more by parities (512 bits, more for larger sets, that differ in at most as many bits as the sets differ in
    tokens) and counts exact overlaps through the group's postings. Links found join components at once, so documents
    already joined are not compared again. This takes two rounds: first each group by itself and with the queries that it is
-   the likeliest group of (each token counting for one group, so that rows stay as many as tokens); then the matrix bounds
-   all groups for all queries, members in the query's own component left out. A large family of near copies is one
-   component after the first round, and makes no rows in the second.
+   the likeliest group of (each token counting for one group, so that rows stay as many as tokens), without those that share
+   too few tokens with the rest; then a document counts as a member of its likeliest group, all of which it was compared with
+   or can't link with, and the matrix bounds all other groups for all queries, members in the query's own component left out. A large family of near copies is one group after the first
+   round, whether its members link or not, and makes no rows in the second.
 4. Links of all groups meet in connected components.
 
 A token's documents are counted and joined as rows, never gathered in one task. Of two groups that one token joins, only
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .words import SPACED_LOWER, Words, mix, windows, words_of
 
 BITS = 512
@@ -44,8 +45,8 @@ BITS = 512
 PART_TOKENS = 64_000
 #: Tokens of a group's union that a query has to hit among its rarest ones, and size classes to a doubling of the size.
 HITS, SIZES = 3, 4
-#: A token counts as common from COMMON documents of a batch on; at most HOT of the most common are told to all tasks.
-COMMON, HOT = 3, 150_000
+#: A token counts as common from COMMON documents among COUNTED words on; at most HOT of the most common are told to all tasks.
+COMMON, COUNTED, HOT = 3, 4_000_000, 150_000
 BROADCAST_ROWS = 400_000
 
 
@@ -224,20 +225,45 @@ def need(n: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * n / F.lit(100))
 
 
+def wanted(n: Column, percent: int) -> Column:
+    """Tokens among its rarest ones that a set of n shares with any set that it links with (of at least `need` tokens)."""
+    return F.least(F.lit(HITS), need(need(n, percent), percent))
+
+
 def likeliest(live: DataFrame) -> DataFrame:
-    """(id, g): for each document the group it hits most, when each token counts for the one group that most of its documents are in."""
+    """(id, g): for each document the other group it hits most, when each token counts for the one group that most of its
+    documents are in; documents that hit none often enough have no row."""
     top = live.groupBy("token", "g").agg(F.count(F.lit(1)).alias("_c")).groupBy("token").agg(F.max(F.struct("_c", "g"))["g"].alias("_top"))
-    hit = live.join(top, "token").where("_top <> g").groupBy("id", F.col("_top").alias("g")).agg(F.count(F.lit(1)).alias("hits"))
-    return hit.groupBy("id").agg(F.max(F.struct("hits", "g"))["g"].alias("g"))
+    hit = live.join(top, "token").where("_top <> g").groupBy("id", F.col("_top").alias("g")).agg(F.count(F.lit(1)).alias("hits"), F.max("least").alias("least"))
+    return hit.where("hits >= least").groupBy("id").agg(F.max(F.struct("hits", "g"))["g"].alias("g"))
+
+
+def inside(live: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, g, n): the documents of each group and of those whose likeliest group it is, as far as they may link with one another.
+
+    A token that only one of them has can be no part of a link inside; who has too few others is left out.
+    """
+    columns = ("g", "token", "id", "n", "least")
+    both = live.select(*columns).unionByName(live.drop("g").join(first, "id").select(*columns))
+    shared = both.groupBy("g", "token").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b").select("g", "token")
+    hits = both.join(shared, ["g", "token"]).groupBy("g", "id").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"), F.max("least").alias("least"))
+    return hits.where("hits >= least").select("id", "g", "n")
+
+
+def regrouped(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """rows (id, g, ...) with g replaced by the likeliest group, where there is one."""
+    return rows.join(first.withColumnRenamed("g", "_g"), "id", "left").withColumn("g", F.coalesce("_g", "g")).drop("_g")
 
 
 def bounds(live: DataFrame, percent: int) -> DataFrame:
     """(id, g, hits, k): for each document the larger groups whose unions it hits, and the hits needed.
 
-    live: token, id, g, n, comp, size (documents of the group); of groups of one size the lower number counts as larger. Members of a group count by component, and none of the document's own; tokens of one
-    component only are left out before anything is joined.
+    live: token, id, g, n, comp, size (documents of the group); of groups of one size the lower number counts as larger.
+    Members of a group count by component, and none of the document's own; tokens of one component or of one group only are
+    left out before anything is joined.
     """
-    crossing = live.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("token")
+    ends = [f(c).alias(f"_{f.__name__}_{c}") for c in ("comp", "g") for f in (F.min, F.max)]
+    crossing = live.groupBy("token").agg(*ends).where("_min_comp <> _max_comp and _min_g <> _max_g").select("token")
     rows = live.join(crossing, "token", "left_semi")
     matrix = rows.groupBy("token", F.col("g").alias("_g"), F.col("comp").alias("_comp")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("size").alias("_size"))
     larger = (F.col("_size") > F.col("size")) | ((F.col("_size") == F.col("size")) & (F.col("_g") < F.col("g")))
@@ -252,15 +278,27 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
 
     grouping: the group of a set; any partition gives the same links, one of similar sets opens fewer groups.
     """
-    wanted = HITS
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+            tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            tokens.sort()
+            at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
+            n = np.diff(at, append=len(tokens))
+            return pa.RecordBatch.from_arrays([pa.array(tokens[at[n >= COMMON]].view(np.int64)), pa.array(n[n >= COMMON])], ["token", "n"])
+
+        held, size = [], 0
         for batch in batches:
-            every = [s for w in words_of(batch.column("text"), SPACED_LOWER) for s in shingle_sets(w, k)]
-            token, n = np.unique(np.concatenate([*every, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token[n >= COMMON].view(np.int64)), pa.array(n[n >= COMMON])], ["token", "n"])
+            for w in words_of(batch.column("text"), SPACED_LOWER):
+                held += shingle_sets(w, k)
+                size += len(w.hashes)
+                if size >= COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
 
     counted = base.select("text").mapInArrow(common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     hot_rows = counted.where(F.col("n") >= 4 * COMMON).orderBy(F.desc("n"), "token").limit(HOT).collect()  # HOT numbers
@@ -279,7 +317,7 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
                 first, group = [], []
                 for s in sets:
                     least = -(-percent * len(s) // 100)
-                    p = len(s) - least + min(wanted, least)
+                    p = len(s) - least + min(HITS, least)
                     group.append(grouping(s) if len(s) else 0)
                     at = np.flatnonzero(likely[(s & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(hot) else np.zeros(0, np.int64)
                     if len(at):
@@ -298,7 +336,7 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
                 )
 
     sets = written(base.mapInArrow(sets_of, "id long, n int, f1 long, f2 long, g int, first array<long>"), "sets")
-    classes = written(sets.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("g").alias("g"), F.first("first").alias("first")), "classes")
+    classes = written(sets.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min("g").alias("g")), "classes")
 
     members = classes.select("id", "g", "n", F.lit(False).alias("asks"))
 
@@ -331,10 +369,10 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
 
         return run
 
-    def opened_links(queries: DataFrame, groups: DataFrame, known: DataFrame | None) -> DataFrame:
-        """(a, b): what joins documents in the groups (g) and the queries (id, g) that open them; known: (id, root) of the round before."""
-        inside = members.join(groups, "g", "left_semi").unionByName(queries.join(members.select("id", "n"), "id").select("id", "g", "n", F.lit(True).alias("asks")))
-        sized = inside.join(inside.groupBy("g").agg(F.sum("n").alias("c")), "g")
+    def opened_links(docs_in: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(a, b): what joins the documents of the groups (id, g, n, asks); known: (id, root) of the round before."""
+        several = docs_in.groupBy("g").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("_d")).where("_d > 1").drop("_d")
+        sized = docs_in.join(several, "g")
         sized = sized.withColumn("known", F.col("id")) if known is None else sized.join(known.distinct(), "id", "left").withColumn("known", F.coalesce("root", "id"))
         sized = written(sized.select("id", "g", "c", "asks", "known"), "sized")
         small = sized.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -343,23 +381,25 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
         in_order = full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
         return written(in_order.mapInArrow(verify(known is not None), "a long, b long"), "links")
 
-    # the rarest tokens of all classes, those of several groups
-    rows = classes.select("id", "g", "n", F.explode("first").alias("token"))
-    crossing = rows.groupBy("token").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a <> _b").select("token")
-    live = written(rows.join(crossing, "token", "left_semi"), "live")
+    # the rarest tokens of all classes, those of several documents; only ids and tokens are dealt out
+    of_class = sets.select("id", "f1", "f2", "first").join(classes.select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi")
+    rows = of_class.select("id", F.explode("first").alias("token"))
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    sized = classes.select("id", "g", "n", wanted(F.col("n"), percent).alias("least"))
+    live = written(rows.join(shared, "token", "left_semi").join(sized, "id"), "live")
     # first round: groups by themselves, and for each query its likeliest group
     first = written(likeliest(live), "first")
-    several = members.groupBy("g").count().where("count > 1").select("g").union(first.select("g")).distinct()
-    links = opened_links(first, several, None)
+    links = opened_links(inside(live, first).withColumn("asks", F.lit(False)), None)
     roots = components(links, "linked").where("id <> root")
-    # second round: all qualifying groups that hold a member outside of the query's component
+    # second round: all other groups, now by likeliest group, that hold a member outside of the query's component
     rooted = members.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    size = classes.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    of_doc = members.select("id", "g").join(size, "g").groupBy("id", "g").agg(F.max("size").alias("size")).join(rooted.withColumnRenamed("root", "comp"), "id")
-    qualify = bounds(live.join(of_doc, ["id", "g"]), percent).where("hits >= k").select("id", "g")
-    rest = written(qualify.join(first, ["id", "g"], "left_anti"), "rest")
+    moved = written(regrouped(members, first), "moved")
+    of_doc = moved.select("id", "g").join(moved.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "g").join(rooted.withColumnRenamed("root", "comp"), "id")
+    qualify = bounds(live.drop("g").join(of_doc, "id"), percent).where("hits >= k").select("id", "g")
+    rest = written(qualify, "rest")
     if rest.limit(1).count():
-        more = opened_links(rest, rest.select("g").distinct(), rooted)
+        queries = rest.join(moved.select("id", "n"), "id").select("id", "g", "n", F.lit(True).alias("asks"))
+        more = opened_links(moved.join(rest.select("g").distinct(), "g", "left_semi").unionByName(queries), rooted)
         roots = components(links.unionByName(more), "joined").where("id <> root")
     of_class = classes.select("f1", "f2", "n", F.col("id").alias("class")).join(roots.withColumnRenamed("id", "class"), "class", "left")
     of_class = of_class.select("f1", "f2", "n", F.coalesce("root", "class").alias("component_id"))

@@ -39,6 +39,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of 64: a batch is held several times over, by the JVM and by Python. A setting of the user's stays."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if str(spark.conf.get(name, str(default))).rstrip("b") == str(default):
+        spark.conf.set(name, str(8 << 20))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all working tables of this application. To be called once its results are stored: they read these tables until then."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
