@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -36,7 +37,7 @@ TEXTS = [
 ]
 ROWS = {
     "documents": [(i + 1, t, [None, "en", "de"][i % 3], None if i % 4 == 0 else "web", i, 5, 6, 7, 8, 9, "x", None) for i, t in enumerate(TEXTS)],
-    "benchmark": [("b1", SAY[:200]), ("b2", "the lazy dog"), ("b3", None), ("b4", ""), ("b5", SAY[:200]), ("b6", "ТЕКСТ 漢字")],
+    "benchmark": [("b1", SAY[:200]), ("b2", "the lazy dog"), ("b3", None), ("b4", ""), ("b5", SAY[:200]), ("b6", "ТЕКСТ 漢字"), (None, OTHER[:150]), (None, "quick brown"), ("b7", OTHER[:150])],
     "pages": [(1, "u", None, "z"), (2, None, ""), (3, "u", "<p>" + OTHER * 3), (4, "u\r\nv", "<p>" + OTHER * 3), (5, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 100), (6, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 100), (7, "u", "ü" * 600)],
     "conversations": [(1, 0, "user", None), (1, 1, "assistant", "<|end|>\n"), (1, 2, "user", r"<\|a|>"), (2, 0, "assistant", ""), (3, 1, "a|>b", "x"), (3, 1, "assistant", "tie"), (3, 0, None, "first")],
     "labels": [(1, 0, 1), (2, None, None)],
@@ -235,6 +236,39 @@ def test_matches_of_repeats_equal_brute_force():
         assert [set(x) for x in found] == [{m[1] for m in want if m[0] == d} for d in range(len(docs))]
 
 
+def test_nine_megabytes_of_tests_are_bounded():
+    """Built block by block as the driver does it, and without work for documents that hold nothing."""
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def toLocalIterator(self):  # noqa: N802
+            rng = np.random.default_rng(2)
+            return ((str(i), " ".join(map(str, rng.integers(0, 10**5, 300)))) for i in range(5500))
+
+    tracemalloc.start()
+    built, n = 0, 0
+    for tests in decontaminate.test_blocks(Table()):
+        built, n = max(built, sum(x.nbytes for x in vars(tests).values() if isinstance(x, np.ndarray))), n + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3 and peak < 300 << 20 and built < 70 << 20
+    short = decontaminate.pa.array(["a short document " * 5] * 10)
+    began = time.process_time()
+    for _ in range(5):
+        decontaminate.match_batch(short, tests)
+    assert time.process_time() - began < 1
+
+
+def test_several_blocks_equal_sql(spark, odd):
+    docs, bench = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = decontaminate.search_documents(docs, bench).collect()
+    parts = decontaminate.search_documents(docs, bench, block_bytes=150).collect()
+    plain_rows = lambda rows: sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"], sorted(map(str, r["matches"]))) for r in rows)
+    assert plain_rows(whole) == plain_rows(parts) and any(r["n_hit"] for r in whole)
+
+
 def test_repeats_do_not_multiply():
     tests = decontaminate.Tests.of([("a", "word " * 20_000), ("b", "word " * 5_000)])
     began = time.process_time()

@@ -75,10 +75,23 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id
 ), it AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id
+), places AS (
+  SELECT doc_id, item, item_id, dw.i, bp.i AS j, n FROM dw JOIN (
+    SELECT item, item_id, i, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS k
+    FROM (SELECT item, item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM (SELECT row_number() OVER () AS item, * FROM b) WHERE len(w) > 0)
+  ) AS bp USING (n, k)
+), runs AS (
+  SELECT *, CASE WHEN n = 13 THEN i - row_number() OVER (PARTITION BY doc_id, item, n, i - j ORDER BY i) ELSE i END AS run FROM places
+), longest AS (
+  SELECT doc_id, item, item_id, min(i) - 1 AS doc_at, min(j) - 1 AS item_at, count(*) + any_value(n) - 1 AS words FROM runs GROUP BY doc_id, item, item_id, n, i - j, run
+), mt AS (
+  SELECT doc_id, count(*) AS n_matches, max(words) AS longest_match, string_agg(x, ',' ORDER BY x) AS matches
+  FROM (SELECT *, coalesce(CAST(item_id AS VARCHAR), '') || ':' || doc_at || ':' || item_at || ':' || words AS x FROM longest) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_matches, 0) AS n_matches, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match, sha256(coalesce(matches, '')) AS matches_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN mt USING (doc_id)
 """
 
 OP3 = r"""

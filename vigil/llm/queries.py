@@ -21,7 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), with_matches=False)
+    out = decontaminate.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    line = F.transform("matches", lambda m: F.concat_ws(":", F.coalesce(m["item_id"], F.lit("")), m["doc_at"].cast("string"), m["item_at"].cast("string"), m["words"].cast("string")))
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).cast("long")
+    return out.select(*out.drop("matches").columns, F.size("matches").cast("long").alias("n_matches"), longest.alias("longest_match"), F.sha2(F.array_join(F.array_sort(line), ","), 256).alias("matches_sha256"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
