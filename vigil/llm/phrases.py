@@ -2,10 +2,11 @@
 
 1. Every text is cut into pieces and words. All 1- and 2-grams become rows of a 64-bit hash and a count, summed up inside each
    Arrow batch and then by a hash aggregate. What occurs min_count times sets a bit in a screen of fixed size, which alone is
-   broadcast. Hashes and bits that clash let more through, never less.
-2. The texts are read once more and all 1..max_n-grams whose words and word pairs pass the screen become rows (lang, phrase,
-   occurrences): a phrase can occur no more often than the pairs inside it, so every phrase of min_count occurrences, and
-   every part of one, is counted whole. What passes by a clash has its true count too and is dropped by it.
+   broadcast. A phrase occurs no more often than its parts, so longer n-grams, up to max_n - 1 words, become rows in the same
+   way only where both their parts of one word less pass the screen, a pass over the texts for each size. Hashes and bits that
+   clash let more through, never less.
+2. A last pass makes rows (lang, phrase, occurrences) of all 1..max_n-grams that pass. Every phrase of min_count occurrences,
+   and so every part of one, is counted whole; what passes by a clash has its true count too and is dropped by it.
 3. Candidates are joined with the counts of their first and last parts at every cut; the score is computed in decimals of 38
    digits. An anti-join with one-word extensions drops phrases that live inside a longer one: an extension by more words
    implies one by a single word that occurs at least as often.
@@ -26,14 +27,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .words import U, WordClass, Words, pair, parts_of
 
 #: Bits of the screen, 16 MB in all; with very many frequent pairs it lets more through and stays right.
 SCREEN_BITS = 1 << 27
 _CHUNK = 4096 * 8  # bits of one value of Spark's bitmap functions
-#: Rows that a task counts by itself before it sends them on, and buckets of the first ranking window.
-HELD, BUCKETS = 4_000_000, 64
+#: Rows that a task counts by itself before it sends them on: hashes, words, phrases of several words; buckets of the first
+#: ranking window. Few phrases are held, as they mostly recur within a text: rows then follow the words of the corpus.
+HELD, HELD_WORDS, HELD_PHRASES, BUCKETS = 2_000_000, 150_000, 60_000, 64
+
+_OUT = 200_000  # rows of a batch that goes back to the JVM
 
 #: Words are what stands between blanks, tabs and the signs that end a piece.
 _BREAKS = [(ord(c), ord(c)) for c in ".,;:!?"] + [(0x0A, 0x0D)]
@@ -53,13 +57,27 @@ class _Grams:
         self.next = np.zeros(len(w.start), bool)  # whether the word after this one continues its piece
         if len(w.start) > 1:
             self.next[:-1] = (piece[1:] == piece[:-1]) & (w.doc_of()[1:] == w.doc_of()[:-1])
-        self.one = pair(self.seed, w.hashes)
-        self.two = pair(self.one, np.roll(w.hashes, -1))
 
-    def new(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Those positions whose phrase the part before did not have."""
+    def new(self, mask: np.ndarray, size: int) -> np.ndarray:
+        """Positions in the mask whose phrase the part before did not have."""
+        at = np.flatnonzero(mask)
         return at[at + size > self.shared]
 
+    def sizes(self, screen: np.ndarray | None, upto: int, screened: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, mask of the phrases that may occur often, their hashes): sizes up to `screened` by their own bits and their
+        parts', longer ones by their parts'; without a screen all."""
+        h = pair(self.seed, self.w.hashes)
+        ok = np.ones(len(h), bool) if screen is None else _passes(screen, h)
+        yield 1, ok, h
+        for size in range(2, upto + 1):
+            h = pair(h, np.roll(self.w.hashes, 1 - size))
+            ok = ok & np.append(ok[1:], False)[: len(ok)]
+            if size == 2:
+                ok &= self.next
+            if screen is not None and size <= screened:
+                ok &= _passes(screen, h)
+            yield size, ok, h
+
 
 def _language_seeds(column: pa.Array) -> np.ndarray:
     names = column.dictionary_encode()
@@ -67,35 +85,55 @@ def _language_seeds(column: pa.Array) -> np.ndarray:
     return seeds[names.indices.to_numpy(zero_copy_only=False)] if len(column) else np.zeros(0, np.uint64)
 
 
-def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c): hashes of the 1- and 2-grams of the batches and their occurrences."""
+def _hash_rows(sizes: tuple[int, ...], screen_of: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(h, c): hashes of the n-grams of these sizes and their occurrences, of such as pass the screen with their parts."""
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([*held, np.zeros(0, np.uint64)])
+        h.sort()
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        c = np.diff(at, append=len(h))
+        for i in range(0, len(at), _OUT):
+            yield pa.RecordBatch.from_arrays([pa.array(h[at[i : i + _OUT]].view(np.int64)), pa.array(c[i : i + _OUT])], ["h", "c"])
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen = screen_of.value if screen_of else None
+        held, rows = [], 0
+        for batch in batches:
+            seeds = _language_seeds(batch.column("lang"))
+            for w, shared in parts_of(batch.column("text"), WORDS, max(sizes)):
+                g = _Grams(w, seeds, shared)
+                for size, ok, h in g.sizes(screen, max(sizes), max(sizes) - 1):
+                    if size in sizes:
+                        held.append(h[g.new(ok, size)])
+                        rows += len(held[-1])
+                if rows >= HELD:
+                    yield from counted(held)
+                    held, rows = [], 0
+        yield from counted(held)
 
-    held, size = [], 0
-    for batch in batches:
-        seeds = _language_seeds(batch.column("lang"))
-        for w, shared in parts_of(batch.column("text"), WORDS, 2):
-            g = _Grams(w, seeds, shared)
-            held += [g.one[shared:], g.two[g.new(np.flatnonzero(g.next), 2)]]
-            size += len(held[-2]) + len(held[-1])
-            if size >= HELD:
-                yield counted(held)
-                held, size = [], 0
-    yield counted(held)
+    return run
 
 
-def _screen(docs: DataFrame, min_count: int) -> np.ndarray:
-    """Bits of the 1- and 2-grams that occur min_count times, SCREEN_BITS in all."""
-    counted = docs.mapInArrow(_hash_rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
+def _frequent_bits(docs: DataFrame, min_count: int, sizes: tuple[int, ...], screen: Broadcast | None) -> np.ndarray:
+    """The screen's bits of the n-grams of these sizes that occur min_count times, SCREEN_BITS in all."""
+    counted = docs.mapInArrow(_hash_rows(sizes, screen), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
     bit = F.pmod("h", F.lit(SCREEN_BITS)) + 1
     rows = counted.select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
-    screen = np.zeros(SCREEN_BITS // 8, np.uint8)
-    for r in rows.toLocalIterator():  # at most SCREEN_BITS / _CHUNK rows
-        screen[(r["b"] - 1) * _CHUNK // 8 : r["b"] * _CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
-    return screen
+    found = np.zeros(SCREEN_BITS // 8, np.uint8)
+    for r in rows.collect():  # at most SCREEN_BITS / _CHUNK rows of 4 KB
+        found[(r["b"] - 1) * _CHUNK // 8 : r["b"] * _CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return found
+
+
+def _screen(docs: DataFrame, min_count: int, max_n: int) -> Broadcast:
+    context = docs.sparkSession.sparkContext
+    bits = _frequent_bits(docs, min_count, (1, 2), None)
+    for size in range(3, max_n):
+        told = context.broadcast(bits)
+        bits = bits | _frequent_bits(docs, min_count, (size,), told)
+        told.unpersist()
+    return context.broadcast(bits)
 
 
 def _passes(screen: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -103,30 +141,18 @@ def _passes(screen: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (screen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _phrase_rows(g: _Grams, screen: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(size, first positions, hashes, occurrences) of the distinct phrases of a slice that pass the screen."""
-    runs, chain, h = _passes(screen, g.one), g.next & _passes(screen, g.two), g.one
-    for size in range(1, max_n + 1):
-        if size == 2:
-            runs = chain
-        elif size > 2:
-            runs = runs & np.concatenate([chain[size - 2 :], np.zeros(min(size - 2, len(chain)), bool)])
-        if size > 1:
-            h = pair(h, np.roll(g.w.hashes, 1 - size))
-        at = g.new(np.flatnonzero(runs), size)
-        keys, first, n = np.unique(h[at], return_index=True, return_counts=True)
-        yield size, at[first], keys, n
-
-
 def _counter(screen_of: Broadcast, max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         screen = screen_of.value
-        held: dict[tuple[int, int], list] = {}
+        # rows of words and of longer phrases by their hash
+        words: dict[int, list] = {}
+        longer: dict[int, list] = {}
 
-        def counted() -> pa.RecordBatch:
-            rows = held.values()
+        def counted(held: dict[int, list]) -> pa.RecordBatch:
+            rows = list(held.values())
+            held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "phrase", "size", "c"]
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "c"]
             )
 
         for batch in batches:
@@ -135,30 +161,34 @@ def _counter(screen_of: Broadcast, max_n: int) -> Callable[[Iterator[pa.RecordBa
             for w, shared in parts_of(batch.column("text"), WORDS, max_n):
                 g = _Grams(w, seeds, shared)
                 for seed, n in zip(*(x.tolist() for x in np.unique(g.seed[shared:], return_counts=True)), strict=True):
-                    held.setdefault((0, seed), [name[seed], "", 0, 0])[3] += n
-                text, start, end, of = w.buf.tobytes().lower(), w.start.tolist(), w.end.tolist(), g.seed
-                for size, at, keys, n in _phrase_rows(g, screen, max_n):
-                    for i, key, c in zip(at.tolist(), keys.tolist(), n.tolist(), strict=True):
-                        row = held.get((size, key))
+                    words.setdefault(seed, [name[seed], "", 0])[2] += n
+                text, start, end, of = w.buf.tobytes().lower(), w.start, w.end, g.seed
+                for size, ok, h in g.sizes(screen, max_n, max(2, max_n - 1)):
+                    held, at = words if size == 1 else longer, g.new(ok, size)
+                    keys, first, n = np.unique(h[at], return_index=True, return_counts=True)
+                    for i, key, c in zip(at[first].tolist(), keys.tolist(), n.tolist(), strict=True):
+                        row = held.get(key)
                         if row is None:
-                            phrase = b" ".join([text[start[j] : end[j]] for j in range(i, i + size)]).decode()
-                            held[size, key] = [name[int(of[i])], phrase, size, c]
+                            held[key] = [name[int(of[i])], b" ".join([text[start[j] : end[j]] for j in range(i, i + size)]).decode(), c]
                         else:
-                            row[3] += c
-                if len(held) >= HELD // 16:
-                    yield counted()
-                    held.clear()
-        yield counted()
+                            row[2] += c
+                if len(words) >= HELD_WORDS:
+                    yield counted(words)
+                if len(longer) >= HELD_PHRASES:
+                    yield counted(longer)
+        yield counted(words)
+        yield counted(longer)
 
     return run
 
 
 def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30) -> DataFrame:
     """lang, phrase, size, f of all phrases of 1 to max_n words that occur min_count times or more; phrase '' of size 0 counts the words."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    screen = docs.sparkSession.sparkContext.broadcast(_screen(base, min_count))
-    rows = base.mapInArrow(_counter(screen, max_n), "lang string, phrase string, size int, c long")
-    return rows.groupBy("lang", "phrase", "size").agg(F.sum("c").alias("f")).where((F.col("f") >= min_count) | (F.col("size") == 0))
+    rows = base.mapInArrow(_counter(_screen(base, min_count, max_n), max_n), "lang string, phrase string, c long")
+    counted = rows.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    return counted.withColumn("size", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
 
 
 def _decimal(c: Column | str) -> Column:
