@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import re
 import time
 import tracemalloc
 import zlib
@@ -455,6 +456,50 @@ def test_swaps_change_scores_less_with_the_penalty(spark):
     assert (s[y == 1][:, None] > s[y == 0]).mean() > 0.9
 
 
+def test_training_and_scores_equal_a_plain_version(spark, monkeypatch):
+    """Stems, their choice, swaps and scores of a small table, word by word in plain Python; only the descent is shared."""
+    monkeypatch.setattr(toxicity, "harvest", lambda *_: [])
+    rng, terms = np.random.default_rng(8), (("cats", "dogs", "birds"), ("north", "south"))
+    word = lambda: f"w{int(rng.integers(0, 40))}xyz"
+    rows = []
+    for i in range(90):
+        toxic = int(rng.random() < 0.4)
+        said = [word() for _ in range(12)] + ["horrible fool"] * toxic + [str(rng.choice(["cats", "Dogs", "birds", "none"])), "North" if rng.random() < 0.3 else "x"]
+        rows.append((i, " ".join(said[:7]) + ". " + " ".join(said[7:]) + "!", toxic))
+    rows += [(200, None, 1), (201, "", 0), (202, "contradicted words here", 1), (203, "only scored: horrible cats", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(202, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, only=toxicity.fold() != 1, terms=terms)
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, model).collect()}
+
+    words = lambda t: re.findall(r"[0-9a-z]+", (t or "").lower())
+    stems_of = lambda t: {w[:k] for w in words(t) for k in (4, 5, 6)}
+    fit = [(stems_of(t), y, t) for i, t, y in rows if y is not None and i != 202 and zlib.crc32(str(i).encode()) % 3 != 1]
+    n, p = len(fit), np.mean([y for _, y, _ in fit])
+    chosen = {x for g in terms for w in g for x in stems_of(w)}
+    for x in {x for s, _, _ in fit for x in s}:
+        seen = [y for s, y, _ in fit if x in s]
+        if len(seen) >= 4 and abs(sum(seen) - p * len(seen)) / np.sqrt(len(seen) * p * (1 - p)) >= 4:
+            chosen.add(x)
+    key = {x: next(toxicity.words_of(toxicity.pa.array([x]), toxicity.ALNUM_LOWER)).hashes[0] for x in chosen}
+    order = sorted(chosen, key=key.get)
+    place, group = {x: i for i, x in enumerate(order)}, {w: g for g in terms for w in g}
+    index = lambda s: sorted(place[x] for x in s if x in place)
+    pairs = []
+    for _, _, t in fit:
+        for sentence in re.split(r"(?<=[.!?])\s+", t or ""):
+            named = [group[w] for w in words(sentence) if w in group]
+            for k in range(1, max(map(len, named), default=1)):
+                swapped = " ".join(group[w][(group[w].index(w) + k) % len(group[w])] if w in group else w for w in words(sentence))
+                pairs.append((index(stems_of(sentence)), index(stems_of(swapped))))
+    assert model.pairs == len(pairs) > 50 and model.stems.tolist() == [key[x] for x in order] and n > 50
+    weights, bias = toxicity.fit_weights([index(s) for s, _, _ in sorted(fit, key=lambda f: (f[1], index(f[0])))], np.array(sorted(y for _, y, _ in fit), float), pairs, len(order))
+    for i, t, _ in rows:
+        z = bias + sum(weights[place[x]] for x in stems_of(t) if x in place)
+        assert abs(got[i][0] - 1 / (1 + np.exp(-z))) < 1e-6 and got[i][1] == int(got[i][0] >= 0.7)
+    assert got[203][0] > got[201][0]
+
+
 def test_harvested_terms_share_contexts(spark):
     rows = [(i % 2, f"the {a} went home and w{i} {'bad' if i % 2 else 'good'} x{i}") for i in range(80) for a in (["cats"] if i % 4 < 2 else ["dogs"])]
     picked = spark.createDataFrame(rows, "toxic int, text string")
