@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.functions import rules
 from vigil.operators import gazetteer, geo, merge, tables, trust
 from vigil.plans import alerts, posts
 from vigil.sources import files
@@ -212,3 +213,22 @@ def test_steps_counts_and_sinks(spark, tmp_path):
         files.write_json(report, str(tmp_path / "json"), by=("kind",))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()[0]["reason"] == 'a "b", c'
     assert spark.read.json(str(tmp_path / "json")).count() == 1 and (tmp_path / "json" / "kind=event").exists()
+
+
+def test_a_filter_on_classified_posts_computes_the_body_once(spark):
+    """The footer pattern stands once in the optimized plan, however often the result's columns are asked for."""
+    posts = spark.createDataFrame([(1, "Фиксация БПЛА\n🌐 Обход блокировок")], "post_id long, raw_text string")
+    found = rules.classify(posts, "raw_text").where("kind = 'event' and event_type <> 'x' and severity <> 'y'")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Обход") == 1
+    assert [r["event_type"] for r in found.collect()] == ["fixation"]
+
+
+def test_names_are_found_inside_the_row_and_by_join(spark, monkeypatch):
+    aliases = spark.createDataFrame([("a", "A", 1, "red fox"), ("b", "B", 2, "fox"), ("c", "C", 3, "a very long name of six"), ("d", "D", 4, "red fox")], "code string, name string, ord int, alias string")
+    posts = spark.createDataFrame([(1, "the red fox and a very long name of six fox"), (2, ""), (3, "red"), (4, "fox red fox")], "k long, t string")
+    run = lambda: sorted(map(tuple, gazetteer.match_names(posts, "k", F.col("t"), aliases).collect()))
+    inside = run()
+    monkeypatch.setattr(gazetteer, "LITERALS", 1)
+    assert run() == inside
+    assert [(r[0], r[1], r[3], r[6]) for r in inside] == [(1, "a", 1, 1), (1, "b", 2, 3), (1, "c", 4, 4), (1, "d", 1, 2), (4, "a", 1, 2), (4, "b", 0, 1), (4, "d", 1, 3)]
+    assert gazetteer.match_names(posts, "k", F.col("t"), aliases.where("false")).count() == 0

@@ -101,7 +101,8 @@ def classify(posts: DataFrame, text: str) -> DataFrame:
     """posts with kind, reason, event_type, severity, repeat, n, direction, macro_zone of each post.
 
     Body and lower case are columns, computed once; the type rules run on posts that hint at an event only, and what
-    describes an event on events only.
+    describes an event on events only. The result comes out of an array of one row, so that a filter on it stays above: below
+    the columns it would compute the body anew for each of its patterns.
     """
     names = [F.col(f"`{c}`") for c in posts.columns]
     body, low, type_ = F.col("_body"), F.col("_low"), F.col("_type")
@@ -110,10 +111,10 @@ def classify(posts: DataFrame, text: str) -> DataFrame:
     rows = rows.select("*", F.when(F.col("_kind") == "event", first_match(low, EVENT_RULES)).alias("_type"))
     only = lambda c: F.when(type_.isNotNull(), c)
     kind = F.col("_kind")
-    return rows.select(
-        *names,
+    found = F.struct(
         F.when(type_.isNotNull(), "event").when(kind == "event", "noise").otherwise(kind).alias("kind"),
         F.when(kind == "meta", "meta_content").when(kind == "noise", "noise_content").when(type_.isNull(), "event_type_not_detected").alias("reason"),
         type_.alias("event_type"), only(F.when(type_ == "cleared", "info").otherwise(first_match(low, SEVERITY, F.lit("info")))).alias("severity"),
         only(any_of(low, REPEATED)).alias("repeat"), only(count_of(body)).alias("n"), only(direction(body)).alias("direction"), only(first_match(low, ZONES)).alias("macro_zone"),
     )
+    return rows.select(*names, F.inline(F.array(found)))

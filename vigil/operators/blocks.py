@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim
 
+# The line before each message of an export.
 HEADER = r"[^\n]+, \[\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}\]"
+# End of fixed values.
 
 
 def block_array(text: Column) -> Column:

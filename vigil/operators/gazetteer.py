@@ -49,24 +49,19 @@ def match_names(posts: DataFrame, key: str, haystack: Column, aliases: DataFrame
     """(key, carry columns, code, name, position, alias, ord, rank) of each name in each text: its first place, there its longest alias.
 
     aliases: code, name, ord, alias, of any number of words. Texts become word n-grams as long as the longest alias. A
-    dictionary of up to LITERALS aliases is looked up inside the row, so that a post costs a row per name in it; a larger
-    one meets all n-grams in a hash join. Names of a post are gathered once, by post; rank is by place, longest, ord.
+    dictionary of up to LITERALS aliases is looked up inside the row: n-grams are built from words only that begin an alias,
+    and a post costs a row per name in it; a larger dictionary meets all n-grams in a hash join. Names of a post are gathered
+    once, by post; rank is by place, longest, ord.
     """
-    size = aliases.agg(F.max(F.size(F.split("alias", " "))), F.count(F.lit(1))).first()
-    longest, rows = size[0] or 1, size[1]
     words = F.split(haystack, " ")
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.when(
-                F.size("_w") >= n,
-                F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.struct(i.alias("position"), F.array_join(F.slice("_w", i + 1, n), " ").alias("alias"))),
-            ).otherwise(F.array().cast("array<struct<position:int,alias:string>>")),
-        )
-    )
-    if rows <= LITERALS:
-        known = sorted(r[0] for r in aliases.select("alias").distinct().collect())
-        grams = F.filter(grams, lambda g: g["alias"].isin(known)) if known else F.array().cast("array<struct<position:int,alias:string>>")
+    first_rows = aliases.select("alias").limit(LITERALS + 1).collect()
+    inside, known = len(first_rows) <= LITERALS, {r[0] for r in first_rows}
+    longest = max((len(a.split(" ")) for a in known), default=1) if inside else aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0]
+    starts = F.transform("_w", lambda x, i: F.when(x.isin(sorted({a.split(" ")[0] for a in known})) if inside else F.lit(True), i)) if known else F.array().cast("array<int>")
+    gram = lambda i, n: F.struct(i.alias("position"), F.array_join(F.slice("_w", i + 1, n), " ").alias("alias"))
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - i)), lambda n: gram(i, n))
+    grams = F.flatten(F.transform(F.array_compact(starts), (lambda i: F.filter(at(i), lambda g: g["alias"].isin(sorted(known)))) if inside else at))
+    rows = len(first_rows) if inside else aliases.limit(BROADCAST_ROWS + 1).count()
     found = posts.select(key, *carry, words.alias("_w")).select(key, *carry, F.inline(grams))
     joined = found.join(F.broadcast(aliases) if rows <= BROADCAST_ROWS else aliases, "alias")
     one = F.struct("position", (-F.length("alias")).alias("length"), "ord", "code", "name", "alias")

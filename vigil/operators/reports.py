@@ -42,33 +42,45 @@ def lost_mentions(posts: DataFrame, found: DataFrame, key: str = "post_id", text
     return mentions.join(names, key, "left").where(~known).select(key, "mention")
 
 
-def gap_totals(classified: DataFrame, found: DataFrame, key: str = "post_id") -> DataFrame:
-    """One row of counts that show where parsing loses something."""
-    regions = found.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
-    rows = classified.join(regions, key, "left").withColumn("_m", F.size(region_mentions(F.col("raw_text"))))
+def _counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+
+def gap_totals(classified: DataFrame, found: DataFrame, places: DataFrame, key: str = "post_id") -> DataFrame:
+    """One row of counts that show where parsing loses something. found: regions, places: places that posts were resolved to."""
+    rows = classified.join(_counted(found, key, "_r"), key, "left").join(_counted(places, key, "_p"), key, "left").withColumn("_m", F.size(region_mentions(F.col("raw_text"))))
     event, many = F.col("kind") == "event", F.col("_m") >= 2
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
     return rows.agg(
         F.count_distinct("channel_key").alias("files"), F.count(F.lit(1)).alias("blocks"), n(event, "event"), n(F.col("kind") == "noise", "noise"), n(F.col("kind") == "meta", "meta"),
         n(F.col("_r").isNull(), "unknown_geo"), n(event & F.col("_r").isNull(), "event_unknown_geo"), n(event & many, "multi_region_like"),
-        n(event & many & (F.coalesce("_r", F.lit(0)) <= 1), "multi_region_collapsed"), n(F.col("reason") == "event_type_not_detected", "type_not_detected"),
+        n(event & many & (F.coalesce("_p", F.lit(0)) <= 1), "multi_region_collapsed"), n(F.col("reason") == "event_type_not_detected", "type_not_detected"),
     )
 
 
-def gap_rows(classified: DataFrame, found: DataFrame, key: str = "post_id") -> DataFrame:
-    """(key, issue, event_type, preview, regions, lost) for each gap of each post: an event without regions, one that names several
-    regions of which one at most was found, a hint at an event of no known type. lost: mentions that no found region answers, sorted."""
-    regions = found.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
-    lost = lost_mentions(classified, found, key).groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("mention")), "|").alias("lost"))
-    event, many, r = F.col("kind") == "event", F.size(region_mentions(F.col("raw_text"))) >= 2, F.coalesce("_r", F.lit(0))
+def gap_rows(classified: DataFrame, found: DataFrame, places: DataFrame, key: str = "post_id") -> DataFrame:
+    """A row for each gap of each post: an event without regions, one that names several regions and has one place at most, a
+    hint at an event of no known type. With the text, the numbers of regions and places, and lists, each once and sorted, of
+    mentions, of the names that were resolved, and of the mentions that none of these answers."""
+    names = found.select(key, "name").unionByName(places.select(key, "name")).distinct()
+    listed = lambda rows, c, out: rows.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(c)), "|").alias(out))
+    lost, resolved = listed(lost_mentions(classified, names, key), "mention", "lost"), listed(names, "name", "resolved")
+    all_mentions = region_mentions(F.col("raw_text"))
+    event, many, r, p = F.col("kind") == "event", F.size(all_mentions) >= 2, F.coalesce("_r", F.lit(0)), F.coalesce("_p", F.lit(0))
     issues = F.array_compact(
         F.array(
-            F.when(event & (r == 0), "event_with_unknown_geo"), F.when(event & many & (r <= 1), "multi_region_collapsed_to_single_target"),
+            F.when(event & (r == 0), "event_with_unknown_geo"), F.when(event & many & (p <= 1), "multi_region_collapsed_to_single_target"),
             F.when(F.col("reason") == "event_type_not_detected", "event_type_not_detected"),
         )
     )
-    rows = classified.join(regions, key, "left").join(lost, key, "left")
-    return rows.select(key, F.explode(issues).alias("issue"), "event_type", preview(F.col("raw_text")).alias("preview"), r.alias("regions"), F.coalesce("lost", F.lit("")).alias("lost"))
+    rows = classified
+    for part in (_counted(found, key, "_r"), _counted(places, key, "_p"), lost, resolved):
+        rows = rows.join(part, key, "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return rows.select(
+        key, F.explode(issues).alias("issue"), "event_type", preview(F.col("raw_text")).alias("preview"), "raw_text", r.alias("regions"), p.alias("places"),
+        F.array_join(F.sort_array(all_mentions), "|").alias("mentions"), text("resolved"), text("lost"),
+    )
 
 
 def flat(classified: DataFrame, found: DataFrame, key: str = "post_id") -> DataFrame:

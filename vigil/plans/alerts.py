@@ -83,6 +83,13 @@ o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY post_id, code ORDE
 SELECT post_id, code, name, CAST(row_number() OVER (PARTITION BY post_id ORDER BY place, length(alias) DESC, ord) AS INTEGER) AS rank FROM o"""
 
 
+#: Customers as regions, in names of all forms that have aliases of their own.
+_TABLE_REGIONS = (
+    "CAST(c_custkey AS VARCHAR(20)) AS code;CASE c_custkey % 4 WHEN 0 THEN concat(c_mktsegment, 'ская') WHEN 1 THEN concat(c_name, ' (ский') WHEN 2 THEN concat('респ ', c_mktsegment, 'ское') ELSE c_mktsegment END AS name;"
+    "CASE c_custkey % 5 WHEN 0 THEN concat('Респ ', c_name) WHEN 1 THEN concat(c_mktsegment, 'ская обл') WHEN 2 THEN concat('«', c_name, '»  автономный округ') WHEN 3 THEN 'край' ELSE concat(c_mktsegment, 'Ёская область') END AS full_name;CAST(c_custkey AS INTEGER) AS ord"
+)
+
+
 def region_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gazetteer.match_regions(P.posts(spark, sf_dir), "post_id", "raw_text", P.regions(spark))
 
@@ -116,12 +123,16 @@ def snap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.kind_counts(classified_posts(spark, sf_dir), "channel_key")
 
 
+def _city_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gazetteer.match_cities(P.posts(spark, sf_dir), "post_id", "raw_text", _cities(spark))
+
+
 def gap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.gap_totals(classified_posts(spark, sf_dir), region_match(spark, sf_dir))
+    return reports.gap_totals(classified_posts(spark, sf_dir), region_match(spark, sf_dir), _city_match(spark, sf_dir))
 
 
 def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.gap_rows(classified_posts(spark, sf_dir), region_match(spark, sf_dir))
+    return reports.gap_rows(classified_posts(spark, sf_dir), region_match(spark, sf_dir), _city_match(spark, sf_dir))
 
 
 _MENTIONS = f"""m0 AS (SELECT post_id, list_filter(list_transform(regexp_split_to_array(raw_text, '[' || chr(10) || ',;|]+'), lambda x: {_trim(_squeeze('x'))}), lambda x: x <> '' AND regexp_matches(x, {_q(reports.REGION_LIKE_SQL)})) AS parts,
@@ -147,9 +158,9 @@ QUERIES = {
     "text_preview": _post(lambda c: text.preview(c).alias("preview")),
     "content_hash": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("content_hash")),
     "message_hash": lambda s, d: P.posts(s, d).select("post_id", reports.message_hash(F.col("channel_key"), F.col("message_id"), F.when(F.col("post_id") % 3 == 0, F.col("posted_at").cast("string"))).alias("hash")),
-    "alias_expand": lambda s, d: gazetteer.region_aliases(P.regions(s)),
+    "alias_expand": lambda s, d: gazetteer.region_aliases(s.read.parquet(f"{d}/customer.parquet").selectExpr(*_TABLE_REGIONS.split(";"))),
     "region_match": region_match,
-    "city_match": lambda s, d: gazetteer.match_cities(P.posts(s, d), "post_id", "raw_text", _cities(s)),
+    "city_match": _city_match,
     "districts": _listed(gazetteer.district_array),
     "fallback_cities": _listed(gazetteer.fallback_city_array),
     "region_mentions": lambda s, d: P.posts(s, d).select("post_id", F.explode(reports.region_mentions(F.col("raw_text"))).alias("mention")),
@@ -186,7 +197,7 @@ SELECT file, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS index, unnest
     "text_preview": f"{_P} SELECT post_id, array_to_string(string_split(raw_text, chr(10))[1:3], ' | ') AS preview FROM p",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "message_hash": f"""{_P} SELECT post_id, sha256('{{"c":"' || channel_key || '","m":' || message_id || ',"e":' || CASE WHEN post_id % 3 = 0 THEN '"' || strftime(posted_at, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(posted_at) % 1000000 <> 0 THEN '.' || rtrim(lpad(CAST(microsecond(posted_at) % 1000000 AS VARCHAR), 6, '0'), '0') ELSE '' END || '"' ELSE 'null' END || '}}') AS hash FROM p""",
-    "alias_expand": f"WITH {_ALIASES} SELECT code, name, ord, alias FROM al",
+    "alias_expand": f"WITH {_ALIASES.replace(P.regions_sql(), 'SELECT ' + _TABLE_REGIONS.replace(';', ',') + ' FROM customer')} SELECT code, name, ord, alias FROM al",
     "region_match": REGION_MATCH_SQL,
     "city_match": _CITY_SQL,
     "region_mentions": f"{_P}, {_MENTIONS} SELECT post_id, mention FROM mx",
@@ -194,16 +205,19 @@ SELECT file, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS index, unnest
 SELECT post_id, mention FROM mx WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.post_id = mx.post_id AND (contains({_NGEO('mention')}, {_NGEO('name')}) OR contains({_NGEO('name')}, {_NGEO('mention')})))""",
     "snap_summary": f"""WITH f AS ({FULL_SQL}) SELECT channel_key, count(*) AS total, count(*) FILTER (kind = 'event') AS events, count(*) FILTER (kind = 'noise') AS noise, count(*) FILTER (kind = 'meta') AS meta,
  round(CAST(count(*) FILTER (kind = 'event') AS DOUBLE) / count(*), 4) AS event_share FROM f GROUP BY channel_key""",
-    "gap_totals": f"""WITH f AS ({FULL_SQL}), p AS ({P.posts_sql()}), {_MENTIONS}, g AS ({REGION_MATCH_SQL}), n AS (SELECT post_id, count(*) AS regions FROM g GROUP BY post_id), c AS (SELECT post_id, count(*) AS mentions FROM mx GROUP BY post_id)
+    "gap_totals": f"""WITH f AS ({FULL_SQL}), p AS ({P.posts_sql()}), {_MENTIONS}, g AS ({REGION_MATCH_SQL}), n AS (SELECT post_id, count(*) AS regions FROM g GROUP BY post_id), ct AS ({_CITY_SQL}), pl AS (SELECT post_id, count(*) AS places FROM ct GROUP BY post_id),
+c AS (SELECT post_id, count(*) AS mentions FROM mx GROUP BY post_id)
 SELECT count(DISTINCT channel_key) AS files, count(*) AS blocks, count(*) FILTER (kind = 'event') AS event, count(*) FILTER (kind = 'noise') AS noise, count(*) FILTER (kind = 'meta') AS meta,
  count(*) FILTER (regions IS NULL) AS unknown_geo, count(*) FILTER (kind = 'event' AND regions IS NULL) AS event_unknown_geo,
- count(*) FILTER (kind = 'event' AND mentions >= 2) AS multi_region_like, count(*) FILTER (kind = 'event' AND mentions >= 2 AND coalesce(regions, 0) <= 1) AS multi_region_collapsed,
- count(*) FILTER (reason = 'event_type_not_detected') AS type_not_detected FROM f LEFT JOIN n USING (post_id) LEFT JOIN c USING (post_id)""",
-    "gap_rows": f"""WITH f AS ({FULL_SQL}), p AS ({P.posts_sql()}), {_MENTIONS}, g AS ({REGION_MATCH_SQL}), n AS (SELECT post_id, count(*) AS regions FROM g GROUP BY post_id), c AS (SELECT post_id, count(*) AS mentions FROM mx GROUP BY post_id),
-l AS (SELECT post_id, string_agg(mention, '|' ORDER BY mention) AS lost FROM mx WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.post_id = mx.post_id AND (contains({_NGEO('mention')}, {_NGEO('name')}) OR contains({_NGEO('name')}, {_NGEO('mention')}))) GROUP BY post_id),
-a AS (SELECT f.*, coalesce(regions, 0) AS regions, coalesce(mentions, 0) AS m, coalesce(lost, '') AS lost FROM f LEFT JOIN n USING (post_id) LEFT JOIN c USING (post_id) LEFT JOIN l USING (post_id)),
-i AS (SELECT *, 'event_with_unknown_geo' AS issue FROM a WHERE kind = 'event' AND regions = 0 UNION ALL SELECT *, 'multi_region_collapsed_to_single_target' FROM a WHERE kind = 'event' AND m >= 2 AND regions <= 1 UNION ALL SELECT *, 'event_type_not_detected' FROM a WHERE reason = 'event_type_not_detected')
-SELECT post_id, issue, event_type, array_to_string(string_split(raw_text, chr(10))[1:3], ' | ') AS preview, regions, lost FROM i""",
+ count(*) FILTER (kind = 'event' AND mentions >= 2) AS multi_region_like, count(*) FILTER (kind = 'event' AND mentions >= 2 AND coalesce(places, 0) <= 1) AS multi_region_collapsed,
+ count(*) FILTER (reason = 'event_type_not_detected') AS type_not_detected FROM f LEFT JOIN n USING (post_id) LEFT JOIN pl USING (post_id) LEFT JOIN c USING (post_id)""",
+    "gap_rows": f"""WITH f AS ({FULL_SQL}), p AS ({P.posts_sql()}), {_MENTIONS}, g AS ({REGION_MATCH_SQL}), n AS (SELECT post_id, count(*) AS regions FROM g GROUP BY post_id), ct AS ({_CITY_SQL}), pl AS (SELECT post_id, count(*) AS places FROM ct GROUP BY post_id),
+c AS (SELECT post_id, count(*) AS mentions, string_agg(mention, '|' ORDER BY mention) AS said FROM mx GROUP BY post_id), nm AS (SELECT post_id, name FROM g UNION SELECT post_id, name FROM ct), rs AS (SELECT post_id, string_agg(name, '|' ORDER BY name) AS resolved FROM nm GROUP BY post_id),
+l AS (SELECT post_id, string_agg(mention, '|' ORDER BY mention) AS lost FROM mx WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.post_id = mx.post_id AND (contains({_NGEO('mention')}, {_NGEO('name')}) OR contains({_NGEO('name')}, {_NGEO('mention')}))) GROUP BY post_id),
+a AS (SELECT f.*, coalesce(regions, 0) AS regions, coalesce(places, 0) AS places, coalesce(mentions, 0) AS m, coalesce(said, '') AS mentions, coalesce(resolved, '') AS resolved, coalesce(lost, '') AS lost
+ FROM f LEFT JOIN n USING (post_id) LEFT JOIN pl USING (post_id) LEFT JOIN c USING (post_id) LEFT JOIN rs USING (post_id) LEFT JOIN l USING (post_id)),
+i AS (SELECT *, 'event_with_unknown_geo' AS issue FROM a WHERE kind = 'event' AND regions = 0 UNION ALL SELECT *, 'multi_region_collapsed_to_single_target' FROM a WHERE kind = 'event' AND m >= 2 AND places <= 1 UNION ALL SELECT *, 'event_type_not_detected' FROM a WHERE reason = 'event_type_not_detected')
+SELECT post_id, issue, event_type, array_to_string(string_split(raw_text, chr(10))[1:3], ' | ') AS preview, raw_text, regions, places, mentions, resolved, lost FROM i""",
     "metrics_by_type": f"WITH f AS ({FULL_SQL}) SELECT event_type, count(*) AS posts FROM f WHERE kind = 'event' GROUP BY event_type",
     "flat_report": f"""WITH f AS ({FULL_SQL}), g AS ({REGION_MATCH_SQL}) SELECT post_id AS index, kind, coalesce(reason, '') AS reason, coalesce(event_type, '') AS event_type, coalesce(severity, '') AS severity,
  coalesce(n, 0) AS count, coalesce(code, '') AS region_code, CASE WHEN code IS NULL THEN 'unknown' ELSE 'region' END AS precision, 'local' AS source FROM f LEFT JOIN (SELECT * FROM g WHERE rank = 1) USING (post_id)""",
