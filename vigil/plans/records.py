@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import identity, integrity, status, trust
+from ..operators import identity, integrity, providers, status, trust, validation
 from ..sources import snapshots
 from ..streaming.status import with_locations
 from .domain import _CONTRIBUTION, _HISTORY, _NORM, _SCORED_SQL, _split, _t, history
@@ -159,6 +159,46 @@ def located_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("event_at", "located_at")})
 
 
+# provider steps: parts as posts that ask for their type, a cache of some answers, and a stand-in that answers by the text's length
+_ASKING = "p_partkey AS post_id, concat(CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE concat('  ', p_type) END, CASE WHEN p_size % 3 = 0 THEN concat(' ', p_brand) ELSE ' ' END) AS raw_text, CASE WHEN p_partkey % 3 <> 1 THEN CAST(p_size AS VARCHAR(9)) END AS region_code"
+
+
+def stand_in() -> providers.Client:
+    """A provider without a network: some questions it can't answer, some make it fail."""
+
+    def client(rows: list[dict]) -> list[dict | None]:
+        out = []
+        for r in rows:
+            n = len(r["raw_text"].strip())
+            if n % 11 == 0:
+                raise TimeoutError
+            out.append(None if n % 5 == 0 else {"place_name": r["raw_text"].strip().lower()[:6] if n % 4 else None, "region_code": r["region_code"] if n % 3 else None, "place_fias": f"f{n}" if n % 2 else None, "lat": n / 2, "lon": -n / 4})
+        return out
+
+    return client
+
+
+def _step(prefix: str, provider: str, fall_back: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        posts, cache = _t(spark, sf_dir, "part").selectExpr(*_split(_ASKING)), snapshots.fresh_path(spark, "answers")
+        norm = F.concat(F.lit(prefix), providers.query_norm(F.col("raw_text")))
+        held = posts.select(norm.alias("query_norm")).distinct().where(F.length("query_norm") % 7 == 0)
+        held = held.selectExpr("query_norm", "'llm' AS provider", "'Cached' AS place_name", "CASE WHEN length(query_norm) % 2 = 0 THEN '77' END AS region_code", "'f' AS place_fias", "CAST(1 AS DOUBLE) AS lat", "CAST(2 AS DOUBLE) AS lon", "CAST(0.5 AS DOUBLE) AS confidence", "CAST(1 AS BIGINT) AS fetched_at")
+        snapshots.put(held, cache, ["query_norm", "provider"], [F.desc("fetched_at")], batch_id="held")
+        return providers.provider_step(posts, cache, stand_in, provider, 2, prefix, fall_back)
+
+    return run
+
+
+def _step_sql(prefix: str, fall_back: bool) -> str:
+    own = "region_code" if fall_back else "NULL"
+    return f"""WITH p AS (SELECT {_ASKING} FROM part), q AS (SELECT *, trim(lower(raw_text)) AS t, length('{prefix}' || trim(lower(raw_text))) AS k, length(trim(raw_text)) AS n FROM p),
+f AS (SELECT t, min(post_id) AS asker, arg_min({{'r': region_code}}, post_id).r AS hint FROM q WHERE k % 7 <> 0 GROUP BY t)
+SELECT post_id, TRUE AS cache_hit, 'Cached' AS name, 'locality' AS kind, CASE WHEN k % 2 = 0 THEN '77' ELSE coalesce(region_code, '') END AS region_code, 'f' AS fias_id, 1.0::DOUBLE AS lat, 2.0::DOUBLE AS lon FROM q WHERE k % 7 = 0
+UNION ALL SELECT post_id, post_id <> asker, CASE WHEN n % 4 <> 0 THEN left(t, 6) ELSE t END, 'locality', CASE WHEN post_id <> asker THEN coalesce(CASE WHEN n % 3 <> 0 THEN hint END, region_code, '') ELSE coalesce(CASE WHEN n % 3 <> 0 THEN hint END, {own}) END,
+ CASE WHEN n % 2 = 1 THEN 'f' || n END, n / 2::DOUBLE, -n / 4::DOUBLE FROM q JOIN f USING (t) WHERE k % 7 <> 0 AND n % 5 <> 0 AND n % 11 <> 0"""
+
+
 # a graph of keys: nations hold customers, customers one another, orders and their lines hang on them
 _GRAPH = (
     integrity.Edge("place", "region_id", "region", on_delete="cascade"), integrity.Edge("place", "parent_id", "place", on_delete="cascade"), integrity.Edge("alias", "place_id", "place", on_delete="cascade"),
@@ -205,7 +245,29 @@ _DANGLING = "".join(
 )
 
 
+# match-or-create with its effects: customers are stored places, orders are candidates that name them by id, name or alias
+_CANDIDATES = "o_orderkey AS seq, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_custkey % 3 AS VARCHAR(9)) END AS region_id, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('Town ', CAST(o_custkey % 200 AS VARCHAR(9)), CASE WHEN o_orderkey % 4 = 0 THEN concat(' ', o_orderstatus) ELSE '' END) END AS name, CASE WHEN o_orderkey % 3 = 0 THEN concat('f', CAST(o_custkey % 150 AS VARCHAR(9))) END AS fias_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 90 AS DOUBLE) END AS lat, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 180 AS DOUBLE) END AS lon"
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    rows = _t(spark, sf_dir, "orders").selectExpr(*_split(_CANDIDATES), *_split(_CONTRIBUTION)[2:4])
+    held = "c_custkey AS place_id, CAST(c_custkey % 3 AS VARCHAR(9)) AS region_id, concat('Town ', CAST(c_custkey AS VARCHAR(9))) AS name, CASE WHEN c_custkey % 2 = 0 THEN concat('f', CAST(c_custkey AS VARCHAR(9))) END AS fias_id, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon, CAST(c_custkey % 10 AS DOUBLE) / 10 AS score, c_custkey % 4 = 0 AS is_trusted, 'unverified' AS state, array('catalog') AS providers"
+    customer = _t(spark, sf_dir, "customer").where("c_custkey <= 100")
+    aliases = customer.where("c_custkey % 7 = 0").selectExpr("c_custkey AS place_id", "concat('town ', CAST(c_custkey + 100 AS VARCHAR(9))) AS alias_norm", "c_custkey AS ord")
+    return validation.validate(rows, customer.selectExpr(*_split(held)), aliases)
+
+
+def validate_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate's decision, with the evidence that it left."""
+    out = _validated(spark, sf_dir)
+    return out["decisions"].join(out["evidence"].drop("place_id"), "seq", "left")
+
+
 QUERIES = {
+    "validate_effects": validate_effects,
+    "validate_places": lambda s, d: _validated(s, d)["places"].withColumn("providers", F.array_join("providers", ",")),
+    "dadata_step": _step("", "dadata", False),
+    "nominatim_step": _step("nominatim:", "nominatim", True),
     "status_at_events": status_at_events,
     "located_events": located_events,
     "cascade_delete": cascade_delete,
@@ -223,6 +285,8 @@ QUERIES = {
 _REGION_SQL = lambda what: _upsert_sql(f"SELECT {_REGIONS} FROM supplier", f"SELECT {_DRAFTS} FROM customer", _REGION_KEYS, _REGION_COLS, ("fias_id",), what)
 
 ORACLE = {
+    "dadata_step": _step_sql("", False),
+    "nominatim_step": _step_sql("nominatim:", True),
     "status_at_events": f"""WITH h AS (SELECT place_id, status_code, event_at, arg_max(action, event_id) AS action FROM (SELECT {_HISTORY} FROM events) GROUP BY ALL), q AS (SELECT {_ASKED} FROM orders)
 SELECT q.q, q.place_id, q.status_code, q.at, coalesce(h.action = 'activate', FALSE) AS is_active, CASE WHEN h.action = 'activate' THEN h.event_at END AS since
 FROM q ASOF LEFT JOIN h ON q.place_id = h.place_id AND q.status_code = h.status_code AND q.at >= h.event_at""",
