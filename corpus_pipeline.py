@@ -42,16 +42,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once. Rows with equal id and text are one document, of
-    rows with equal id and different texts none replaces the other; null ids and texts without words have no near copies and stay."""
+    """Of each group of near copies the document with the smallest id, once. Rows with equal id and text are one document: the
+    row whose other columns are smallest as JSON stays. Of rows with equal id and different texts none replaces the other; null
+    ids and texts without words have no near copies and stay; an empty table stays empty; a very long text is worked on in parts."""
     linked = jaccard.link_documents(docs.select("doc_id", "text"), k=SHINGLE, percent=PERCENT)
     ids = written(linked.select("doc_id", F.coalesce(F.col("component_id") != F.col("doc_id"), F.lit(False)).alias("copy")), "copies")
     copies = ids.where("copy").select("doc_id").distinct()
     small = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     kept = docs.join(F.broadcast(copies) if small else copies, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     if ids.where("doc_id is not null and not copy").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        repeated = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = repeated.unionByName(kept.where("doc_id is null"))
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = kept.where("doc_id is not null").groupBy("doc_id", F.sha2("text", 256).alias("_t")).agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("_row"))
+        kept = one.select("_row.*").unionByName(kept.where("doc_id is null"))
     return kept
 
 
@@ -71,7 +73,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row; a null text counts as empty and has no ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row; a null text counts as empty and has no ids; no rows give no rows."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, bpe.load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN, with_ids=True)
