@@ -811,6 +811,13 @@ def test_pipeline_equals_plain_version(spark, codec):
 CLASHING = "doc_id long, text string, lang string, source string, n_chars int, _c0 long, _k string, _r int, kept boolean, h long, component_id string, n_words int, `a.b` string"
 
 
+def test_of_repeated_rows_the_smallest_stays(spark):
+    rows = [(1, SAY, b, c) for b, c in (("b", 2), ("a", 9), (None, 1), ("a", 9))] + [(1, OTHER, "z", 0), (2, "x", "q", 1), (None, SAY, "n", 1), (None, SAY, "n", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, c int").repartition(4)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, SAY, "a", 9), (1, OTHER, "z", 0), (2, "x", "q", 1), (None, SAY, "n", 1), (None, SAY, "n", 1)], key=str)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_awkward_rows(spark, odd, name):
     """Null ids and texts, a text beyond a slice, repeated rows and ids, and columns named like the operators' own."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from math import floor
 
@@ -91,6 +92,26 @@ def test_parts_of_a_long_text_hold_each_run_once(monkeypatch, k):
     assert got == want
 
 
+def test_words_of_a_long_text_are_those_of_a_short_one(monkeypatch):
+    rng = random.Random(4)
+    texts = ["a b", " ".join("ü" * rng.randint(1, 4) + rng.choice("abC,.") for _ in range(400)), None, "x" * 900 + " end", " " * 700]
+    column = pa.array(texts)
+    whole = [(w.first, w.n, w.start.tolist(), w.end.tolist(), w.begin.tolist(), w.hashes.tolist(), w.prefixes(3).tolist()) for t in texts for w in words.words_of(pa.array([t], pa.string()), words.SPACED_LOWER)]
+    monkeypatch.setattr(words, "SLICE_BYTES", 100)
+    got = [(w.first, w.n, w.start.tolist(), w.end.tolist(), w.begin.tolist(), w.hashes.tolist(), w.prefixes(3).tolist()) for t in texts for w in words.words_of(pa.array([t], pa.string()), words.SPACED_LOWER)]
+    assert got == whole
+    assert [w.first for w in words.words_of(column, words.SPACED_LOWER)] == [0, 1, 2, 3, 4]
+
+
+def test_a_very_long_text_takes_a_few_times_its_bytes():
+    column = pa.array(["some words that come again, and again\n" * 400_000])  # 15 MB
+    tracemalloc.start()
+    n = sum(len(w.hashes) for w in words.words_of(column, words.SPACED_LOWER))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 7 * 400_000 and peak < 10 * column.nbytes + (80 << 20)
+
+
 def test_counts_of_parts_are_those_of_the_whole(monkeypatch):
     text = "a b c. a b c d a b " * 60
     batch = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array([text, "a b"])], ["lang", "text"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -88,12 +89,16 @@ class Words:
     end: np.ndarray
     begin: np.ndarray
     hashes: np.ndarray
-    total: np.ndarray  # the running sum that hashes are taken from
+    total: np.ndarray | None  # the running sum that hashes are taken from; a long document has none
+    cuts: list[int] | None = None  # where the parts of a long document begin and end
+    kind: WordClass | None = None
 
     def prefixes(self, k: int) -> np.ndarray:
         """Hashes of the first k bytes of each word, of the whole of a shorter one."""
         if not len(self.start):
             return self.hashes
+        if self.total is None:
+            return np.concatenate([_words(0, self.buf[a:b], np.array([0, b - a]), self.kind).prefixes(k) for a, b in pairwise(self.cuts)])
         _, down = _Powers.to(len(self.buf))
         return mix((self.total[np.minimum(self.end, self.start + k)] - self.total[self.start]) * down[self.start])
 
@@ -136,9 +141,36 @@ def _words(first: int, buf: np.ndarray, offsets: np.ndarray, kind: WordClass) ->
     return Words(first, n, buf, start, end, np.searchsorted(start, offsets), hashes, total)
 
 
+def _part_end(buf: np.ndarray, to: int, kind: WordClass) -> int:
+    """Where a part that should end SLICE_BYTES beyond `to` does: at the next byte that is none of a word."""
+    to = min(to + SLICE_BYTES, len(buf))
+    while to < len(buf):
+        gap = np.flatnonzero(~kind.is_word[buf[to : to + 4096]])
+        if len(gap):
+            return to + int(gap[0])
+        to = min(to + 4096, len(buf))
+    return to
+
+
+def _long_words(first: int, buf: np.ndarray, kind: WordClass) -> Words:
+    """The words of one long document, worked out part by part: what stays are places and hashes of its words."""
+    cuts = [0]
+    start, end, hashes = [], [], []
+    while cuts[-1] < len(buf):
+        a, b = cuts[-1], _part_end(buf, cuts[-1], kind)
+        w = _words(first, buf[a:b], np.array([0, b - a]), kind)
+        start.append(w.start + a)
+        end.append(w.end + a)
+        hashes.append(w.hashes)
+        cuts.append(b)
+    n = sum(map(len, hashes))
+    return Words(first, 1, buf, np.concatenate(start), np.concatenate(end), np.array([0, n]), np.concatenate(hashes), None, cuts, kind)
+
+
 def words_of(column: pa.Array, kind: WordClass) -> Iterator[Words]:
+    """The words of all documents; one of twice SLICE_BYTES and more takes some ten times its bytes, others some forty times a slice."""
     for first, buf, offsets in text_slices(column):
-        yield _words(first, buf, offsets, kind)
+        yield _words(first, buf, offsets, kind) if len(buf) <= 2 * SLICE_BYTES else _long_words(first, buf, kind)
 
 
 def parts_of(column: pa.Array, kind: WordClass, k: int) -> Iterator[tuple[Words, int]]:
@@ -153,13 +185,7 @@ def parts_of(column: pa.Array, kind: WordClass, k: int) -> Iterator[tuple[Words,
             continue
         at = to = shared = 0
         while to < len(buf):
-            to = min(to + SLICE_BYTES, len(buf))
-            while to < len(buf):  # on to the next byte that is none of a word
-                gap = np.flatnonzero(~kind.is_word[buf[to : to + 4096]])
-                if len(gap):
-                    to += int(gap[0])
-                    break
-                to = min(to + 4096, len(buf))
+            to = _part_end(buf, to, kind)
             w = _words(first, buf[at:to], np.array([0, to - at]), kind)
             yield w, shared
             shared = min(k - 1, len(w.start))
