@@ -38,7 +38,7 @@ TEXTS = [
 ]
 ROWS = {
     "documents": [(i + 1, t, [None, "en", "de"][i % 3], None if i % 4 == 0 else "web", i, 5, 6, 7, 8, 9, "x", None) for i, t in enumerate(TEXTS)],
-    "benchmark": [("b1", SAY[:200]), ("b2", "the lazy dog"), ("b3", None), ("b4", ""), ("b5", SAY[:200]), ("b6", "ТЕКСТ 漢字"), (None, OTHER[:150]), (None, "quick brown"), ("b7", OTHER[:150])],
+    "benchmark": [("b1", SAY[:200]), ("b2", "the lazy dog"), ("b3", None), ("b4", ""), ("b5", SAY[:200]), ("b6", "ТЕКСТ 漢字"), (None, SAY[:150]), (None, "quick brown"), ("b7", SAY[30:200])],
     "pages": [(1, "u", None, "z"), (2, None, ""), (3, "u", "<p>" + OTHER * 3), (4, "u\r\nv", "<p>" + OTHER * 3), (5, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 100), (6, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 100), (7, "u", "ü" * 600)],
     "conversations": [(1, 0, "user", None), (1, 1, "assistant", "<|end|>\n"), (1, 2, "user", r"<\|a|>"), (2, 0, "assistant", ""), (3, 1, "a|>b", "x"), (3, 1, "assistant", "tie"), (3, 0, None, "first")],
     "labels": [(1, 0, 1), (2, None, None)],
