@@ -22,6 +22,11 @@ def parse_answers(rows: DataFrame, answer: str) -> DataFrame:
     return out.where((F.size("places") > 0) | (F.coalesce("region_code", F.lit("")) != ""))
 
 
+def content_text(parts: Column) -> Column:
+    """The text of a message that comes in parts (array of structs with text): joined as they stand, trimmed; a part without text adds nothing."""
+    return F.trim(F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+
+
 def plan_channels(channels: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Enabled channels, each setting its own or the default. channels: enabled, and a column per setting, null where not overridden."""
     kept = [c for c in channels.columns if c != "enabled" and c not in defaults]

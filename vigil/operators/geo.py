@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,9 +26,26 @@ def step_order(value: str | None) -> tuple[str, ...]:
     return named or STEPS
 
 
-def run_steps(rows: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], order: tuple[str, ...], last: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rows through the steps in order, those that are there, and through `last` in the end."""
-    return last(reduce(lambda df, s: steps[s](df), [s for s in order if s in steps], rows))
+def run_steps(
+    rows: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], order: tuple[str, ...], last: Callable[[DataFrame], DataFrame],
+    stored: Callable[[DataFrame, str], DataFrame] | None = None, log: list[dict] | None = None,
+) -> DataFrame:
+    """rows through the steps in order, those that are there, and through `last` in the end.
+
+    A step that fails is left out and the others go on with what was there before it. Spark runs a step when its rows are
+    asked for; with `stored` (rows, name) they are, step by step, so that a failure in a task is the step's own too. log gets
+    step, ok, ms and error of each.
+    """
+    for name in [s for s in order if s in steps]:
+        began, error = time.monotonic(), None
+        try:
+            after = steps[name](rows)
+            rows = after if stored is None else stored(after, name)
+        except Exception as e:  # noqa: BLE001 - whatever a step raises is its own failure
+            error = f"{type(e).__name__}: {e}"[:500]
+        if log is not None:
+            log.append({"step": name, "ok": error is None, "ms": int(1000 * (time.monotonic() - began)), "error": error})
+    return last(rows)
 
 
 def catalog_places(posts: DataFrame, key: str, text: str, regions: DataFrame, cities: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_geo, preview, squeeze, trim
+from . import merge
 
 # What looks like a mention of a region. Its last word ends where a Latin letter, digit or underscore begins or ends.
 REGION_LIKE_SQL = r"(?i)(област|край|республик|респ\.|обл\.|ао[A-Za-z0-9_])"
@@ -92,3 +93,44 @@ def flat(classified: DataFrame, found: DataFrame, key: str = "post_id") -> DataF
         F.col(key).alias("index"), "kind", text("reason"), text("event_type"), text("severity"), F.coalesce("n", F.lit(0)).alias("count"),
         F.coalesce("code", F.lit("")).alias("region_code"), F.when(F.col("code").isNull(), "unknown").otherwise("region").alias("precision"), F.lit("local").alias("source"),
     )
+
+
+# Providers in the order in which a report lists those that were tried.
+TRIED = ("dadata", "nominatim", "llm")
+# End of fixed values.
+
+
+def nested(classified: DataFrame, regions: DataFrame, places: DataFrame, answers: DataFrame, key: str = "post_id", version: str = "0.1.0") -> DataFrame:
+    """One nested report per post: raw, classification, event, geo, enrich, diagnostics.
+
+    classified: key, raw_text, hash, channel_key, posted_at and what classify gives; regions: key, code, name; places: key,
+    name, kind, region_code, lat, lon; answers: key, provider, cache_hit of the providers that were asked. What is no event
+    has an empty geo and enrich and no event; places and regions are listed in order of their names, the smaller list of each
+    post in one row.
+    """
+    spark_array = lambda rows, out: rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*(c for c in rows.columns if c != key)))).alias(out))
+    listed_regions, listed_places = regions.select(key, "name", "code").distinct(), places.select(key, "name", "kind", "region_code", "lat", "lon").distinct()
+    asked = answers.groupBy(key).agg(F.collect_set("provider").alias("_asked"), F.bool_or(F.coalesce("cache_hit", F.lit(False)) & F.col("provider").isin("dadata", "nominatim")).alias("_hit"))
+    level = merge.precision(places, regions.select(key), key, classified)
+    rows = classified
+    for part in (spark_array(listed_regions, "_regions"), spark_array(listed_places, "_places"), asked, level):
+        rows = rows.join(part, key, "left")
+    event = F.col("kind") == "event"
+    empty = lambda c: F.array().cast(rows.schema[c].dataType)
+    of_event = lambda c: F.when(event, F.coalesce(c, empty(c))).otherwise(empty(c))
+    tried = F.when(event, F.filter(F.array(*(F.lit(p) for p in TRIED)), lambda p: F.array_contains(F.coalesce("_asked", empty("_asked")), p))).otherwise(empty("_asked"))
+    providers = F.transform(of_event("_places"), lambda _: F.lit("db"))
+    counts = merge.enrich_counts(tried, F.size(of_event("_regions")) + F.size(of_event("_places")), F.col("_hit"))
+    none = F.struct(F.lit(False).alias("invoked"), F.lit(0).alias("hits"), F.lit(0).alias("misses"), F.lit(False).alias("cache_hit"))
+    enrich = F.when(event, counts).otherwise(none)
+    source = F.when(event & F.col("_asked").isNotNull(), merge.source_label(F.concat(tried, F.array_distinct(providers)))).otherwise("local")
+    return rows.select(
+        key,
+        F.struct(F.col("raw_text").alias("text"), "hash", "channel_key", "posted_at").alias("raw"),
+        F.struct("kind", F.when(~event, F.col("reason")).alias("reason")).alias("classification"),
+        F.when(event, F.struct("event_type", "severity", "repeat", F.col("n").alias("count"), "direction", "macro_zone")).alias("event"),
+        F.struct(of_event("_regions").alias("regions"), of_event("_places").alias("places"), F.when(event, F.col("precision")).otherwise("unknown").alias("precision"),
+            F.when(event, F.col("completeness")).otherwise(0.0).alias("completeness"), source.alias("source")).alias("geo"),
+        F.struct(enrich["invoked"].alias("invoked"), tried.alias("providers_tried"), enrich["hits"].alias("hits"), enrich["misses"].alias("misses"), enrich["cache_hit"].alias("cache_hit")).alias("enrich"),
+        F.struct(F.lit(version).alias("parser_version"), F.array().cast("array<string>").alias("warnings")).alias("diagnostics"),
+    )

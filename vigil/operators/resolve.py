@@ -35,6 +35,21 @@ def decide(matched: DataFrame) -> DataFrame:
     return matched.withColumn("decision", decision)
 
 
+def tallies(decided: DataFrame, message: str) -> DataFrame:
+    """(message, known, created, rejected, has_accepted): decisions of each message's places, and whether any was accepted."""
+    n = lambda v: F.count(F.when(F.col("decision").isin(*v), 1))
+    known, created = ("matched", "matched_existing"), ("created", "created_new")
+    accepted = F.coalesce(F.bool_or(F.col("decision").isin(*known, *created)), F.lit(False))
+    return decided.groupBy(message).agg(n(known).alias("known"), n(created).alias("created"), n(("rejected",)).alias("rejected"), accepted.alias("has_accepted"))
+
+
+def message_totals(tallied: DataFrame) -> DataFrame:
+    """One row over messages: places by decision, messages with an accepted place and without."""
+    accepted = F.col("has_accepted")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "created", "rejected")]
+    return tallied.agg(F.count(F.lit(1)).alias("messages"), *sums, F.count(F.when(accepted, 1)).alias("accepted"), F.count(F.when(~accepted, 1)).alias("none_accepted"))
+
+
 def decide_api(matched: DataFrame, fallback: str) -> DataFrame:
     """matched with decision and cached, as the service decides: a place that is found needs no name, and each verdict has its own
     cache write (plain, validated, or none). matched's region_id is the candidate's or the fallback column's.

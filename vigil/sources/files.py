@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .config import read_json
+
 #: The first pair of numbers of the first list of coordinates in a GeoJSON text; other lists of numbers, as of a bounding box, don't count.
 _PAIR = r'"coordinates"\s*:[\s\[]*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*,\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)'
 REPORT_COLUMNS = ("index", "kind", "reason", "event_type", "severity", "count", "region_code", "precision", "source")
@@ -35,16 +40,12 @@ def read_cities(spark: SparkSession, path: str) -> DataFrame:
 
 def read_override(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON array of override rows; an absent file has none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return read_json(spark, path, schema)
 
 
 def artifact_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(key, bytes, sha256) of every file below path; key: its path from there on."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
+    root = (urlparse(path).path if ":" in path else os.path.abspath(path)).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     below = F.substring_index("path", root + "/", -1) if root else F.col("path")
     return files.select(below.alias("key"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
