@@ -55,12 +55,14 @@ def catalog_places(posts: DataFrame, key: str, text: str, regions: DataFrame, ci
     first region; of a post without one only cities are kept.
     """
     t = F.col(text)
-    no = F.lit(None).cast("double")
-    listed = lambda column, kind, base: posts.select(key, F.posexplode(column).alias("_i", "name")).where("name <> ''").select(key, (F.col("_i") + base).alias("ord"), F.lit(kind).alias("kind"), "name", no.alias("lat"), no.alias("lon"))
-    known = gazetteer.match_cities(posts, key, text, cities).select(key, (F.col("rank") + (1 << 20)).alias("ord"), F.lit("city").alias("kind"), "name", "lat", "lon")
-    every = listed(gazetteer.district_array(t), "district", 0).unionByName(known).unionByName(listed(gazetteer.fallback_city_array(t), "city", 1 << 21))
+    none = F.lit(None).cast("double")
+    entry = lambda kind, base: lambda x, i: F.struct((i + base).cast("int").alias("ord"), F.lit(kind).alias("kind"), x.alias("name"), none.alias("lat"), none.alias("lon"))
+    # what the text itself says, in one list per post
+    listed = F.filter(F.concat(F.transform(gazetteer.district_array(t), entry("district", 0)), F.transform(gazetteer.fallback_city_array(t), entry("city", 1 << 21))), lambda x: x["name"] != "")
+    said = posts.select(key, F.inline(listed))
+    known = gazetteer.match_cities(posts, key, text, cities).select(key, (F.col("rank") + (1 << 20)).cast("int").alias("ord"), F.lit("city").alias("kind"), "name", "lat", "lon")
     first = gazetteer.match_regions(posts, key, text, regions).where("rank = 1").select(key, F.col("code").alias("region_code"))
-    return gazetteer.dedupe_places(every, key).join(first, key, "left").where("region_code is not null or kind = 'city'").select(key, "ord", "kind", "name", "lat", "lon", "region_code")
+    return gazetteer.dedupe_places(said.unionByName(known), key).join(first, key, "left").where("region_code is not null or kind = 'city'").select(key, "ord", "kind", "name", "lat", "lon", "region_code")
 
 
 def _name(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import norm_geo
 from ..operators import gazetteer, geo, resolve, sync, tables
+from ..sources import snapshots
 from ..streaming import events
 from . import domain as D
 from . import posts as P
@@ -120,15 +121,18 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.classify(P.posts(spark, sf_dir), "raw_text")
 
 
-def event_location_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _parsed(spark, sf_dir).where("kind = 'event'").select("post_id", "raw_text")
+def event_location_rows(spark: SparkSession, sf_dir: str, parsed: DataFrame | None = None) -> DataFrame:
+    """Classified posts are stored, as they are read for regions and for cities."""
+    parsed = snapshots.written(_parsed(spark, sf_dir).select("post_id", "raw_text", "kind"), "parsed") if parsed is None else parsed
+    found = parsed.where("kind = 'event'").select("post_id", "raw_text")
     cities = gazetteer.match_cities(found, "post_id", "raw_text", _cities(spark)).select("post_id", "rank", "name", F.lit("city").alias("kind"), F.lit(None).cast("string").alias("region_code"))
     return geo.location_rows(gazetteer.match_regions(found, "post_id", "raw_text", P.regions(spark)), cities, "post_id")
 
 
 def event_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = _sorted(_parsed(spark, sf_dir).where("kind = 'event'").select("post_id", "posted_at"), [F.desc("posted_at"), F.desc("post_id")], 100)
-    return tables.of_parents(event_location_rows(spark, sf_dir), latest, "post_id")
+    parsed = snapshots.written(_parsed(spark, sf_dir).select("post_id", "raw_text", "kind", "posted_at"), "parsed")
+    latest = _sorted(parsed.where("kind = 'event'").select("post_id", "posted_at"), [F.desc("posted_at"), F.desc("post_id")], 100)
+    return tables.of_parents(event_location_rows(spark, sf_dir, parsed), latest, "post_id")
 
 
 _LOCATIONS_SQL = f"""f AS ({FULL_SQL}), g AS ({REGION_MATCH_SQL}), ci AS ({_CITY_SQL}), ev AS (SELECT post_id FROM f WHERE kind = 'event'), n AS (SELECT post_id, max(rank) AS n FROM g GROUP BY post_id),
@@ -142,8 +146,8 @@ def parse_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir)
-    n = event_location_rows(spark, sf_dir).groupBy("post_id").agg(F.count(F.lit(1)).alias("locations"))
+    parsed = snapshots.written(_parsed(spark, sf_dir), "parsed")
+    n = event_location_rows(spark, sf_dir, parsed).groupBy("post_id").agg(F.count(F.lit(1)).alias("locations"))
     rows = parsed.join(n, "post_id", "left").withColumn("invoked", F.col("n").isNull()).withColumn("cache_hit", F.col("n").isNull() & (F.col("post_id") % 4 == 0))
     return events.parse_events(rows, "post_id", "posted_at")
 
