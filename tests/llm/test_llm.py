@@ -120,6 +120,22 @@ def test_matrix_opens_few_groups_and_every_needed_one(spark, monkeypatch, k, per
     assert {(a, of[b][0]) for a, b in linked} <= opened
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 99, 100])
+def test_tokens_of_sets_that_may_link_stay(spark, percent):
+    """No pair of documents whose sizes allow a link loses a token that both have; tokens of far sizes alone are left out."""
+    rng = np.random.default_rng(percent)
+    n = [*rng.integers(1, 60, 60).tolist(), 90, 100, 81, 1000, 900, 810, 800, 20_000]
+    docs = [(i, m, int(t)) for i, m in enumerate(n) for t in set(rng.integers(0, 40, 6).tolist())]
+    df = spark.createDataFrame(docs, "id long, n int, token long").repartition(3)
+    rows = df.select("id", (jaccard.size_class(F.col("n"), percent) % 64).cast("int").alias("s"), "token")
+    got = {tuple(r) for r in jaccard.of_like_size(rows).collect()}
+    for i, a, t in docs:
+        if any(t == u and i != j and percent * max(a, b) <= 100 * min(a, b) for j, b, u in docs):
+            assert (i, t) in got
+    alone = spark.createDataFrame([(1, 3, 7), (2, 60, 7), (3, 3, 8), (4, 3, 8), (5, 63, 9), (6, 0, 9)], "id long, s int, token long")
+    assert sorted(map(tuple, jaccard.of_like_size(alone).collect())) == [(3, 8), (4, 8), (5, 9), (6, 9)]
+
+
 @pytest.mark.parametrize(("percent", "hits", "mixed"), [(60, 1, True), (60, 3, False), (80, 3, True), (80, 8, True)])
 def test_families_and_chains_equal_brute_force(spark, monkeypatch, percent, hits, mixed):
     """Near copies that drift apart, so that links are chains through groups that only a second round opens."""

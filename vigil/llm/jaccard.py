@@ -225,6 +225,25 @@ def need(n: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * n / F.lit(100))
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """Sets that link are of one class or of neighbouring ones."""
+    return F.floor(F.log(n) / F.lit(np.log(100 / percent) * 1.0001 if percent < 100 else 1.0))
+
+
+def of_like_size(rows: DataFrame) -> DataFrame:
+    """(id, token) of rows (id, token, s) whose token another document has that is of a like size: of the same class s, modulo 64, or the next.
+
+    One row per token tells which classes have it; where more documents than classes do, some class has several.
+    """
+    bit = F.expr("shiftleft(1L, s)")
+    around = F.expr("shiftleft(1L, (s + 1) % 64) | shiftleft(1L, (s + 63) % 64)")
+    tokens = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), F.bit_or(bit).alias("_m"))
+    crowded = F.col("_c") > F.bit_count("_m")
+    beside = F.expr("_m & (shiftleft(_m, 1) | shiftrightunsigned(_m, 63)) <> 0")
+    shared = tokens.where((F.col("_c") > 1) & (crowded | beside)).select("token", crowded.alias("_crowded"), "_m")
+    return rows.join(shared, "token").where(F.col("_crowded") | (F.col("_m").bitwiseAND(around) != 0)).select("id", "token")
+
+
 def wanted(n: Column, percent: int) -> Column:
     """Tokens among its rarest ones that a set of n shares with any set that it links with (of at least `need` tokens)."""
     return F.least(F.lit(HITS), need(need(n, percent), percent))
@@ -381,12 +400,11 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
         in_order = full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
         return written(in_order.mapInArrow(verify(known is not None), "a long, b long"), "links")
 
-    # the rarest tokens of all classes, those of several documents; only ids and tokens are dealt out
-    of_class = sets.select("id", "f1", "f2", "first").join(classes.select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi")
-    rows = of_class.select("id", F.explode("first").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    # the rarest tokens of all classes, those of several documents of like sizes; only ids and tokens are dealt out
+    of_class = sets.select("id", "f1", "f2", "n", "first").join(classes.select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi")
+    rows = of_class.select("id", (size_class(F.col("n"), percent) % 64).cast("int").alias("s"), F.explode("first").alias("token"))
     sized = classes.select("id", "g", "n", wanted(F.col("n"), percent).alias("least"))
-    live = written(rows.join(shared, "token", "left_semi").join(sized, "id"), "live")
+    live = written(of_like_size(rows).join(sized, "id"), "live")
     # first round: groups by themselves, and for each query its likeliest group
     first = written(likeliest(live), "first")
     links = opened_links(inside(live, first).withColumn("asks", F.lit(False)), None)
