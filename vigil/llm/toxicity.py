@@ -199,8 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, only: Co
     z = (F.col("pos") - p * F.col("n")) / F.sqrt(F.col("n") * F.lit(p * (1 - p)))
     best = counted.where(F.col("n") >= MIN_TEXTS).where(F.abs(z) >= MIN_Z).select("stem").collect()  # of the bounded sample
     tied = {r[0] for r in best}
-    own = lambda t: set(distinct_stems(pa.array([t]))[0].view(np.int64).tolist())
-    terms = (*terms, *(g for g in harvest(picked, p) if not (own(g[0]) | own(g[1])) & tied))
+    pairs = harvest(picked, p)
+    own = distinct_stems(pa.array([" ".join(g) for g in pairs], pa.string()))
+    terms = (*terms, *(g for g, stems_of in zip(pairs, own, strict=True) if tied.isdisjoint(stems_of.view(np.int64).tolist())))
     identity = distinct_stems(pa.array([" ".join(t for g in terms for t in g)]))[0]
     chosen = np.unique(np.concatenate([np.array([r[0] for r in best], np.int64).view(np.uint64), identity]))
     known = picked.sparkSession.sparkContext.broadcast(chosen)
@@ -220,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, only: Co
             y = batch.column("toxic").to_pylist() + [0] * len(pairs)
             a, b = index(texts + [s for s, _ in pairs]), [np.zeros(0, np.int32)] * len(texts) + index([c for _, c in pairs])
             for i in range(len(texts), len(a)):  # only what a swap changes counts, so that equal swaps are one row
-                a[i], b[i] = np.setdiff1d(a[i], b[i], True), np.setdiff1d(b[i], a[i], True)
+                was, now = set(a[i].tolist()), set(b[i].tolist())
+                a[i], b[i] = sorted(was - now), sorted(now - was)
             of = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(y, pa.int32()), pa.array(a, of), pa.array(b, of)], ["kind", "y", "a", "b"])
 
