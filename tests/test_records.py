@@ -215,3 +215,16 @@ def test_the_whole_key_graph_is_checked(spark):
     assert sorted(map(tuple, integrity.dangling(tables).collect())) == [("place_status", "t", "place_id"), ("places", "q", "region_id")]
     got = integrity.delete(tables, {"regions": tables["regions"]})
     assert sorted(map(tuple, got.collect())) == [("places", "p", "block region_id"), ("regions", "r", "delete")]
+
+
+def test_no_side_of_an_entity_join_passes_through_the_driver(spark, monkeypatch):
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (graph, identity):
+        monkeypatch.setattr(module, "written", lambda df, name, real=module.written: (plans.append(plan(df)), real(df, name))[1])
+    names = "id long, fias_id string, iso string, code string, name string, district string"
+    stored = snapshots.written(spark.createDataFrame([(7, "A", None, None, "old a", "x"), (3, None, "RU-C", None, "c", "x")], names), "stored")
+    batch = snapshots.written(spark.createDataFrame([(1, 100, "A", None, None, "c", "y"), (2, 101, None, None, "RU-C", "last", "y")], f"ord long, {names}"), "batch")
+    table, conflicts = identity.upsert_entities(stored, batch, identity.region_keys(), "ord")
+    assert [r["id"] for r in table.collect()] == [3] and [tuple(r) for r in conflicts.collect()] == [(3, 7)]
+    plans += [plan(table), plan(conflicts)]
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)

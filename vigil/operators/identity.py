@@ -1,7 +1,8 @@
 """Entities with several identities: rows that share any key are one, and batches are laid over stored rows by that.
 
 A key is a kind and a value, say an official id, a code and a name. Keys become rows, each key ties its rows to the smallest
-of them, and rounds of smallest labels find which rows hang together; no task gathers the rows of a key or of an entity.
+of them, and rounds of smallest labels find which rows hang together; no task gathers the rows of a key or of an entity, and
+the driver no side of a join, as all of them grow with the rows.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ def entities(rows: DataFrame, row: str, keys: dict[str, list[Column]]) -> DataFr
     """(row, entity): the smallest row number that shares keys with the row, directly or through others."""
     tied = written(key_rows(rows, row, keys), "keys")
     first = tied.groupBy("key").agg(F.min(row).alias("b"))
-    roots = components(tied.join(first, "key").where(F.col(row) != F.col("b")).select(F.col(row).alias("a"), "b"))
-    return rows.select(row).join(roots.select(F.col("id").alias(row), "root"), row, "left").select(row, F.coalesce("root", row).alias("entity"))
+    roots = components(tied.join(first.hint("merge"), "key").where(F.col(row) != F.col("b")).select(F.col(row).alias("a"), "b"))
+    return rows.select(row).join(roots.select(F.col("id").alias(row), "root").hint("merge"), row, "left").select(row, F.coalesce("root", row).alias("entity"))
 
 
 def upsert_entities(stored: DataFrame, batch: DataFrame, keys: dict[str, list[Column]], order: str, fill: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -51,16 +52,16 @@ def upsert_entities(stored: DataFrame, batch: DataFrame, keys: dict[str, list[Co
     new = batch.select(F.struct(F.lit(1).alias("late"), F.col(order).alias("at"), F.lit(None).cast(stored.schema["id"].dataType).alias("was")).alias("_r"), "id", *names)
     rows = written(old.unionByName(new), "rows")  # the row number: stored ones first, in order of id, then the batch in its order
     of = entities(rows, "_r", keys)
-    labelled = written(rows.join(of, "_r"), "labelled")
+    labelled = written(rows.join(of.hint("merge"), "_r"), "labelled")
     late = F.col("_r.late") == 1
     value = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_o"))) if c in fill else F.max_by(F.struct(c), F.col("_o"))[c]
     kept_id = F.coalesce(F.min(F.when(~late, F.col("id"))), F.min_by("id", F.when(late, F.col("_r"))))
     reached = labelled.groupBy("entity").agg(F.max("_r.late").alias("_late"), kept_id.alias("_id")).where("_late = 1")
-    touched = labelled.join(reached.select("entity", "_id"), "entity")
+    touched = labelled.join(reached.select("entity", "_id").hint("merge"), "entity")
     # of the stored rows only the kept one has a say, below all of the batch
     says = touched.where(late | (F.col("id") == F.col("_id"))).withColumn("_o", F.col("_r"))
     merged = says.groupBy("entity", "_id").agg(*(value(c).alias(c) for c in names)).select(F.col("_id").alias("id"), *names)
-    alone = labelled.join(reached.select("entity"), "entity", "left_anti").select("id", *names)
+    alone = labelled.join(reached.select("entity").hint("merge"), "entity", "left_anti").select("id", *names)
     conflicts = touched.where(~late & (F.col("id") != F.col("_id"))).select(F.col("_id").alias("id"), F.col("id").alias("other_id"))
     return merged.unionByName(alone), conflicts
 
