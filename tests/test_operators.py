@@ -2,16 +2,18 @@
 
 import datetime as dt
 import json
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions import rules
+from vigil.functions import rules, text
 from vigil.operators import gazetteer, geo, merge, tables, trust
-from vigil.plans import alerts, posts
+from vigil.plans import QUERIES, alerts, posts
 from vigil.sources import files
 from vigil.streaming import events as streams
 
@@ -232,3 +234,31 @@ def test_names_are_found_inside_the_row_and_by_join(spark, monkeypatch):
     assert run() == inside
     assert [(r[0], r[1], r[3], r[6]) for r in inside] == [(1, "a", 1, 1), (1, "b", 2, 3), (1, "c", 4, 4), (1, "d", 1, 2), (4, "a", 1, 2), (4, "b", 0, 1), (4, "d", 1, 3)]
     assert gazetteer.match_names(posts, "k", F.col("t"), aliases.where("false")).count() == 0
+
+
+def test_posts_are_dealt_out_before_their_texts_are_worked_on(spark, sf_dir):
+    one_group = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert one_group.rdd.getNumPartitions() == 1 and posts.posts(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["flat_report", "gap_rows", "nested_reports"])
+def test_reports_meet_their_posts_without_driver_or_second_shuffle(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins if "post_id" in line or "event_id" in line)
+    # what is shuffled are events by their id, before texts are made of them
+    assert "hashpartitioning(event_id" in plan
+
+
+def test_normal_forms_of_one_pass_equal_those_of_single_steps(spark):
+    r = random.Random(5)
+    signs = list("аЁёZ9 \t\r\n  ﻿\"'`()[]{}«»–,;:.!?_-/^|") + [" "] * 6
+    rows = spark.createDataFrame([("".join(r.choice(signs) for _ in range(r.randrange(40))),) for _ in range(3000)] + [(None,)], "t string")
+    step = lambda c, pattern, to=" ": text.trim(text.squeeze(F.regexp_replace(c, pattern, to)))
+    low = F.replace(F.lower("t"), F.lit("ё"), F.lit("е"))
+    region, city = step(F.regexp_replace(low, "[\"'`]", ""), "[()]"), step(F.regexp_replace(low, "[\"'`]", ""), "[_-]+")
+    want = {text.norm_region: region, text.region_haystack: step(region, "[,;:.!?()\\[\\]{}«»\"'–—−]"), text.norm_city: city, text.city_haystack: step(city, r"[,;:.!?()\[\]]"), text.norm_place: step(low, "[\"'`]", ""), text.norm_merge: text.trim(text.squeeze(low)), text.norm_geo: text.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))}
+    for make, plain in want.items():
+        assert rows.where(~make(F.col("t")).eqNullSafe(plain)).count() == 0, make.__name__
