@@ -51,16 +51,29 @@ def merge_regions(candidates: DataFrame, key: str) -> DataFrame:
     return named.groupBy(key, code.alias("code")).agg(first("name"), first("provider"))
 
 
+def _level(city: Column, coordinates: Column, district: Column) -> tuple[Column, Column]:
+    """Label and value of what has any place or region: whether there is a city, coordinates, a district."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    level = F.when(yes(city) & yes(coordinates), 0).when(yes(city), 1).when(yes(district), 2).otherwise(3)
+    label, value = ("locality_with_coords", "locality", "district", "region"), (1.0, 0.75, 0.5, 0.25)
+    at = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), level + 1)
+    return at(label), at(value)
+
+
+def precision_of(places: Column, regions: Column) -> tuple[Column, Column]:
+    """precision and completeness of a post from the lists of its places (kind, lat, lon) and regions, null where it has none."""
+    label, value = _level(F.exists(places, lambda p: p["kind"].isin(*CITY_KINDS)), F.exists(places, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull()), F.exists(places, lambda p: p["kind"] == "district"))
+    none = F.coalesce(F.size(places), F.lit(0)) + F.coalesce(F.size(regions), F.lit(0)) <= 0
+    return F.when(none, "unknown").otherwise(label), F.when(none, 0.0).otherwise(value)
+
+
 def precision(places: DataFrame, regions: DataFrame, key: str, posts: DataFrame | None = None) -> DataFrame:
     """(key, precision, completeness) of posts with any place or region; of all posts, if given: unknown and 0 without either."""
     city = F.col("kind").isin(*CITY_KINDS)
     p = places.groupBy(key).agg(F.bool_or(city).alias("c"), F.bool_or(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("x"), F.bool_or(F.col("kind") == "district").alias("d"))
     both = p.join(regions.select(key).distinct(), key, "full_outer")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    level = F.when(yes(F.col("c")) & yes(F.col("x")), 0).when(yes(F.col("c")), 1).when(yes(F.col("d")), 2).otherwise(3)
-    label, value = ("locality_with_coords", "locality", "district", "region"), (1.0, 0.75, 0.5, 0.25)
-    at = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), level + 1)
-    found = both.select(key, at(label).alias("precision"), at(value).alias("completeness"))
+    label, value = _level(F.col("c"), F.col("x"), F.col("d"))
+    found = both.select(key, label.alias("precision"), value.alias("completeness"))
     if posts is None:
         return found
     return posts.select(key).distinct().join(found, key, "left").select(key, F.coalesce("precision", F.lit("unknown")).alias("precision"), F.coalesce("completeness", F.lit(0.0)).alias("completeness"))
