@@ -15,7 +15,7 @@ _ASKED = "event_id AS post_id, CASE event_id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN '
 
 def nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested report of each post, its paths as columns."""
-    rows = P.posts(spark, sf_dir).select("post_id", "posted_at", F.sha2("raw_text", 256).alias("hash")).join(classified_posts(spark, sf_dir), "post_id")
+    rows = P.posts(spark, sf_dir).select("post_id", "posted_at", F.sha2("raw_text", 256).alias("hash")).join(classified_posts(spark, sf_dir).hint("merge"), "post_id")
     places = _city_match(spark, sf_dir).select("post_id", "name", F.lit("city").alias("kind"), F.lit(None).cast("string").alias("region_code"), F.when(F.col("name") != "Тула", F.col("lat")).alias("lat"), "lon")
     asked = _t(spark, sf_dir, "events").where("event_id % 5 <> 0").selectExpr(*_split(_ASKED))
     r = reports.nested(rows, region_match(spark, sf_dir), places, asked)
