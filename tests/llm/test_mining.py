@@ -310,3 +310,12 @@ def test_most_vectors_are_decided_by_the_product():
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, vec_id long, embedding array<float>")
     assert phrases.collocations(empty).collect() == simhash.near_duplicates(empty).collect() == centroids.cluster(empty).collect() == []
+
+
+def test_only_frequent_phrases_of_the_last_size_become_rows(spark):
+    docs = spark.createDataFrame([("en", "a b c. b c d. " * 3 + "a b c d")], "lang string, text string")
+    rows = docs.mapInArrow(phrases._counter(phrases._screen(docs, 3, 4), 4), "lang string, phrase string, c long")
+    found = {r["phrase"]: r["c"] for r in rows.groupBy("phrase").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c").collect()}
+    assert found["a b c"] == found["b c d"] == 4 and found["b c"] == 7 and "a b c d" not in found
+    often = docs.selectExpr("lang", "repeat(concat(text, '. '), 3) AS text")
+    assert {r["phrase"]: r["f"] for r in phrases.phrase_counts(often, 4, 3).collect()}["a b c d"] == 3

@@ -2,10 +2,11 @@
 
 1. Every text is cut into pieces and words. All 1- and 2-grams become rows of a 64-bit hash and a count, summed up inside each
    Arrow batch and then by a hash aggregate. What occurs min_count times sets a bit in a screen of fixed size, which alone is
-   broadcast. A phrase occurs no more often than its parts, so longer n-grams, up to max_n - 1 words, become rows in the same
+   broadcast. A phrase occurs no more often than its parts, so longer n-grams, up to max_n words, become rows in the same
    way only where both their parts of one word less pass the screen, a pass over the texts for each size. Hashes and bits that
    clash let more through, never less.
-2. A last pass makes rows (lang, phrase, occurrences) of all 1..max_n-grams that pass. Every phrase of min_count occurrences,
+2. A last pass makes rows (lang, phrase, occurrences) of all 1..max_n-grams that pass with their own bits, of frequent phrases,
+   that is, and of the few that clash with one. Every phrase of min_count occurrences,
    and so every part of one, is counted whole; what passes by a clash has its true count too and is dropped by it.
 3. Candidates are joined with the counts of their first and last parts at every cut; the score is computed in decimals of 38
    digits. An anti-join with one-word extensions drops phrases that live inside a longer one: an extension by more words
@@ -129,7 +130,7 @@ def _frequent_bits(docs: DataFrame, min_count: int, sizes: tuple[int, ...], scre
 def _screen(docs: DataFrame, min_count: int, max_n: int) -> Broadcast:
     context = docs.sparkSession.sparkContext
     bits = _frequent_bits(docs, min_count, (1, 2), None)
-    for size in range(3, max_n):
+    for size in range(3, max_n + 1):
         told = context.broadcast(bits)
         bits = bits | _frequent_bits(docs, min_count, (size,), told)
         told.unpersist()
@@ -163,7 +164,7 @@ def _counter(screen_of: Broadcast, max_n: int) -> Callable[[Iterator[pa.RecordBa
                 for seed, n in zip(*(x.tolist() for x in np.unique(g.seed[shared:], return_counts=True)), strict=True):
                     words.setdefault(seed, [name[seed], "", 0])[2] += n
                 text, start, end, of = w.buf.tobytes().lower(), w.start, w.end, g.seed
-                for size, ok, h in g.sizes(screen, max_n, max(2, max_n - 1)):
+                for size, ok, h in g.sizes(screen, max_n, max_n):
                     held, at = words if size == 1 else longer, g.new(ok, size)
                     keys, first, n = np.unique(h[at], return_index=True, return_counts=True)
                     for i, key, c in zip(at[first].tolist(), keys.tolist(), n.tolist(), strict=True):
