@@ -319,3 +319,31 @@ def test_only_frequent_phrases_of_the_last_size_become_rows(spark):
     assert found["a b c"] == found["b c d"] == 4 and found["b c"] == 7 and "a b c d" not in found
     often = docs.selectExpr("lang", "repeat(concat(text, '. '), 3) AS text")
     assert {r["phrase"]: r["f"] for r in phrases.phrase_counts(often, 4, 3).collect()}["a b c d"] == 3
+
+
+def test_a_frequent_phrase_becomes_a_row_once_not_in_each_task(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", f"u{i} some frequent words of all texts v{i}") for i in range(64)], "lang string, text string")
+    made, kind = [], type(docs)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: made.append(plain(self, *a, **b)) or made[-1])
+    found = phrases.phrase_counts(docs.repartition(8), 4, 30).collect()
+    assert {r["f"] for r in found if r["phrase"]} == {64} and {r["f"] for r in found if not r["phrase"]} == {64 * 8}
+    assert sum(d.count() for d in made if "phrase" in d.columns) == len(found) == 1 + 6 + 5 + 4 + 3
+
+
+def test_copies_of_a_text_and_languages_keep_their_counts(spark):
+    rows = [("en", "a b c d"), ("de", "a b c d"), (None, "a b c d")] * 40 + [("en", "c d a b")] * 3 + [("fr", "a b")] * 29
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    found = {(r["lang"], r["phrase"]): r["f"] for r in phrases.phrase_counts(docs, 4, 30).collect()}
+    assert found["en", "a b"] == 43 and found["en", "b c"] == found["de", "a b c d"] == found["und", "b c d"] == 40
+    assert found["en", ""] == 172 and ("en", "d a") not in found and ("fr", "a b") not in found and found["fr", ""] == 58
+
+
+def test_hashes_that_clash_are_told_apart_by_the_second(monkeypatch):
+    monkeypatch.setattr(phrases, "pair", lambda a, b: words.pair(a, b) & np.uint64(7 << 61))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(f"w{i}" for i in range(200))])], ["lang", "text"])
+    found = Counter()
+    for b in phrases._hash_rows((1,), None)(iter([batch])):
+        for r in b.to_pylist():
+            found[r["h"], r["g"]] += r["c"]
+    assert len({h for h, _ in found}) <= 8 < len(found) and sum(found.values()) == 200

@@ -1,13 +1,13 @@
 """Phrase collocations: all 1..max_n-grams as rows, counted per language, scored by exact integers, ranked.
 
-1. Every text is cut into pieces and words. All 1- and 2-grams become rows of a 64-bit hash and a count, summed up inside each
-   Arrow batch and then by a hash aggregate. What occurs min_count times sets a bit in a screen of fixed size, which alone is
-   broadcast. A phrase occurs no more often than its parts, so longer n-grams, up to max_n words, become rows in the same
-   way only where both their parts of one word less pass the screen, a pass over the texts for each size. Hashes and bits that
-   clash let more through, never less.
-2. A last pass makes rows (lang, phrase, occurrences) of all 1..max_n-grams that pass with their own bits, of frequent phrases,
-   that is, and of the few that clash with one. Every phrase of min_count occurrences,
-   and so every part of one, is counted whole; what passes by a clash has its true count too and is dropped by it.
+1. Every text is cut into pieces and words. All 1- and 2-grams become rows of a hash of 96 bits, a count and the key of a text
+   that has them, summed up inside each Arrow batch and then by a hash aggregate, which keeps the smallest key. What occurs
+   min_count times is stored with its count, and sets a bit in a screen of fixed size, which is broadcast. A phrase occurs no
+   more often than its parts, so longer n-grams, up to max_n words, become rows in the same way only where both their parts of
+   one word less pass the screen, a pass over the texts for each size. Bits that clash let more through, never less.
+2. A last pass names the stored hashes: a phrase becomes a row (lang, phrase, hash) in the text of its smallest key alone, not
+   in each task that meets it, so these rows follow the frequent phrases. Which texts and which phrases of them are meant is
+   told by two more screens; what passes by a clash has no stored hash, or has it from another text too, and is dropped.
 3. Candidates are joined with the counts of their first and last parts at every cut; the score is computed in decimals of 38
    digits. An anti-join with one-word extensions drops phrases that live inside a longer one: an extension by more words
    implies one by a single word that occurs at least as often.
@@ -20,6 +20,7 @@ table gives no rows. A very long text is worked on in parts. Columns other than
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import small_batches, written
-from .words import U, WordClass, Words, pair, parts_of
+from .words import U, WordClass, Words, mix, pair, parts_of
 
 #: Bits of the screen, 16 MB in all; with very many frequent pairs it lets more through and stays right.
 SCREEN_BITS = 1 << 27
 _CHUNK = 4096 * 8  # bits of one value of Spark's bitmap functions
-#: Rows that a task counts by itself before it sends them on: hashes, words, phrases of several words; buckets of the first
-#: ranking window. Few phrases are held, as they mostly recur within a text: rows then follow the words of the corpus.
-HELD, HELD_WORDS, HELD_PHRASES, BUCKETS = 2_000_000, 150_000, 60_000, 64
+#: Rows that a task counts by itself before it sends them on: hashes, phrases; buckets of the first ranking window.
+HELD, HELD_PHRASES, BUCKETS = 1_000_000, 60_000, 64
 
 _OUT = 200_000  # rows of a batch that goes back to the JVM
 
@@ -49,35 +49,39 @@ for _a, _b in _BREAKS:
 
 
 class _Grams:
-    """The words of a slice with their language, and which neighbours share a piece and a document."""
+    """The words of a slice with their language, their text's key, and which neighbours share a piece and a document."""
 
     def __init__(self, w: Words, langs: np.ndarray, shared: int):
-        self.w, self.shared = w, shared
-        self.seed = langs[w.first + w.doc_of()]
+        self.w, self.shared, doc = w, shared, w.doc_of()
+        self.seed = langs[w.first + doc]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes, dtype=np.uint64)])[w.begin]
+        self.key = (mix(total[1:] - total[:-1] + langs[w.first : w.first + w.n]) & U(SCREEN_BITS - 1)).astype(np.int32)[doc]
         piece = np.concatenate([[0], np.cumsum(_ENDS[w.buf])])[w.start] if len(w.start) else np.zeros(0, np.int64)
         self.next = np.zeros(len(w.start), bool)  # whether the word after this one continues its piece
         if len(w.start) > 1:
-            self.next[:-1] = (piece[1:] == piece[:-1]) & (w.doc_of()[1:] == w.doc_of()[:-1])
+            self.next[:-1] = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
 
     def new(self, mask: np.ndarray, size: int) -> np.ndarray:
         """Positions in the mask whose phrase the part before did not have."""
         at = np.flatnonzero(mask)
-        return at[at + size > self.shared]
-
-    def sizes(self, screen: np.ndarray | None, upto: int, screened: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, mask of the phrases that may occur often, their hashes): sizes up to `screened` by their own bits and their
-        parts', longer ones by their parts'; without a screen all."""
-        h = pair(self.seed, self.w.hashes)
-        ok = np.ones(len(h), bool) if screen is None else _passes(screen, h)
-        yield 1, ok, h
-        for size in range(2, upto + 1):
-            h = pair(h, np.roll(self.w.hashes, 1 - size))
-            ok = ok & np.append(ok[1:], False)[: len(ok)]
+        return at[at + max(size, 1) > self.shared]
+
+    def sizes(self, screen: np.ndarray | None, upto: int, screened: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, mask of the phrases that may occur often, their hashes, other hashes): sizes up to `screened` by their own bits and
+        their parts', longer ones by their parts'; without a screen all. Size 0 stands for the language of each word."""
+        h, g = self.seed, mix(self.seed)
+        ok = np.ones(len(h), bool)
+        yield 0, ok, h, g
+        for size in range(1, upto + 1):
+            word = np.roll(self.w.hashes, 1 - size)
+            h, g = pair(h, word), pair(g, word)
+            if size > 1:
+                ok = ok & np.append(ok[1:], False)[: len(ok)]
             if size == 2:
                 ok &= self.next
             if screen is not None and size <= screened:
-                ok &= _passes(screen, h)
-            yield size, ok, h
+                ok = ok & _passes(screen, h)
+            yield size, ok, h, g
 
 
 def _language_seeds(column: pa.Array) -> np.ndarray:
@@ -86,16 +90,27 @@ def _language_seeds(column: pa.Array) -> np.ndarray:
     return seeds[names.indices.to_numpy(zero_copy_only=False)] if len(column) else np.zeros(0, np.uint64)
 
 
-def _hash_rows(sizes: tuple[int, ...], screen_of: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(h, c): hashes of the n-grams of these sizes and their occurrences, of such as pass the screen with their parts."""
+def _short(g: np.ndarray) -> np.ndarray:
+    return (g >> U(32)).astype(np.uint32).view(np.int32)
+
 
-    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([*held, np.zeros(0, np.uint64)])
-        h.sort()
-        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+def _hash_rows(sizes: tuple[int, ...], screen_of: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(h, g, m, c): hashes of the n-grams of these sizes, the smallest key of a text and the occurrences, of such as pass the
+    screen with their parts."""
+
+    def counted(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        h, g, m = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(h)
+        h, g, m = h[order], g[order], m[order]
+        del order
+        at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))[: len(h)])
         c = np.diff(at, append=len(h))
+        h, g, m = h[at].view(np.int64), g[at], np.minimum.reduceat(m, at) if len(at) else m
         for i in range(0, len(at), _OUT):
-            yield pa.RecordBatch.from_arrays([pa.array(h[at[i : i + _OUT]].view(np.int64)), pa.array(c[i : i + _OUT])], ["h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + _OUT]) for x in (h, g, m, c)], ["h", "g", "m", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         screen = screen_of.value if screen_of else None
@@ -103,38 +118,48 @@ def _hash_rows(sizes: tuple[int, ...], screen_of: Broadcast | None) -> Callable[
         for batch in batches:
             seeds = _language_seeds(batch.column("lang"))
             for w, shared in parts_of(batch.column("text"), WORDS, max(sizes)):
-                g = _Grams(w, seeds, shared)
-                for size, ok, h in g.sizes(screen, max(sizes), max(sizes) - 1):
+                grams = _Grams(w, seeds, shared)
+                for size, ok, h, g in grams.sizes(screen, max(sizes), max(sizes) - 1):
                     if size in sizes:
-                        held.append(h[g.new(ok, size)])
-                        rows += len(held[-1])
+                        at = grams.new(ok, size)
+                        found = h[at], _short(g[at]), grams.key[at]
+                        if size == 0:
+                            yield from counted([found])
+                        else:
+                            held.append(found)
+                            rows += len(at)
                 if rows >= HELD:
                     yield from counted(held)
-                    held, rows = [], 0
+                    rows = 0
         yield from counted(held)
 
     return run
 
 
-def _frequent_bits(docs: DataFrame, min_count: int, sizes: tuple[int, ...], screen: Broadcast | None) -> np.ndarray:
-    """The screen's bits of the n-grams of these sizes that occur min_count times, SCREEN_BITS in all."""
-    counted = docs.mapInArrow(_hash_rows(sizes, screen), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
-    bit = F.pmod("h", F.lit(SCREEN_BITS)) + 1
-    rows = counted.select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+def _bits(rows: DataFrame, place: Column) -> np.ndarray:
+    """A screen with the bits at these places, SCREEN_BITS in all."""
+    bit = place + 1
+    chunks = rows.select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
     found = np.zeros(SCREEN_BITS // 8, np.uint8)
-    for r in rows.collect():  # at most SCREEN_BITS / _CHUNK rows of 4 KB
+    for r in chunks.collect():  # at most SCREEN_BITS / _CHUNK rows of 4 KB
         found[(r["b"] - 1) * _CHUNK // 8 : r["b"] * _CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
     return found
 
 
-def _screen(docs: DataFrame, min_count: int, max_n: int) -> Broadcast:
+def _screen(docs: DataFrame, min_count: int, max_n: int, tallies: list[DataFrame] | None = None) -> Broadcast:
+    """The bits of all phrases that occur min_count times; their rows (h, g, m, f) are added to `tallies`, a table for each pass."""
     context = docs.sparkSession.sparkContext
-    bits = _frequent_bits(docs, min_count, (1, 2), None)
-    for size in range(3, max_n + 1):
+    told, bits = None, np.zeros(SCREEN_BITS // 8, np.uint8)
+    for sizes in ((0, 1, 2), *((size,) for size in range(3, max_n + 1))):
+        rows = docs.mapInArrow(_hash_rows(sizes, told), "h long, g int, m int, c long")
+        often = written(rows.groupBy("h", "g").agg(F.min("m").alias("m"), F.sum("c").alias("f")).where(F.col("f") >= min_count), "tallies")
+        if told:
+            told.unpersist()
+        if tallies is not None:
+            tallies.append(often)
+        bits = bits | _bits(often, F.pmod("h", F.lit(SCREEN_BITS)))
         told = context.broadcast(bits)
-        bits = bits | _frequent_bits(docs, min_count, (size,), told)
-        told.unpersist()
-    return context.broadcast(bits)
+    return told
 
 
 def _passes(screen: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -142,53 +167,62 @@ def _passes(screen: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (screen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _counter(screen_of: Broadcast, max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen = screen_of.value
-        # rows of words and of longer phrases by their hash
-        words: dict[int, list] = {}
-        longer: dict[int, list] = {}
+#: Which bits of a phrase's hash stand for it together with a text's key.
+_SHIFT = 32
+
+
+def _counter(screen_of: Broadcast, max_n: int, chosen_of: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, phrase, c) of all phrases that pass; with the screens of the chosen texts and of their phrases (lang, phrase, c, h, g)
+    of these alone."""
+    fields = [("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64()), ("h", pa.int64()), ("g", pa.int32())][: 5 if chosen_of else 3]
 
-        def counted(held: dict[int, list]) -> pa.RecordBatch:
-            rows = list(held.values())
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "c"]
-            )
+    def counted(held: dict[tuple[int, int], list]) -> pa.RecordBatch:
+        rows = [(*row, *key) for key, row in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen = screen_of.value
+        texts, phrases = chosen_of.value if chosen_of else (None, None)
+        held: dict[tuple[int, int], list] = {}
         for batch in batches:
             seeds = _language_seeds(batch.column("lang"))
             name = dict(zip(seeds.tolist(), batch.column("lang").to_pylist(), strict=True))
             for w, shared in parts_of(batch.column("text"), WORDS, max_n):
-                g = _Grams(w, seeds, shared)
-                for seed, n in zip(*(x.tolist() for x in np.unique(g.seed[shared:], return_counts=True)), strict=True):
-                    words.setdefault(seed, [name[seed], "", 0])[2] += n
-                text, start, end, of = w.buf.tobytes().lower(), w.start, w.end, g.seed
-                for size, ok, h in g.sizes(screen, max_n, max_n):
-                    held, at = words if size == 1 else longer, g.new(ok, size)
-                    keys, first, n = np.unique(h[at], return_index=True, return_counts=True)
-                    for i, key, c in zip(at[first].tolist(), keys.tolist(), n.tolist(), strict=True):
-                        row = held.get(key)
+                grams = _Grams(w, seeds, shared)
+                key = grams.key.astype(np.uint64)
+                chosen = _passes(texts, key) if chosen_of else np.ones(len(key), bool)
+                if not chosen.any():
+                    continue
+                text, start, end, of = w.buf.tobytes().lower(), w.start, w.end, grams.seed
+                for size, ok, h, g in grams.sizes(screen, max_n, max_n):
+                    at = grams.new(ok & chosen, size)
+                    if chosen_of:
+                        at = at[_passes(phrases, (h[at] >> U(_SHIFT)) ^ key[at])]
+                    for i, *both in zip(at.tolist(), h[at].view(np.int64).tolist(), _short(g[at]).tolist(), strict=True):
+                        row = held.get(tuple(both))
                         if row is None:
-                            held[key] = [name[int(of[i])], b" ".join([text[start[j] : end[j]] for j in range(i, i + size)]).decode(), c]
+                            held[tuple(both)] = [name[int(of[i])], b" ".join([text[start[j] : end[j]] for j in range(i, i + size)]).decode(), 1]
                         else:
-                            row[2] += c
-                if len(words) >= HELD_WORDS:
-                    yield counted(words)
-                if len(longer) >= HELD_PHRASES:
-                    yield counted(longer)
-        yield counted(words)
-        yield counted(longer)
+                            row[2] += 1
+                if len(held) >= HELD_PHRASES:
+                    yield counted(held)
+        yield counted(held)
 
     return run
 
 
 def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30) -> DataFrame:
-    """lang, phrase, size, f of all phrases of 1 to max_n words that occur min_count times or more; phrase '' of size 0 counts the words."""
+    """lang, phrase, size, f of all phrases of 1 to max_n words that occur min_count times or more; phrase '' of size 0 counts the words, under the same rule."""
     small_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = base.mapInArrow(_counter(_screen(base, min_count, max_n), max_n), "lang string, phrase string, c long")
-    counted = rows.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    tallies: list[DataFrame] = []
+    screen = _screen(base, min_count, max_n, tallies)
+    often = reduce(DataFrame.union, tallies)
+    place = F.pmod(F.shiftrightunsigned("h", _SHIFT).bitwiseXOR(F.col("m").cast("long")), F.lit(SCREEN_BITS))
+    chosen = base.sparkSession.sparkContext.broadcast((_bits(often, F.col("m")), _bits(often, place)))
+    names = base.mapInArrow(_counter(screen, max_n, chosen), "lang string, phrase string, c long, h long, g int").drop("c")
+    counted = names.join(often.drop("m"), ["h", "g"]).distinct().select("lang", "phrase", "f")
     return counted.withColumn("size", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
 
 
