@@ -121,6 +121,33 @@ def test_random_candidates_equal_one_after_the_other(spark, seed):
     same(spark, rows, stored, aliases)
 
 
+def test_rounds_do_not_follow_the_candidates_of_an_id(spark, monkeypatch):
+    """Each claim of an id that another place took away is settled with all later candidates of that id, not one a round."""
+    rounds, store = [], validation.written
+    monkeypatch.setattr(validation, "written", lambda df, name: rounds.append(name) or store(df, name))
+    rng = random.Random(5)
+    stored = [place(i, "ab"[i % 2], f"Town {i}", f"f{i}" if i % 3 else None, i / 20, i % 2 == 0, "unverified", ["catalog"] if i % 2 else []) for i in range(10)]
+    rows = [candidate(s, rng.choice("ab"), f"Town {rng.randrange(14)}", f"f{rng.randrange(12)}" if s % 3 else None, rng.choice(["llm", "dadata", "nominatim"]), rng.random()) for s in range(240)]
+    same(spark, rows, stored, [("town 11", 3, 0)])
+    assert rounds.count("placed") <= 10
+
+
+def test_an_id_is_free_again_once_its_place_has_another(spark):
+    """Also where two stored places have it, where it is given away to the empty text, and where a claim is too weak to be taken."""
+    stored = [place(1, "a", "One", "f", 0.9), place(2, "a", "Two", "f", 0.1), place(3, "a", "Three", None, 0.9, names=["llm"])]
+    rows = [candidate(1, "a", "One", "f", confidence=0.1), candidate(2, "a", "Two", "g", confidence=0.5), candidate(3, "a", "Two", "f", confidence=0.2), candidate(4, "a", "One", "", "dadata", 0.95)]
+    rows += [candidate(5, "a", "Two", "f", confidence=0.1), candidate(6, "a", "Three", "f", confidence=0.1), candidate(7, "a", "Two", "f", "llm", 0.99), candidate(8, "b", "Four", "f"), candidate(9, "b", "Four", "h"), candidate(10, "a", "Four", "f")]
+    same(spark, rows, stored, [])
+
+
+def test_providers_are_listed_in_order_of_their_first_rows(spark):
+    stored = [place(1, "a", "One", names=["x", "llm"]), {**place(2, "a", "Two"), "providers": None}]
+    rows = [candidate(s, "a", n, None, p) for s, (n, p) in enumerate([("One", "nominatim"), ("One", "llm"), ("Two", "dadata"), ("One", "x"), ("Two", "llm"), ("Two", "dadata"), ("New", "llm")])]
+    got = run(spark, rows, stored, [])
+    assert {r["place_id"]: r["providers"] for r in got["places"]} == {1: ["x", "llm", "nominatim"], 2: ["dadata", "llm"], 1006: ["llm"]}
+    assert [r["applied"] != "" and "evidence_providers" in r["applied"] for r in sorted(got["evidence"])] == [True, False, True, False, True, False, False]
+
+
 def counting(path, answer):
     """A client that notes each question it is asked in a file of its own."""
 
