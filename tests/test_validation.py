@@ -148,6 +148,14 @@ def test_providers_are_listed_in_order_of_their_first_rows(spark):
     assert [r["applied"] != "" and "evidence_providers" in r["applied"] for r in sorted(got["evidence"])] == [True, False, True, False, True, False, False]
 
 
+def test_no_list_of_all_rows_of_a_place(spark):
+    """Lists are of distinct providers; nothing gathers a place's candidates."""
+    frame = lambda rows, schema: spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in schema.split(", ")) for r in rows], schema)
+    places = validation.validate(frame([candidate(1, "a", "One")], CANDIDATE), frame([], STORED), spark.createDataFrame([], "place_id long, alias_norm string, ord long"), 1000)["places"]
+    plan = places._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(struct(_o") == plan.count("collect_list(") > 0
+
+
 def counting(path, answer):
     """A client that notes each question it is asked in a file of its own."""
 

@@ -45,8 +45,8 @@ def timeline(stored: DataFrame, placed: DataFrame) -> DataFrame:
     stored: places, at t -1; placed: valid candidates with place_id; the first row of a place that isn't stored creates it.
     """
     said = ("place_id", "region_id", "t", *FIELDS, "score", "is_trusted", "state", "provider")
-    old = stored.withColumn("t", F.lit(-1).cast("long")).withColumn("provider", F.lit(None).cast("string")).select(*said, "providers")
-    new = placed.withColumn("t", F.col("seq")).select(*said, F.array("provider").alias("providers"))
+    old = stored.withColumn("t", F.lit(-1).cast("long")).withColumn("provider", F.lit(None).cast("string")).select(*said)
+    new = placed.withColumn("t", F.col("seq")).select(*said)
     by = Window.partitionBy("place_id").orderBy("t")
     before, upto = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
     score = F.coalesce("score", F.lit(0.0))
@@ -172,9 +172,13 @@ def validate(candidates: DataFrame, stored: DataFrame, aliases: DataFrame, first
     action = F.when(created, "candidate").when(F.size("_changed") > 0, "enrich").otherwise("confirm")
     evidence = rows.select(F.col("t").alias("seq"), "place_id", "provider", action.alias("action"), names.alias("applied"))
     set_aliases = placed.groupBy("place_id", F.col("_alias").alias("alias_norm")).agg(F.max_by("name", "seq").alias("alias"))
-    lists = F.transform(F.array_sort(F.collect_list(F.struct("t", "providers"))), lambda x: F.coalesce(x["providers"], F.array().cast("array<string>")))
     places = line.groupBy("place_id").agg(
         F.first("region_id").alias("region_id"), *(F.max_by(F.struct(f"now_{c}"), "t")[f"now_{c}"].alias(c) for c in FIELDS), F.max("score").alias("score"),
-        F.coalesce(F.bool_or("is_trusted"), F.lit(False)).alias("is_trusted"), F.max_by("state", rank).alias("state"), F.array_distinct(F.flatten(lists)).alias("providers"),
+        F.coalesce(F.bool_or("is_trusted"), F.lit(False)).alias("is_trusted"), F.max_by("state", rank).alias("state"),
     )
+    known = kept.select("place_id", F.lit(-1).cast("long").alias("t"), F.posexplode("_kept").alias("_i", "provider"))
+    known = known.unionByName(line.where(own_row).select("place_id", "t", F.lit(0).alias("_i"), "provider"))
+    known = known.groupBy("place_id", "provider").agg(F.min(F.struct("t", "_i")).alias("_o")).groupBy("place_id")
+    known = known.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "provider"))), lambda x: x["provider"]).alias("providers"))
+    places = places.join(known, "place_id", "left").withColumn("providers", F.coalesce("providers", F.array().cast("array<string>")))
     return {"decisions": decisions, "evidence": evidence, "aliases": set_aliases, "places": places}
