@@ -179,6 +179,41 @@ def test_a_large_family_opens_nothing_twice(spark, monkeypatch):
     assert sum(t.count() for t in counts["sized"]) <= 2 * len(rows)
 
 
+def test_tokens_shared_by_chance_open_no_documents(spark, monkeypatch):
+    """Each set shares tokens with many others but with none of them enough; two copies with an edit stand in groups of their own."""
+    monkeypatch.setattr(jaccard, "likeliest", lambda live: live.select("id", "g").limit(0))
+    counts, real = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: counts.setdefault(name, []).append(t := real(df, name)) or t)
+    rng = np.random.default_rng(3)
+    held = [[f"own{i}-{x}" for x in range(5)] for i in range(200)]
+    for half in range(2 * 25):
+        order = rng.permutation(200)
+        for a, b in zip(order[:100], order[100:], strict=True):
+            if half % 2:
+                for i in (a, b):
+                    held[int(i)].append(f"both{half}-{a}-{b}")
+    rows = [(i, " ".join(x)) for i, x in enumerate(held)]
+    copies = [(1000 + i, " ".join(f"c{x}" if x != 50 + i else f"edit{i}" for x in range(100))) for i in range(6)]
+    got = jaccard.link_documents(spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(3), k=1, percent=90, grouping=lambda s: int(s.sum() % 5))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: min(i, 1000) for i, _ in rows + copies}
+    assert counts["rest"][0].count() > 10 and counts["sized"][1].count() <= 12
+
+
+def test_shared_tokens_grow_with_the_set(spark):
+    """Sets that link share `wanted` tokens of those that are looked at, whichever is larger."""
+    for n in (1, 2, 5, 40, 100, 333, 1000, 2500):
+        least = -(-90 * n // 100)
+        for m in range(least, n + 1):
+            common = -(-90 * n // 100)
+            if 100 * common < 90 * (n + m - common) or common > m:
+                continue
+            kept = [x - -(-90 * x // 100) + min(jaccard.HITS + x // jaccard.SHARE, -(-90 * x // 100)) for x in (n, m)]
+            # the tokens that only one side has come first in its order, so that as few as possible are shared
+            assert min(kept[0] - (n - common), kept[1] - (m - common)) >= min(jaccard.HITS + least // jaccard.SHARE, -(-90 * least // 100))
+    sizes = spark.createDataFrame([(n,) for n in (1, 40, 112, 2500)], "n int").select(jaccard.wanted(F.col("n"), 90).alias("k"))
+    assert [r["k"] for r in sizes.collect()] == [1, 3, 4, 25]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     assert QUERIES[name](spark, tables(spark, tmp_path, {})).count() == (1 if name.startswith("op6") else 0)

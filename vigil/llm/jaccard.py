@@ -8,7 +8,7 @@ A document's set: its distinct k-word shingles (fewer words: all of them as one;
    as often as they are similar. The token-group matrix has a row for each (token, group): the union of the tokens of the
    group's members, with the range of their sizes. Every document is a query against all groups at once: an equi-join of
    its tokens with the matrix, whose count bounds its overlap with the group. Of each set only the rarest tokens are looked
-   at, in one order for all: of n tokens, n - ceil(percent * n / 100) + k; sets that link agree on k of these, so a group
+   at, in one order for all: of n tokens, n - ceil(percent * n / 100) + k; sets that link agree on k of these (the smaller set's k), so a group
    of which fewer are hit (or whose sizes do not fit) can hold no link and stays closed. The order puts tokens that many
    documents hold last (counts are summed over all documents; a token missed there costs time, never a link).
 3. Qualifying groups are opened: a task gets the whole sets of a group's members and of the queries that opened it, bounds
@@ -17,13 +17,15 @@ A document's set: its distinct k-word shingles (fewer words: all of them as one;
    already joined are not compared again. This takes two rounds: first each group by itself and with the queries that it is
    the likeliest group of (each token counting for one group, so that rows stay as many as tokens), without those that share
    too few tokens with the rest; then a document counts as a member of its likeliest group, all of which it was compared with
-   or can't link with, and the matrix bounds all other groups for all queries, members in the query's own component left out. A large family of near copies is one group after the first
-   round, whether its members link or not, and makes no rows in the second.
+   or can't link with, and the matrix bounds all other groups for all queries, members in the query's own component left out.
+   Of a qualifying group only those queries and members are opened that may share enough tokens with one another, counted pair by
+   pair where few members have a token. A large family of near copies is one group after the first round, whether its members link or not, and
+   makes no rows in the second.
 4. Links of all groups meet in connected components.
 
 A token's documents are counted and joined as rows, never gathered in one task. Of two groups that one token joins, only
-the documents of the smaller one are queries. A group beyond PART_TOKENS is split into blocks, and each pair of blocks is a task of its
-own, so a large family of near copies does not gather in one task, and no pair is lost. Links and components stay tables
+the documents of the smaller one are queries. A group beyond PART_TOKENS is split into blocks, and each pair of blocks (in the second
+round one of members and one of queries) is a task of its own, so a large family of near copies does not gather in one task, and no pair is lost. Links and components stay tables
 in the shared folder; the driver sees counts only. Tokens are 64-bit hashes: different shingles may share one by chance.
 A null id is left out of joins but keeps its row (component null); rows with equal ids are one document if texts agree.
 """
@@ -34,7 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import small_batches, written
@@ -43,11 +45,14 @@ from .words import SPACED_LOWER, Words, mix, windows, words_of
 BITS = 512
 #: Tokens of a group that make a block; a task compares two blocks at most, in memory in proportion.
 PART_TOKENS = 64_000
-#: Tokens of a group's union that a query has to hit among its rarest ones, and size classes to a doubling of the size.
-HITS, SIZES = 3, 4
+#: Tokens of a group's union that a query has to hit among its rarest ones, one more for each SHARE tokens of its set; size classes to a
+#: doubling of the size.
+HITS, SHARE, SIZES = 3, 100, 4
 #: A token counts as common from COMMON documents among COUNTED words on; at most HOT of the most common are told to all tasks.
 COMMON, COUNTED, HOT = 3, 4_000_000, 150_000
 BROADCAST_ROWS = 400_000
+#: A token that so many members of a group have at most is counted pair by pair.
+LIGHT = 8
 
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
@@ -220,6 +225,15 @@ def _blocks(counted: DataFrame, rows: str, most: int, on: str) -> DataFrame:
     )
 
 
+def _facing_blocks(counted: DataFrame, most: int, on: str) -> DataFrame:
+    """counted with i, j: in which block of members and which of queries a row is compared. A member is sent once for each block of
+    queries of its group and a query once for each block of members; c and ca are the group's tokens of members and of queries."""
+    of_members, of_queries = (F.ceil(F.col(c) / F.lit(most)).cast("int") for c in ("c", "ca"))
+    block = F.pmod(F.xxhash64(on), F.when(F.col("asks"), of_queries).otherwise(of_members)).cast("int")
+    rows = counted.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), of_members).otherwise(of_queries) - 1)))
+    return rows.withColumn("i", F.when(F.col("asks"), F.col("_o")).otherwise(F.col("block"))).withColumn("j", F.when(F.col("asks"), F.col("block")).otherwise(F.col("_o"))).drop("_o")
+
+
 def need(n: Column, percent: int) -> Column:
     """Tokens that a set of n has to share with any set that it links with."""
     return F.ceil(F.lit(percent) * n / F.lit(100))
@@ -233,20 +247,22 @@ def size_class(n: Column, percent: int) -> Column:
 def of_like_size(rows: DataFrame) -> DataFrame:
     """(id, token) of rows (id, token, s) whose token another document has that is of a like size: of the same class s, modulo 64, or the next.
 
-    One row per token tells which classes have it; where more documents than classes do, some class has several.
+    A window over each token's rows, which are dealt out once, tells which classes have it; where more documents than classes
+    do, some class has several.
     """
-    bit = F.expr("shiftleft(1L, s)")
-    around = F.expr("shiftleft(1L, (s + 1) % 64) | shiftleft(1L, (s + 63) % 64)")
-    tokens = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), F.bit_or(bit).alias("_m"))
-    crowded = F.col("_c") > F.bit_count("_m")
-    beside = F.expr("_m & (shiftleft(_m, 1) | shiftrightunsigned(_m, 63)) <> 0")
-    shared = tokens.where((F.col("_c") > 1) & (crowded | beside)).select("token", crowded.alias("_crowded"), "_m")
-    return rows.join(shared, "token").where(F.col("_crowded") | (F.col("_m").bitwiseAND(around) != 0)).select("id", "token")
+    bit, around = F.expr("shiftleft(1L, s)"), F.expr("shiftleft(1L, (s + 1) % 64) | shiftleft(1L, (s + 63) % 64)")
+    same = Window.partitionBy("token")
+    marked = rows.withColumns({"_c": F.count(F.lit(1)).over(same), "_m": F.bit_or(bit).over(same)})
+    return marked.where((F.col("_c") > F.bit_count("_m")) | (F.col("_m").bitwiseAND(around) != 0)).select("id", "token")
+
+
+def hits_of(n: Column) -> Column:
+    return (F.lit(HITS) + F.floor(n / F.lit(SHARE))).cast("long")
 
 
 def wanted(n: Column, percent: int) -> Column:
     """Tokens among its rarest ones that a set of n shares with any set that it links with (of at least `need` tokens)."""
-    return F.least(F.lit(HITS), need(need(n, percent), percent))
+    return F.least(hits_of(need(n, percent)), need(need(n, percent), percent))
 
 
 def likeliest(live: DataFrame) -> DataFrame:
@@ -288,8 +304,38 @@ def bounds(live: DataFrame, percent: int) -> DataFrame:
     larger = (F.col("_size") > F.col("size")) | ((F.col("_size") == F.col("size")) & (F.col("_g") < F.col("g")))
     fits = (F.col("n") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("n") * 100)
     hit = rows.join(matrix, "token").where(larger & (F.col("_comp") != F.col("comp")) & fits)
-    once = hit.groupBy("id", F.col("_g").alias("g"), "token").agg(F.min(need(F.least("lo", "n"), percent)).alias("_k"))
-    return once.groupBy("id", "g").agg(F.count(F.lit(1)).alias("hits"), F.least(F.lit(HITS), F.min("_k")).alias("k"))
+    once = hit.groupBy("id", F.col("_g").alias("g"), "token").agg(F.min(need(F.least("lo", "n"), percent)).alias("_k"), F.max("n").alias("n"))
+    return once.groupBy("id", "g").agg(F.count(F.lit(1)).alias("hits"), F.least(hits_of(need(F.max("n"), percent)), F.min("_k")).alias("k"))
+
+
+def facing(live: DataFrame, asked: DataFrame, percent: int, light: int = LIGHT) -> DataFrame:
+    """(id, g, n, asks): the queries (id, g) of each group and its members, as far as a query and a member may link.
+
+    live: token, id, g, n, least, comp. A link shows in `least` tokens of either side at least, between documents that fit in
+    size and are of different components. Members are held against all tokens of their group's queries first. Of the tokens
+    left, those that `light` members of the group at most have are counted for each query and member that share them; of the
+    others, which a family of near copies shares, each side counts its own as if all were shared. Pairs are thus in
+    proportion to rows.
+    """
+    queries = asked.join(live.drop("g"), "id").select("g", "token", F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("least").alias("q_least"), F.col("comp").alias("q_comp"))
+    told = queries.groupBy("g", "token").agg(F.min("q_comp").alias("_a"), F.max("q_comp").alias("_b"), F.min("q_n").alias("_lo"), F.max("q_n").alias("_hi"))
+    fits = (F.col("n") * percent <= F.col("_hi") * 100) & (F.col("_lo") * percent <= F.col("n") * 100)
+    hit = live.join(told, ["g", "token"]).where(fits & ((F.col("_a") != F.col("comp")) | (F.col("_b") != F.col("comp")))).drop("_a", "_b", "_lo", "_hi")
+    enough = hit.groupBy("id", "g").agg(F.count(F.lit(1)).alias("_c"), F.max("least").alias("_k")).where("_c >= _k").select("id", "g")
+    members = written(hit.join(enough, ["id", "g"], "left_semi"), "members")
+    shares = written(members.groupBy("g", "token").agg((F.count(F.lit(1)) > light).alias("heavy")), "shares")
+    of_heavy = lambda key: F.count(F.when(F.col("heavy"), 1)).alias(f"{key}_heavy")
+    by_member = members.join(shares, ["g", "token"]).groupBy("g", "id").agg(of_heavy("m"), F.max("n").alias("n"), F.max("least").alias("least"), F.max("comp").alias("comp"))
+    by_query = queries.join(shares, ["g", "token"]).groupBy("g", "q").agg(of_heavy("q"), F.max("q_n").alias("q_n"), F.max("q_least").alias("q_least"), F.max("q_comp").alias("q_comp"))
+    by_member, by_query = written(by_member, "by-member"), written(by_query, "by-query")
+    few = shares.where("not heavy").select("g", "token")
+    both = members.join(few, ["g", "token"]).select("g", "token", "id").join(queries.select("g", "token", "q"), ["g", "token"])
+    pairs = both.groupBy("g", "q", "id").agg(F.count(F.lit(1)).alias("_c")).join(by_query, ["g", "q"]).join(by_member, ["g", "id"])
+    fit = (F.col("q_n") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("q_n") * 100) & (F.col("q_comp") != F.col("comp"))
+    pairs = written(pairs.where(fit & (F.col("_c") + F.least("q_heavy", "m_heavy") >= F.greatest("q_least", "least"))).select("g", "q", "id"), "pairs")
+    kept = pairs.select("g", "id").union(by_member.where("m_heavy >= least").select("g", "id")).distinct().join(by_member.select("g", "id", "n"), ["g", "id"])
+    asking = pairs.select("g", "q").union(by_query.where("q_heavy >= q_least").select("g", "q")).distinct().join(by_query.select("g", "q", "q_n"), ["g", "q"])
+    return kept.select("id", "g", "n", F.lit(False).alias("asks")).union(asking.select("q", "g", "q_n", F.lit(True)))
 
 
 def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text", grouping: Callable[[np.ndarray], int] = group_of) -> DataFrame:
@@ -336,7 +382,7 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
                 first, group = [], []
                 for s in sets:
                     least = -(-percent * len(s) // 100)
-                    p = len(s) - least + min(HITS, least)
+                    p = len(s) - least + min(HITS + len(s) // SHARE, least)
                     group.append(grouping(s) if len(s) else 0)
                     at = np.flatnonzero(likely[(s & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(hot) else np.zeros(0, np.int64)
                     if len(at):
@@ -363,8 +409,8 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
         for batch in batches:
             for w in words_of(batch.column("text"), SPACED_LOWER):
                 sets = shingle_sets(w, k)
-                cols = [batch.column(c).slice(w.first, w.n) for c in ("id", "g", "c", "asks", "known")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "g", "c", "asks", "known", "tokens"])
+                cols = [batch.column(c).slice(w.first, w.n) for c in ("id", "g", "c", "ca", "asks", "known")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "g", "c", "ca", "asks", "known", "tokens"])
 
     def verify(again: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +423,8 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
                 ids, block, known = ids[order], t.column("block").to_numpy()[order], t.column("known").to_numpy()[order]
                 asks = t.column("asks").to_numpy(zero_copy_only=False)[order].astype(bool)
                 sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in order]
-                root = linked(sets, block, t.column("i")[0].as_py() != t.column("j")[0].as_py(), percent, known if again else None, asks if again else None)
+                cross = not again and t.column("i")[0].as_py() != t.column("j")[0].as_py()
+                root = linked(sets, block, cross, percent, known if again else None, asks if again else None)
                 join = np.flatnonzero(ids != ids[root])
                 out_a += ids[root[join]].tolist()
                 out_b += ids[join].tolist()
@@ -390,13 +437,16 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
 
     def opened_links(docs_in: DataFrame, known: DataFrame | None) -> DataFrame:
         """(a, b): what joins the documents of the groups (id, g, n, asks); known: (id, root) of the round before."""
-        several = docs_in.groupBy("g").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("_d")).where("_d > 1").drop("_d")
+        tokens = lambda asks: F.sum(F.when(F.col("asks") == asks, F.col("n")))
+        groups = docs_in.groupBy("g").agg(tokens(False).alias("c"), tokens(True).alias("ca"), F.count(F.lit(1)).alias("_d"))
+        several = groups.where("_d > 1" if known is None else "c > 0 and ca > 0").drop("_d")
         sized = docs_in.join(several, "g")
         sized = sized.withColumn("known", F.col("id")) if known is None else sized.join(known.distinct(), "id", "left").withColumn("known", F.coalesce("root", "id"))
-        sized = written(sized.select("id", "g", "c", "asks", "known"), "sized")
+        sized = written(sized.select("id", "g", "c", "ca", "asks", "known"), "sized")
         small = sized.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        texts = base.join(F.broadcast(sized) if small else sized, "id").select("id", "text", "g", "c", "asks", "known")
-        full = _blocks(texts.mapInArrow(whole_sets, "id long, g int, c long, asks boolean, known long, tokens binary"), "c", PART_TOKENS, "id")
+        texts = base.join(F.broadcast(sized) if small else sized, "id").select("id", "text", "g", "c", "ca", "asks", "known")
+        full = texts.mapInArrow(whole_sets, "id long, g int, c long, ca long, asks boolean, known long, tokens binary")
+        full = _blocks(full, "c", PART_TOKENS, "id") if known is None else _facing_blocks(full, PART_TOKENS, "id")
         in_order = full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
         return written(in_order.mapInArrow(verify(known is not None), "a long, b long"), "links")
 
@@ -413,11 +463,10 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, key: str = "d
     rooted = members.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     moved = written(regrouped(members, first), "moved")
     of_doc = moved.select("id", "g").join(moved.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "g").join(rooted.withColumnRenamed("root", "comp"), "id")
-    qualify = bounds(live.drop("g").join(of_doc, "id"), percent).where("hits >= k").select("id", "g")
-    rest = written(qualify, "rest")
+    grouped = written(live.drop("g").join(of_doc, "id"), "grouped")
+    rest = written(bounds(grouped, percent).where("hits >= k").select("id", "g"), "rest")
     if rest.limit(1).count():
-        queries = rest.join(moved.select("id", "n"), "id").select("id", "g", "n", F.lit(True).alias("asks"))
-        more = opened_links(moved.join(rest.select("g").distinct(), "g", "left_semi").unionByName(queries), rooted)
+        more = opened_links(facing(grouped, rest, percent), rooted)
         roots = components(links.unionByName(more), "joined").where("id <> root")
     of_class = classes.select("f1", "f2", "n", F.col("id").alias("class")).join(roots.withColumnRenamed("id", "class"), "class", "left")
     of_class = of_class.select("f1", "f2", "n", F.coalesce("root", "class").alias("component_id"))
